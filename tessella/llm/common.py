@@ -30,15 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut, kept in the shared folder.
+
+    A written table rather than ``checkpoint()``: the latter keeps the plan's estimated
+    size, which multiplies with every join of a loop until planning itself fails.
+    """
+    return stored(df, "step")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and reread (columnar, so later reads prune columns)."""
     path = f"{shared_dir(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: writers hold one in memory
     return df.sparkSession.read.parquet(path)
 
 
