@@ -41,8 +41,11 @@ class Network:
         shapes = {"v": (2 * h, k), "c": (k,)} | {f"{d}{n}": s for d in "fb" for n, s in (("x", (256, 2 * h)), ("u", (h, 2 * h)), ("y", (256, h)), ("w", (h, h)))}
         self.p = {n: rng.normal(0, 0.0 if n == "c" else 0.3, s).astype(np.float32) for n, s in shapes.items()}
 
-    def states(self, x: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States of direction ``d`` after each byte of x (time, row) in reading order, and with ``keep`` what its gradient needs."""
+    def states(self, x: np.ndarray, d: str, keep: bool = False, lengths: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States of direction ``d`` after each byte of x (time, row) in reading order, and with ``keep`` what its gradient needs.
+
+        Past a row's length the state stays zero, so padding is never read.
+        """
         p, h = self.p, np.zeros((x.shape[1], self.size), np.float32)
         out = np.empty((*x.shape, self.size), np.float32)
         kept = []
@@ -59,16 +62,18 @@ class Network:
             new = h - n
             new *= z
             new += n
+            if lengths is not None:
+                new[t >= lengths] = 0
             if keep:
                 kept.append((t, h, r, z, rh, n))
             out[t] = h = new
         return out, kept
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Label probabilities of each byte of x (time, row)."""
+    def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of each byte of x (time, row), of which rows may use the first ``lengths``."""
         size, p = self.size, self.p
         logits = self.states(x, "f")[0] @ p["v"][:size]
-        logits += self.states(x, "b")[0] @ p["v"][size:]
+        logits += self.states(x, "b", lengths=lengths)[0] @ p["v"][size:]
         logits += p["c"]
         logits -= logits.max(-1, keepdims=True)
         np.exp(logits, logits)
@@ -149,9 +154,10 @@ class Network:
         left = np.minimum(span, size[owner] - span * (np.arange(len(owner)) - first[owner]))
         for a in range(0, len(owner), rows):
             b = min(a + rows, len(owner))
-            q = self.probabilities(np.ascontiguousarray(flat[a:b].T))
             n = left[a:b]
-            if (n < span).any():
+            short = bool((n < span).any())
+            q = self.probabilities(np.ascontiguousarray(flat[a:b].T), n if short else None)
+            if short:
                 q *= (np.arange(span)[:, None] < n)[:, :, None]
             np.add.at(total, owner[a:b], q.sum(0))
         return np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], 1 / max(k, 1))
