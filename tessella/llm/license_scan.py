@@ -76,15 +76,18 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
 
 
 class Index:
-    """Posting lists of the ``anchors`` rarest words of each notice: word to (notice, position)."""
+    """Posting lists of the ``anchors`` rarest words of each notice's key phrases: word to (notice, position).
+
+    Only these words are sure to stand in a text that holds the notice, whole or in part.
+    """
 
     def __init__(self, notices: list[tuple[str, str, list[str]]], n: int, df: dict[bytes, int], anchors: int = 4, slack: int = 2):
         self.slack = slack
         self.notices = [(label, words(text.encode()), [words(p.encode()) for p in keys]) for label, text, keys in notices]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.needed: list[int] = []
-        for k, (_, ws, _) in enumerate(self.notices):
-            rare = sorted(set(ws), key=lambda w: (-math.log((n + 1) / (df.get(w, 0) + 1)), w))[:anchors]
+        for k, (_, ws, keys) in enumerate(self.notices):
+            rare = sorted({w for key in keys for w in key}.intersection(ws), key=lambda w: (-math.log((n + 1) / (df.get(w, 0) + 1)), w))[:anchors]
             self.needed.append((len(rare) + 1) // 2)
             for q, w in enumerate(ws):
                 if w in rare:
@@ -127,7 +130,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (smallest and largest such place, else null), base_labels, labels (those and the
     notices'; distinct, sorted, joined by commas), score (best share of a notice's words
     in place, 1 for a base phrase, else 0). A notice counts if at least half of its rarest
-    words (by document frequency in all of ``docs``) stand at the right distances and its
+    key words (by document frequency in all of ``docs``) stand at the right distances and its
     key phrases stand there. Null texts count as empty; repeated rows each get a row; no
     rows give no rows; other columns aren't read.
     """
