@@ -51,4 +51,42 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_nearest, op4_language, op5_token_ids, op6_licenses, op7_pieces, op8_quality, op9_leaks, op10_urls)}
 
-ORACLE_SQL: dict[str, str] = {}
+# Only the URL filter can be said in SQL whole: the others rest on XXH64, trained models, tokenizers, corpus
+# statistics over positions, or edit distance. They are held against brute force in tests/llm.
+
+
+def _split(column: str, prefix: str = "") -> str:
+    """host and path of a url column in DuckDB."""
+    rest = f"CASE WHEN contains({column}, '://') THEN substr({column}, position('://' IN {column}) + 3) ELSE '' END"
+    return f"translate(regexp_extract({rest}, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS {prefix}host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS {prefix}path"
+
+
+def _judged() -> str:
+    """rule and decision from host and path in DuckDB, the longest rule first."""
+    rule = decision = ""
+    for verdict, host, path in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN "
+        rule += fits + f"'{host + path}' "
+        decision += fits + f"'{verdict}' "
+    return f"CASE {rule}END AS rule, CASE {decision}END AS decision"
+
+
+def _node(column: str) -> str:
+    query = f"list_filter(string_split(regexp_extract(regexp_replace(coalesce({column}, ''), '#.*$', ''), '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)'))"
+    return f"CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(regexp_replace(path, '/+$', ''), '(/index)?\\.html$', '') || CASE WHEN len({query}) > 0 THEN '?' || array_to_string({query}, '&') ELSE '' END END AS node"
+
+
+# RE2 knows no lookahead: a tag is found first, then its parts
+_LINKS = "list_concat(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<link\\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\\brel\\s*=\\s*[\"'']?canonical\\b', 'is')), lambda t: regexp_extract(t, '\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1, 'is')), list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<meta\\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b', 'is')), lambda t: regexp_extract(t, '\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1, 'is')))"
+
+_URLS = f"""WITH RECURSIVE p AS (SELECT page_id, url, html, {_split("url")} FROM pages), o AS (SELECT *, {_judged()}, {_node("url")} FROM p),
+l AS (SELECT node AS src, host AS base, unnest({_LINKS}) AS t FROM o WHERE node IS NOT NULL),
+a AS (SELECT src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || base || t END AS u FROM l WHERE t <> ''),
+b AS (SELECT src, u, {_split("u")} FROM a), e AS (SELECT src, {_node("u")}, {_judged()} FROM b),
+edge AS (SELECT src, node AS dst FROM e WHERE node IS NOT NULL UNION SELECT node, src FROM e WHERE node IS NOT NULL),
+votes AS (SELECT node, min(decision) AS d FROM (SELECT node, decision FROM o UNION ALL SELECT node, decision FROM e) WHERE node IS NOT NULL AND decision IS NOT NULL GROUP BY 1),
+walk AS (SELECT DISTINCT node AS s, node AS v FROM o WHERE node IS NOT NULL AND decision IS NULL UNION SELECT s, dst FROM walk JOIN edge ON v = src),
+found AS (SELECT s AS node, min(d) AS d FROM walk JOIN votes ON v = votes.node GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(decision, d, 'allow') AS verdict FROM o LEFT JOIN found USING (node)"""
+
+ORACLE_SQL: dict[str, str] = {"op10_urls": _URLS}
