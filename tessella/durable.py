@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -11,11 +12,17 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` kept in the folder named by spark.checkpoint.dir, which the cluster shares.
 
     A plan that has passed many joins is cut here; a lost executor costs nothing, as any
-    other can read the files. A local session without the setting gets a temporary folder.
+    other can read the files. It is a written table rather than ``checkpoint()``, which keeps
+    the plan's estimated size: in loops that estimate multiplies until planning itself fails.
+    A local session without the setting gets a temporary folder.
     """
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/tessella/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -15,7 +15,7 @@ from ..functions.grids import Grid, grid, ring_area, ring_centroid
 from ..schema import DEFORMED, PARTITION_KEY, PARTITIONED, TileMap
 from . import dual
 from .flow import Flow, bridges
-from .guide import Cell, best_shape, guides, holes, parts_of, quality_map, runs
+from .guide import Cell, best_shape, guides, holes, parts_of, quality_map, runs, safe
 
 SEA = -1
 
@@ -102,7 +102,7 @@ class Mosaic:
         """Whether c's owner stays in one piece and keeps its contacts without c."""
         r = self.owner[c]
         rest = self.cells[r]
-        if len(rest) == 1 or runs(c, rest, self.g) != 1:
+        if len(rest) == 1 or not safe(c, rest, self.g):
             return False
         if strict:
             for f in self.owners_near(c, "rook") & self.friends[r]:
@@ -386,7 +386,7 @@ class Mosaic:
         """Last resort: surplus cells are released and missing ones taken from the sea, one piece kept."""
         for r in range(len(self.rings)):
             while len(self.cells[r]) > self.tiles[r]:
-                out = [c for c in self.cells[r] if runs(c, self.cells[r], self.g) == 1 or len(parts_of(self.cells[r] - {c}, self.g)) == 1]
+                out = [c for c in self.cells[r] if len(parts_of(self.cells[r] - {c}, self.g)) == 1]
                 self.put(min(out, key=lambda c: (self.worth(c, r), c)), SEA)
             while len(self.cells[r]) < self.tiles[r]:
                 free = {n for c in self.cells[r] for n in self.g.adjacent(*c) if n not in self.owner}

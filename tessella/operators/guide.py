@@ -128,6 +128,24 @@ def runs(cell: Cell, members: set[Cell], g: Grid, rook: bool = True) -> int:
     return n
 
 
+@lru_cache(maxsize=64)
+def _local(name: str) -> bool:
+    """Whether neighbours that follow each other around a cell are rook neighbours themselves, so that a look around tells of connectivity."""
+    g = grid(name)
+    for v in range(g.pc):
+        around = [(v + dx, dy) for dx, dy, _ in g.neighbours[v]]
+        if any(b not in g.adjacent(*a) for a, b in zip(around, around[1:] + around[:1], strict=True)):
+            return False
+    return True
+
+
+def safe(cell: Cell, members: set[Cell], g: Grid) -> bool:
+    """Whether a set stays in one piece without a member (or its neighbours are in one piece around a cell outside)."""
+    if runs(cell, members, g) != 1:
+        return False
+    return _local(g.name) or cell not in members or len(parts_of(members - {cell}, g)) == 1
+
+
 def parts_of(members: set[Cell], g: Grid) -> list[set[Cell]]:
     """Rook-connected parts, in the order of their smallest cells."""
     left, out = set(members), []
@@ -204,7 +222,7 @@ def trim(members: set[Cell], quality: dict[Cell, float], n: int, g: Grid) -> set
         _, c = heapq.heappop(todo)
         if c not in members:
             continue
-        if runs(c, members, g) != 1:
+        if not safe(c, members, g):
             put_off.add(c)
             continue
         members.discard(c)
@@ -282,4 +300,4 @@ def polygon_cells(partitions: DataFrame, g: Grid) -> DataFrame:
     return partitions.select(*PARTITION_KEY, "ring").mapInPandas(run, "map_id string, outline_id int, partition_id int, x int, y int, area double")
 
 
-__all__ = ["best_shape", "clip", "connect", "guides", "holes", "parts_of", "polygon_cells", "quality_map", "runs", "shape", "trim"]
+__all__ = ["best_shape", "clip", "connect", "guides", "holes", "parts_of", "polygon_cells", "quality_map", "runs", "safe", "shape", "trim"]

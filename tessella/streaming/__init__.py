@@ -1,0 +1 @@
+"""Nothing: tile maps are one-shot batch work without timestamps or state over time."""
