@@ -7,6 +7,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,45 @@ from .common import shared_dir, slices, stored, utf8
 MAGIC = b"TSV1"
 #: the pre-tokenizer pattern for which WordEncoder is right
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: places in lower-cased UTF-8 between a Latin letter and another ASCII character but the apostrophe
-SEAM = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])")
+#: runs of ASCII characters that are no letter, space or apostrophe
+OTHER = re.compile(rb"[!-&(-@\[-`{-~]+")
+
+
+#: words of Latin-1 letters, which only lower-casing changes, and runs without letters, in which digits stand alone
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+DIGITS = re.compile(r"[0-9]|[^0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+#: of each byte of lower-cased text: 1 for an ASCII letter, 2 for what OTHER takes, else 0
+CLASS = np.array([1 if 97 <= c <= 122 else 2 if OTHER.fullmatch(bytes([c])) else 0 for c in range(256)], np.uint8)
+
+
+def split_words(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of lower-cased texts, cut at white space and between letters (ASCII or Latin-1) and OTHER characters.
+
+    All texts are marked at once: where a byte of class 1 meets one of class 2 a space goes
+    in. A text that may hold an added token is only cut at white space, its case kept.
+    """
+    joined = b"".join([t.lower() for t in texts])
+    raw = np.frombuffer(joined, np.uint8)
+    kind = CLASS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    letter = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    kind[letter] = kind[letter + 1] = 1
+    at = np.flatnonzero(kind[:-1] + kind[1:] == 3) + 1
+    spaced = np.insert(raw, at, 32).tobytes()
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    ends = (ends + np.searchsorted(at, ends)).tolist()
+    return [t.split() if b"<|" in t else spaced[a:b].split() for t, a, b in zip(texts, [0, *ends], ends, strict=False)]
+
+
 #: bytes of each of a control byte's four values: code 0 to 3 is 1 to 4 bytes, lowest bits first
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -29,12 +67,13 @@ MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 class WordEncoder(dict):
     """Ids of texts by way of their words, each of which the tokenizer encodes once while it is remembered.
 
-    Right for tokenizers that lower-case, drop white space and cut words at SEAM (an
-    added white space changes nothing there); others are refused by their spec. Looking
-    up a word gives its number; ``limit`` bounds the memory.
+    Right for tokenizers that lower-case, drop white space and cut between letters and
+    other characters (a space put there changes nothing); others are refused by their
+    spec. Looking up a word gives its number. Of ``limit`` words the more frequent half
+    stays, which bounds the memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,50 +82,75 @@ class WordEncoder(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         spec = json.loads(self.tokenizer.to_str())
         pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
-        if pattern != PATTERN or any(b"<|" not in t["content"].encode() for t in spec["added_tokens"]) or not any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]):
+        if pattern != PATTERN or any("<|" not in t["content"] for t in spec["added_tokens"]) or not any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]):
             raise ValueError("this tokenizer may form tokens across words")
-        self.forget()
-
-    @staticmethod
-    def words(text: bytes) -> list[bytes]:
-        return (text if b"<|" in text else SEAM.sub(b" ", text.lower())).split()
+        self.letters = _byte_letters()
+        self.new: list[bytes] = []
+        # by number of word, with room to grow: where its ids begin in flat, how many there are, and how often it was met
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
-    def forget(self) -> None:
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.hits[: len(self)], kind="stable")[: self.limit // 2])
+        number = np.full(len(self), -1)
+        number[keep] = np.arange(len(keep))
+        left = [(w, n) for w, n in zip(self, number.tolist(), strict=True) if n >= 0]  # words stand in the order of their numbers
         self.clear()
-        self.new: list[bytes] = []
-        self.flat, self.starts, self.lengths, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.update(left)
+        n, starts, hits = self.lengths[keep], self.starts[keep], self.hits[keep]
+        ends = np.cumsum(n)
+        self.used = int(ends[-1])
+        self.flat[: self.used] = self.flat[np.arange(self.used) + np.repeat(starts - ends + n, n)]
+        self.starts[: len(keep)], self.lengths[: len(keep)], self.hits[: len(keep)] = ends - n, n, hits // 2
 
     def _learn(self) -> None:
-        for at in range(0, len(self.new), 5000):
-            got = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in self.new[at : at + 5000]], add_special_tokens=False)]
-            first = len(self) - len(self.new) + at
-            n = np.array([len(x) for x in got], np.int64)
-            while len(self.lengths) < len(self):
-                self.starts, self.lengths = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.lengths))
-            while len(self.flat) < self.used + n.sum():
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            self.lengths[first : first + len(n)] = n
-            self.starts[first : first + len(n)] = self.used + np.cumsum(n) - n
-            self.flat[self.used : self.used + n.sum()] = [i for x in got for i in x]
-            self.used += int(n.sum())
+        """Encode the new words: plain ones by the tokenizer's model, the others by all of its steps."""
+        tokenize, ids = self.tokenizer.model.tokenize, []
+        for w in self.new:
+            parts: list[str] = []
+            if len(w) <= 64:
+                if PLAIN.fullmatch(w):
+                    parts = [w.decode() if w.isascii() else w.decode().lower().encode().decode("latin-1").translate(self.letters)]
+                elif OTHER.fullmatch(w):
+                    parts = DIGITS.findall(w.decode())
+            ids.append([t.id for x in parts for t in tokenize(x)])
+        rest = [i for i, x in enumerate(ids) if not x]
+        for at in range(0, len(rest), 2000):
+            part = rest[at : at + 2000]
+            e = self.tokenizer.encode([self.new[i].decode("utf-8", "replace") for i in part], is_pretokenized=True, add_special_tokens=False)
+            for n, x in zip(e.word_ids, e.ids, strict=True):
+                ids[part[n]].append(x)
+        first, last = len(self) - len(self.new), len(self)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        end = self.used + int(n.sum())
+        while len(self.lengths) < last:
+            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
+        while len(self.flat) < end:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+        self.starts[first:last], self.lengths[first:last], self.hits[first:last] = self.used + np.cumsum(n) - n, n, 0
+        self.used = end
         self.new = []
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text, ``end_id`` last."""
         if len(self) > self.limit:
-            self.forget()
-        words = [self.words(t) for t in texts]
-        at = np.fromiter((x for w in words for x in map(self.__getitem__, w)), np.int64)
-        self._learn()
+            self._forget()
+        words = split_words(texts)
+        counts = np.array([len(w) for w in words], np.int64)
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if self.new:
+            self._learn()
+        self.hits[: len(self)] += np.bincount(at, minlength=len(self))
         n = self.lengths[at]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - ends + n, n)]
-        cuts = np.r_[0, ends][np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]]
+        cuts = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
         return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
@@ -100,25 +164,41 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def width(path: str) -> str:
+    """How ids are held between the passes: 16 bits where the vocabulary allows, else 32."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit, ``end_id`` last) of every document; null texts count as empty."""
+    """doc_id and ids (little-endian unsigned, ``end_id`` last) of every document; null texts count as empty. See ``width``."""
+    kind = width(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in slices(batches, 500, "text", 2 << 20):
+        for batch in slices(batches, 2000, "text", 5 << 20):
             ids = own.encode(utf8(batch.column(1)), end_id)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequencies(encoded: DataFrame) -> DataFrame:
+def ids_of(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a binary column without nulls, in order, without copying."""
+    column = column.cast(pa.binary())
+    size = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    item = int(kind[2])
+    return np.frombuffer(column.buffers()[2], kind, int(size[-1] - size[0]) // item, int(size[0])) if size[-1] > size[0] else np.zeros(0, kind)
+
+
+def frequencies(encoded: DataFrame, kind: str = "<u4") -> DataFrame:
     """How often each id occurs in all documents: id, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, 2000):
-            n = np.bincount(np.frombuffer(b"".join(utf8(batch.column(0))), "<u4"))
+            n = np.bincount(ids_of(batch.column(0), kind))
             total = np.pad(total, (0, max(0, len(n) - len(total)))) + np.pad(n, (0, max(0, len(total) - len(n))))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
@@ -126,18 +206,23 @@ def frequencies(encoded: DataFrame) -> DataFrame:
     return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def pack(ids: list[bytes], keys: list[int | None], rank: np.ndarray, by_rank: np.ndarray) -> bytes:
+def pack(ids: list[bytes], keys: list[int | None], rank: np.ndarray, by_rank: np.ndarray, kind: str = "<u4") -> bytes:
     """One block: magic; counts of documents, ids and vocabulary; keys with a null flag each; ids per document; vocabulary by rank; control bytes; value bytes."""
-    flat = rank[np.frombuffer(b"".join(ids), "<u4")].astype("<u4")
+    flat = rank[np.frombuffer(b"".join(ids), kind)].astype("<u4")
     size = (flat > 0xFF).astype(np.uint8) + (flat > 0xFFFF) + (flat > 0xFFFFFF)
     codes = np.zeros(-(-len(flat) // 4) * 4, np.uint8)
     codes[: len(flat)] = size
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    value = flat.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]]
+    ends = np.cumsum(size, dtype=np.int64) + np.arange(1, len(flat) + 1)
+    value = np.empty(int(ends[-1]) if len(flat) else 0, np.uint8)
+    value[ends - 1 - size] = flat & 0xFF
+    for k in range(1, 4):
+        if len(more := np.flatnonzero(size >= k)):
+            value[ends[more] - 1 - size[more] + k] = flat[more] >> np.uint32(8 * k) & 0xFF
     top = int(flat.max()) + 1 if len(flat) else 0  # the ranks that occur in this block
     head = np.array([len(ids), len(flat), top], "<u8").tobytes()
     null = np.array([k is None for k in keys], np.uint8).tobytes()
-    return b"".join((MAGIC, head, np.array([k or 0 for k in keys], "<i8").tobytes(), null, np.array([len(x) // 4 for x in ids], "<u4").tobytes(), by_rank[:top].astype("<u4").tobytes(), control.tobytes(), value.tobytes()))
+    return b"".join((MAGIC, head, np.array([k or 0 for k in keys], "<i8").tobytes(), null, np.array([len(x) // int(kind[2]) for x in ids], "<u4").tobytes(), by_rank[:top].astype("<u4").tobytes(), control.tobytes(), value.tobytes()))
 
 
 def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -161,14 +246,14 @@ def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], counts, by_rank[word]
 
 
-def write_token_files(encoded: DataFrame, path: str, block_ids: int = 1 << 20) -> None:
+def write_token_files(encoded: DataFrame, path: str, kind: str = "<u4", block_ids: int = 1 << 20) -> None:
     """Write (doc_id, ids) as blocks in ascending doc_id order (nulls first; equal ids by content).
 
     Each output row is a block of about ``block_ids`` ids: shard, block, docs, n_ids, data.
     Shards follow the range partitions, so (shard, block) ascends with doc_id. The rank
     table goes to tasks by closure; the tokenizer's vocabulary bounds it.
     """
-    ranked = [r.id for r in frequencies(encoded).orderBy(F.desc("n"), "id").collect()]
+    ranked = [r.id for r in frequencies(encoded, kind).orderBy(F.desc("n"), "id").collect()]
     by_rank = np.array(ranked, np.uint32)
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank[by_rank] = np.arange(len(ranked))
@@ -177,13 +262,13 @@ def write_token_files(encoded: DataFrame, path: str, block_ids: int = 1 << 20) -
         shard, block, ids, keys, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([n], pa.int64()), "data": pa.array([pack(ids, keys, rank, by_rank)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([n], pa.int64()), "data": pa.array([pack(ids, keys, rank, by_rank, kind)], pa.binary())})
 
         for batch in slices(batches, 200):
             for key, x in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids.append(x)
                 keys.append(key)
-                n += len(x) // 4
+                n += len(x) // int(kind[2])
                 if n >= block_ids:
                     yield out()
                     block, ids, keys, n = block + 1, [], [], 0
@@ -229,5 +314,5 @@ def token_id_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col
     """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tessella/tokens-{uuid.uuid4().hex}"
-    write_token_files(stored(encode_documents(docs, tokenizer, end_id, id_col, text_col), "ids"), path)
+    write_token_files(stored(encode_documents(docs, tokenizer, end_id, id_col, text_col), "ids"), path, width(tokenizer))
     return read_token_files(spark, path)
