@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,20 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def kept_rows(docs: DataFrame, text_col: str, flag: Column, keep: Callable[[list[bytes], list[bool]], list[bool]]) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``keep`` (texts, flags) retains; rows stay where they are, so nothing is shuffled."""
+    schema = StructType([StructField("row", docs.schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000, "row", 4 << 20):
+            row = batch.column(0)
+            good = keep(utf8(pc.struct_field(row, [text_col])), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([row.filter(pa.array(good, pa.bool_()))], ["row"])
+
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), flag.alias("flag"))
+    return whole.mapInArrow(run, schema).select("row.*")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, column: str | None = None, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``rows`` rows and, given a binary or string column, about ``size`` bytes."""
     for batch in batches:

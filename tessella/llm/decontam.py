@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import kept_rows, slices, utf8
 
 #: words are runs of 0-9, a-z and anything beyond ASCII, after lower-casing
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -129,18 +129,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     get blocks of at most about ``block_chars`` of it, a pass over ``docs`` each. An empty
     table on either side gives no rows; other columns aren't read.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // block_chars
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        passed = _leaks(own, [(r.item, r.text.encode()) for r in part.collect()], similarity, least)
+    for block in _blocks(benchmark, item_col, text_col, block_chars):
+        passed = _leaks(own, block, similarity, least)
         out = passed if out is None else out.unionByName(passed)
     return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark in blocks of about ``block_chars``, one at a time on the driver; one empty block if there is nothing."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    for block in range(blocks):
+        yield [(r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
+
+
 def _leaks(own: DataFrame, items: list[tuple[int, bytes]], similarity: float, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, similarity, least)
@@ -153,7 +157,19 @@ def _leaks(own: DataFrame, items: list[tuple[int, bytes]], similarity: float, le
     return own.mapInArrow(run, "doc_id long, item_id long, distance long, end_word long")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item stands."""
-    hit = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["_hit"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, least: int = 5, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item stands; limits as in ``leaks``."""
+    for block in _blocks(benchmark, item_col, text_col, block_chars):
+        docs = _clean(docs, block, text_col, similarity, least)
+    return docs
+
+
+def _clean(docs: DataFrame, items: list[tuple[int, bytes]], text_col: str, similarity: float, least: int) -> DataFrame:
+    held: list[Matcher] = []
+
+    def keep(texts: list[bytes], _: list[bool]) -> list[bool]:
+        if not held:
+            held.append(Matcher(items, similarity, least))
+        return [not held[0].matches(words(t)) for t in texts]
+
+    return kept_rows(docs, text_col, F.lit(True), keep)

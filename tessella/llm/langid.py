@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import kept_rows, slices, utf8
 
 LETTER = r"\p{L}"
 
@@ -214,6 +214,20 @@ def label_language(docs: DataFrame, net: Network | None, id_col: str = "doc_id",
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def in_language(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and a pooled score of at least ``least``.
+
+    Null texts go. Without a network only the letters count.
+    """
+
+    def keep(texts: list[bytes], letters: list[bool]) -> list[bool]:
+        if net is None or not texts:
+            return letters
+        return [a and b >= least for a, b in zip(letters, net.pooled(texts).max(1), strict=True)]
+
+    return kept_rows(docs, text_col, F.coalesce(F.col(text_col).cast("string").rlike(LETTER), F.lit(False)), keep)
+
+
 def identify(docs: DataFrame, **fit: int) -> DataFrame:
     """Fit on the labelled documents that aren't held out, and label every document."""
     return label_language(docs, fit_language(docs, **fit))
