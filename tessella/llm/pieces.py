@@ -32,7 +32,7 @@ class Pieces:
     keep extra spaces and have byte fallback; others are refused.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
