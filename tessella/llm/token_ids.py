@@ -73,7 +73,7 @@ class WordEncoder(dict):
     stays, which bounds the memory.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in slices(batches, 2000, "text", 5 << 20):
+        for batch in slices(batches, 1000, "text", 5 << 19):
             ids = own.encode(utf8(batch.column(1)), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
 
@@ -246,14 +246,17 @@ def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else k for k, z in zip(keys.tolist(), null.tolist(), strict=True)], counts, by_rank[word]
 
 
-def write_token_files(encoded: DataFrame, path: str, kind: str = "<u4", block_ids: int = 1 << 20) -> None:
+def write_token_files(encoded: DataFrame, path: str, kind: str = "<u4", block_ids: int = 1 << 20, part_ids: int = 12 << 20) -> None:
     """Write (doc_id, ids) as blocks in ascending doc_id order (nulls first; equal ids by content).
 
-    Each output row is a block of about ``block_ids`` ids: shard, block, docs, n_ids, data.
+    Each output row is a block of about ``block_ids`` ids: shard, block, docs, n_ids, data;
+    a file holds about ``part_ids`` ids.
     Shards follow the range partitions, so (shard, block) ascends with doc_id. The rank
     table goes to tasks by closure; the tokenizer's vocabulary bounds it.
     """
-    ranked = [r.id for r in frequencies(encoded, kind).orderBy(F.desc("n"), "id").collect()]
+    counted = frequencies(encoded, kind).orderBy(F.desc("n"), "id").collect()
+    ranked = [r.id for r in counted]
+    parts = 1 + sum(r.n for r in counted) // part_ids
     by_rank = np.array(ranked, np.uint32)
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank[by_rank] = np.arange(len(ranked))
@@ -276,7 +279,7 @@ def write_token_files(encoded: DataFrame, path: str, kind: str = "<u4", block_id
             yield out()
 
     tie = F.xxhash64("ids").alias("tie")
-    ordered = encoded.select("doc_id", "ids", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    ordered = encoded.select("doc_id", "ids", tie).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
     ordered.select("doc_id", "ids").mapInArrow(run, "shard int, block int, docs long, n_ids long, data binary").write.parquet(path)
 
 
