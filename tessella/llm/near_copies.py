@@ -1,0 +1,142 @@
+"""Near copies by exact Jaccard similarity of word shingles: prefix filters, then verification."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, slices, stored, utf8
+from .graph import connected_components
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """The distinct XXH64 hashes (signed, sorted) of a text's runs of ``size`` words; a shorter text is one run, one without words none."""
+    import xxhash
+
+    words = text.lower().split()  # on bytes, both touch ASCII letters and white space only
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64).view(np.int64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=False)), np.uint64, len(words) - size + 1)
+    return np.unique(h.view(np.int64))
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """doc_id, text_hash, sid (hash of the shingle set), n and toks (the set, sorted) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in slices(batches, 500, "text", 4 << 20):
+            sets = [shingles(t, size) for t in utf8(batch.column(2))]
+            sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in sets), np.uint64, len(sets)).view(np.int64)
+            n = np.array([len(s) for s in sets], np.int32)
+            toks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sid), pa.array(n), toks], ["doc_id", "text_hash", "sid", "n", "toks"])
+
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, sid long, n int, toks array<long>")
+
+
+def _shared(emitted: DataFrame) -> DataFrame:
+    """The rows (tok, sid, n), once each, whose tok stands in two sets or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int, bool] | None = None  # the last row read and whether it has been given out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tok, sid, n = (batch.column(i).to_numpy() for i in range(3))
+            given = False
+            if last is not None:
+                tok, sid, n = np.r_[last[0], tok], np.r_[last[1], sid], np.r_[last[2], n]
+                given = last[3]
+            new = np.r_[True, (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])]
+            tok, sid, n = tok[new], sid[new], n[new]
+            same = tok[1:] == tok[:-1]
+            out = np.r_[False, same] | np.r_[same, False]
+            last = (int(tok[-1]), int(sid[-1]), int(n[-1]), bool(out[-1]) or (given and len(tok) == 1))
+            if given:
+                out[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(tok[out]), pa.array(sid[out]), pa.array(n[out].astype(np.int32))], ["tok", "sid", "n"])
+
+    return emitted.repartition("tok").sortWithinPartitions("tok", "sid").mapInArrow(run, "tok long, sid long, n int")
+
+
+def _least(n: Column, similarity: float) -> Column:
+    """How many shingles a set of n shares at least with any set as similar as that."""
+    return F.ceil(n * F.lit(similarity) - 1e-9).cast("int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of sids whose sets are at least that similar."""
+    a = sets.select(F.col("sid").alias("src"), F.col("toks").alias("a"))
+    b = sets.select(F.col("sid").alias("dst"), F.col("toks").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return checkpointed(pairs.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst"))
+
+
+def near_copy_sets(own: DataFrame, similarity: float) -> DataFrame:
+    """sid and component of the shingle sets that are linked to another one, links being all pairs of that similarity.
+
+    Two sets of similarity s and sizes up to n share s · n shingles, so in any order of all
+    shingles their first n - s · n + k hold k in common. In order of the hash this sends 3 in 10
+    shingles through a shuffle and leaves the sets that have mates for so many; among these, in
+    order of frequency, the first shared shingle gives the candidates. Large groups are
+    linked to one member first, so that only pairs across groups are listed.
+    """
+    n = F.col("n")
+    more = lambda c: (c / 10).cast("int") + 1
+    emitted = own.where("n > 0").select(F.explode(F.slice("toks", F.lit(1), n - _least(n, similarity) + more(n))).alias("tok"), "sid", "n")
+    mates = _shared(emitted).groupBy("sid", "n").count().where(F.col("count") >= more(_least(n, similarity))).select("sid")
+    mates = checkpointed(mates)
+    sets = stored(own.select("sid", "n", "toks").join(mates, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+
+    keys = F.array(*(F.array_min(F.transform("toks", lambda t, r=r: F.xxhash64(t, F.lit(r)))) for r in range(6)))
+    keyed = checkpointed(sets.select("sid", F.posexplode(keys).alias("r", "h")))
+    first = keyed.groupBy("r", "h").agg(F.min("sid").alias("dst"))
+    stars = keyed.join(first, ["r", "h"]).where("sid <> dst").select(F.col("sid").alias("src"), "dst").distinct()
+    edges = _verified(stars, sets, similarity)
+    group = connected_components(edges)
+    known = checkpointed(sets.select("sid", "n").join(group.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "n", F.coalesce("component", "sid").alias("component")))
+
+    flat = sets.select("sid", "n", F.explode("toks").alias("tok"))
+    often = flat.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    rare = flat.join(often, "tok").groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("by_df"))
+    # shingles of one set only come first in the order and can't be shared
+    length = F.size("by_df") - _least(n, similarity) + 1
+    prefix = rare.where(length > 0).select("sid", F.explode(F.slice("by_df", F.lit(1), length)).alias("x")).select("sid", F.col("x.tok").alias("tok"))
+    prefix = checkpointed(prefix.join(known, "sid").select("tok", "sid", "n", "component"))
+    mixed = prefix.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tok")
+    prefix = checkpointed(prefix.join(mixed, "tok", "left_semi"))
+    other = prefix.select("tok", F.col("sid").alias("dst"), F.col("n").alias("m"), F.col("component").alias("c"))
+    fits = (F.col("component") < F.col("c")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    across = prefix.join(other, "tok").where(fits).select(F.col("sid").alias("src"), "dst").distinct()
+    return connected_components(edges.unionByName(_verified(across, sets, similarity))).withColumnRenamed("node", "sid")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns, with one document of each group of near copies: that with the smallest id.
+
+    Near copies are texts whose sets of ``size``-word shingles (A-Z lower-cased, words split
+    at ASCII white space) have a Jaccard similarity of at least ``similarity``; groups are
+    their connected components. Null texts and texts without words are copies of each other.
+    """
+    own = stored(_sets(docs, id_col, text_col, size), "shingles")
+    group = near_copy_sets(own, similarity)
+    rows = own.select("doc_id", "text_hash", "sid").distinct()
+    rows = checkpointed(rows.join(group, "sid", "left").select("doc_id", "text_hash", F.coalesce("component", "sid").alias("component")))
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    rest = checkpointed(rows.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("_rest")).distinct())
+    return docs.join(rest, F.col(id_col).cast("long") == F.col("_rest"), "left_anti")

@@ -1,0 +1,57 @@
+import random
+from collections import defaultdict
+
+import corpus_pipeline
+from tessella.llm import near_copies
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(rows):
+    """Surviving ids by comparing all pairs that share a shingle."""
+    def runs(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {i: runs(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by, empty = defaultdict(list), [i for i, s in sets.items() if not s]
+    for i, s in sets.items():
+        for x in s:
+            by[x].append(i)
+    pairs = {(a, b) for own in by.values() for k, a in enumerate(own) for b in own[:k]} | {(a, empty[0]) for a in empty}
+    for a, b in pairs:
+        x, y = sets[a], sets[b]
+        if not x and not y or len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {i for i in sets if find(i) == i}
+
+
+def test_edited_copies_do_not_pass_the_stage(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for g in range(12):
+        base = [word() for _ in range(rng.choice((8, 40, 200)))] + (line.split() if g % 2 else [])
+        for c in range(8):
+            text = list(base)
+            for _ in range(c if len(base) > 20 else c // 4):
+                text[rng.randrange(len(text))] = word()
+            rows.append((g * 100 + c, " ".join(text)))
+    rows += [(5000, None), (5001, ""), (5002, "two words"), (5003, "Two  WORDS")]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == brute(rows) and len(kept) < 0.7 * len(rows)
+
+
+def test_stage_against_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == brute(rows)
