@@ -88,64 +88,84 @@ def listed(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, reach: int = 160) -> DataFrame:
-    """doc_id, spans, and for texts with spans key (SHA-256 of the text) and near (the text around each span)."""
+    """doc_id, spans and key (SHA-256 of the text), and for texts with spans terms (the text's, apart from the values) and contexts (of the text around each span)."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("spans", base_spans(F.col("text")))
     has = F.size("spans") > 0
+    rest = F.aggregate("spans", F.col("text"), lambda s, x: F.replace(s, x["value"], F.lit(" ")))
 
     def around(x: Column) -> Column:
         lo = F.greatest(F.lit(0), x["start"] - reach)
-        return F.struct(lo.alias("lo"), F.substring(F.col("text"), lo + 1, x["end"] + reach - lo).alias("part"))
+        return F.xxhash64(F.substring(F.col("text"), lo + 1, x["end"] + reach - lo))
 
-    return own.select("doc_id", "spans", F.when(has, F.sha2("text", 256)).alias("key"), F.when(has, F.transform("spans", around)).alias("near"))
+    return own.select("doc_id", "spans", F.sha2("text", 256).alias("key"), F.when(has, _terms(rest)).alias("terms"), F.when(has, F.transform("spans", around)).alias("contexts"))
 
 
-def mentions(scanned: DataFrame, window: int) -> DataFrame:
-    """One row per distinct text, protected value and place: key, copies, entity, context and terms (start, end, term) within ``window`` words on either side."""
-    texts = scanned.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("near").alias("near"))
-    rows = texts.select("key", "copies", "spans", F.explode(F.arrays_zip("spans", "near")).alias("m"))
-    span, lo = F.col("m.spans"), F.col("m.near.lo")
-    found = F.transform(matches(F.col("m.near.part"), TERM), lambda t: F.struct((t["start"] + lo).alias("start"), (t["end"] + lo).alias("end"), F.lower(t["value"]).alias("term")))
-    rows = rows.select("key", "copies", F.concat_ws(":", span["kind"], span["value"]).alias("entity"), F.xxhash64("m.near.part").alias("context"), span["start"].alias("s"), span["end"].alias("e"), "spans", found.alias("found"))
-    free = F.filter("found", lambda t: ~F.exists("spans", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-    rows = rows.select("key", "copies", "entity", "context", "s", "e", free.alias("free"))
-    left, right = F.filter("free", lambda t: t["end"] <= F.col("s")), F.filter("free", lambda t: t["start"] >= F.col("e"))
-    near = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - window + 1), window), F.slice(right, 1, window))
-    return rows.select("key", "copies", "entity", "context", near.alias("terms"))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, mentioned: DataFrame, documents: int, text_col: str, generalise: float, remove: float, support: int) -> DataFrame:
-    """entity, term and action of the terms that give a protected value away.
+def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: float, remove: float, chance: float) -> DataFrame:
+    """term and action of the terms that give a protected value away.
 
-    A value c carries IC(c) = log(N / n(c)) of information; a term t near it reveals
+    A value c carries IC(c) = log(N / n(c)) of information; a term t reveals
     PMI(c; t) = log(N n(c,t) / (n(c) n(t))) of that. n counts documents: those with the
-    value, those with the term anywhere, and those where the term is near the value. Terms
-    seen near the value in under ``support`` different texts or surroundings are no evidence
-    (copies of a text or passage share theirs). From the share ``generalise`` on a term is generalised, from
-    ``remove`` on removed.
+    value, with the term and with both, anywhere in them. From the share ``generalise``
+    on a term is generalised, from ``remove`` on removed.
+
+    The estimate itself must be more than chance: of k different texts and surroundings
+    with both (copies of a text or passage share theirs), where μ = n(c) n(t) / N were
+    expected, chance gives that many with at most exp(−(k log(k / μ) − k + μ)) (Chernoff),
+    and over all pairs of a value and a term of the corpus there may be ``chance`` such.
+    A value may be as rare as the corpus is large: two texts are enough in a large one.
     """
-    n_entity = mentioned.select("entity", "key", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_c"))
-    flat = mentioned.select("entity", "key", "copies", "context", F.explode("terms.term").alias("term")).distinct()
-    pairs = flat.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("texts"))
-    pairs = pairs.where((F.col("contexts") >= support) & (F.col("texts") >= support)).select("entity", "term")
-    docs_with = flat.select("entity", "term", "key", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"))
-    pairs = checkpointed(pairs.join(docs_with, ["entity", "term"]))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count("*").alias("n_t"))  # combined before the shuffle, then joined
-    n = F.lit(float(documents))
-    ic = F.log(n / F.col("n_c"))
-    pmi = F.log(n * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
+    words = docs.select(F.explode(_terms(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term"))
+    n_term = stored(words.groupBy("term").agg(F.count("*").alias("n_t")), "terms")  # combined before the shuffle
+    texts = scanned.where("size(spans) > 0").groupBy("key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"), F.first("terms").alias("terms"), F.first("contexts").alias("contexts"))
+    at = texts.select("key", "copies", F.explode(F.arrays_zip("spans", "contexts")).alias("m"))
+    at = checkpointed(at.select("key", "copies", F.concat_ws(":", "m.spans.kind", "m.spans.value").alias("entity"), F.col("m.contexts").alias("context")).distinct())
+    once = at.select("entity", "key", "copies").distinct()
+    n_entity = checkpointed(once.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count("*").alias("k_c")))
+    n = float(max(1, scanned.count()))
+    tests = float(max(1, n_entity.count())) * float(max(1, n_term.count()))
+
+    def proof(k: Column, mean: Column) -> Column:
+        return k * F.log(k / mean) - k + mean >= F.log(F.lit(tests / chance))
+
+    # no pair of a value has more proof than a term that stands just in the value's texts
+    open_ = checkpointed(n_entity.where(proof(F.col("k_c"), F.col("k_c") * F.col("k_c") / F.lit(n))))
+    near = at.join(open_, "entity", "left_semi").join(texts.select("key", F.explode("terms").alias("term")), "key")
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("key").alias("texts"))
+    docs_with = near.select("entity", "term", "key", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"))
+    pairs = pairs.join(docs_with, ["entity", "term"]).join(open_, "entity").join(n_term, "term")
+    both = F.greatest("n_t", "n_ct")
+    ic, pmi = F.log(n / F.col("n_c")), F.log(n * F.col("n_ct") / (F.col("n_c") * both))
     share = F.when(ic > 0, pmi / ic)
-    return pairs.join(n_entity, "entity").join(n_term, "term").where(share >= generalise).select("entity", "term", F.when(share >= remove, "remove").otherwise("generalise").alias("action"))
+    sure = proof(F.least("contexts", "texts").cast("double"), F.col("n_c") * both / n)
+    found = pairs.where((share >= generalise) & sure).select("term", F.when(share >= remove, "remove").otherwise("generalise").alias("action"))
+    return stored(found.groupBy("term").agg(F.max("action").alias("action")), "flagged")  # remove sorts last
 
 
-def term_spans(docs: DataFrame, scanned: DataFrame, text_col: str = "text", window: int = 8, generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
-    """key and terms (start, end, action) of the texts with terms to sanitise."""
-    mentioned = checkpointed(mentions(scanned, window))
-    flagged = disclosing(docs, mentioned, max(1, scanned.count()), text_col, generalise, remove, support)
-    rows = mentioned.select("key", "entity", F.explode("terms").alias("t")).select("key", "entity", F.col("t.term").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hits = rows.join(flagged, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("action").alias("action"))  # remove sorts last
-    return hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+def term_spans(docs: DataFrame, scanned: DataFrame, text_col: str = "text", generalise: float = 0.6, remove: float = 0.8, chance: float = 1.0) -> DataFrame | None:
+    """key and terms (start, end, action) of all texts with terms to sanitise, wherever in whichever document they stand; None without any."""
+    flagged = disclosing(docs, scanned, text_col, generalise, remove, chance)
+    if flagged.isEmpty():
+        return None
+    own = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
+    hits = own.select("key", F.explode(_terms(F.col("text"))).alias("term")).distinct().join(flagged, "term")
+    hits = stored(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")), "hits")
+    own = own.join(hits, "key").dropDuplicates(["key"]).withColumn("spans", base_spans(F.col("text")))
+    found = F.transform(matches(F.col("text"), TERM), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.col("actions")[F.lower(t["value"])].alias("action")))
+    free = F.filter(found, lambda t: t["action"].isNotNull() & ~F.exists("spans", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
+    return stored(own.select("key", free.alias("terms")).where(F.size("terms") > 0), "places")
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """``rows`` (spans, key) with all spans, those of terms too."""
+    if terms is None:
+        return rows.withColumn("all", F.col("spans"))
+    found = rows.join(terms.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left")
+    return found.withColumn("all", _all_spans(F.col("spans"), F.col("terms")))
 
 
 def _all_spans(spans: Column, terms: Column) -> Column:
@@ -163,10 +183,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids stay null, no rows give no rows, other columns aren't read.
     """
     scanned = stored(scan(docs, id_col, text_col), "spans")
-    terms = term_spans(docs, scanned, text_col, **limits)
-    none = scanned.where("key is null").withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,action:string>>"))
-    found = scanned.where("key is not null").join(terms, "key", "left").select(*none.columns).unionByName(none)  # most texts have no spans and aren't shuffled
-    found = found.withColumn("all", _all_spans(F.col("spans"), F.col("terms")))
+    found = _with_terms(scanned.select("doc_id", "spans", "key"), term_spans(docs, scanned, text_col, **limits))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -185,10 +202,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # the table's columns stay apart from ours
     text = F.col("row")[text_col].cast("string")
     work = row.withColumn("spans", base_spans(F.coalesce(text, F.lit(""))))
-    work = work.withColumn("k", F.when(F.size("spans") > 0, F.sha2(text, 256)))
-    plain = work.where("k is null").withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int,action:string>>"))
-    work = work.where("k is not null").join(terms, F.col("k") == F.col("key"), "left").select(*plain.columns).unionByName(plain)
-    work = work.withColumn("all", _all_spans(F.col("spans"), F.col("terms")))
+    work = _with_terms(work if terms is None else work.withColumn("key", F.sha2(text, 256)), terms)
     state = "struct<at:int,out:string>"
 
     def step(s: Column, x: Column) -> Column:
