@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -13,21 +14,24 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 
 
+SYMBOLS = string.punctuation.encode()
+
+
 class WordHashes(dict):
-    """Hash of a word, remembered for up to ``limit`` words."""
+    """Hash of a word without ASCII symbols at its ends (a word of symbols alone stays), remembered for up to ``limit`` words."""
 
     def __init__(self, limit: int = 300_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
-        h = zlib.crc32(word)
+        h = zlib.crc32(word.strip(SYMBOLS) or word)
         if len(self) < self.limit:
             self[word] = h
         return h
 
 
 def features(text: bytes, hashes: WordHashes, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of a text (A-Z lower-cased, split at ASCII white space) with weights 1 + log(count), scaled to length ten in all."""
+    """Hashed words of a text (A-Z lower-cased, split at ASCII white space, symbols at the ends left out) with weights 1 + log(count), scaled to length ten in all."""
     ws = text.lower().split()
     h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
     at = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
