@@ -91,12 +91,14 @@ class Graph:
     distance, so the graph stays navigable for vectors of any lengths.
     """
 
-    def __init__(self, vectors: np.ndarray, layers: list[Layer]):
+    def __init__(self, vectors: np.ndarray, layers: list[Layer], entries: np.ndarray | None = None):
         self.vectors, self.layers = vectors, layers
+        self.entries = np.zeros(1, int) if entries is None else entries
         self.x = self.levelled(vectors)
 
     @staticmethod
     def levelled(vectors: np.ndarray) -> np.ndarray:
+        vectors = vectors / (np.abs(vectors).max(initial=0.0) or 1.0)  # squares stay finite
         long = (vectors.astype(np.float64) ** 2).sum(1)
         scale = np.sqrt(long.max()) if len(long) else 1.0
         rest = np.sqrt(np.maximum(0, scale**2 - long))
@@ -116,8 +118,23 @@ class Graph:
                 break
         for depth in range(len(members) - 1, -1, -1):
             graph.layers.insert(0, graph._grow(members[depth], 2 * degree if depth == 0 else degree, beam, block))
+        graph.entries = graph._entries()
         return graph
 
+    def _entries(self) -> np.ndarray:
+        """Nodes from which, together, every node of the lowest layer can be reached: the first row, and one of each part that the others miss."""
+        near = self.layers[0].near
+        found, reached, at = [], np.zeros(len(near), bool), 0
+        while at < len(near):
+            found.append(at)
+            front = np.array([at])
+            while len(front):
+                reached[front] = True
+                to = np.unique(near[front])
+                front = to[(to >= 0) & ~reached[np.maximum(to, 0)]]
+            at += int(np.argmin(reached[at:])) if not reached[at:].all() else len(near)
+        return np.array(found)
+
     def _enter(self, q: np.ndarray, below: int = 0) -> np.ndarray | None:
         """For each query the best node found by going down the layers above ``below``."""
         at = None
@@ -191,13 +208,15 @@ class Graph:
     def search(self, queries: np.ndarray, k: int, beam: int, block: int = 256) -> np.ndarray:
         """The k best rows found for each query, -1 where there are fewer."""
         out = np.full((len(queries), k), -1)
-        long = np.sqrt((queries.astype(np.float64) ** 2).sum(1, keepdims=True))
-        q = np.concatenate([queries / np.where(long > 0, long, 1), np.zeros((len(queries), 1))], 1).astype(np.float32)
+        small = queries / np.maximum(np.abs(queries).max(1, initial=0.0, keepdims=True), np.finfo(np.float64).tiny)
+        long = np.sqrt((small.astype(np.float64) ** 2).sum(1, keepdims=True))
+        q = np.concatenate([small / np.where(long > 0, long, 1), np.zeros((len(queries), 1))], 1).astype(np.float32)
         base = self.layers[0]
         for a in range(0, len(q), block):
             part = q[a : a + block]
             at = self._enter(part, 1)
-            start = np.zeros((len(part), 1), int) if at is None else at
+            start = np.repeat(self.entries[None], len(part), 0)
+            start = start if at is None else np.concatenate([at, start], 1)
             ids, _ = search_layer(self.x, base.near, part, start, min(max(beam, k), len(self.x)))
             out[a : a + block, : min(k, ids.shape[1])] = ids[:, :k]
         return out
@@ -205,25 +224,31 @@ class Graph:
     def flat(self) -> dict[str, bytes]:
         """The layers as flat arrays of 32-bit integers: sizes and degrees, nodes, neighbours."""
         head = np.array([n for y in self.layers for n in y.near.shape], "<i4")
-        return {"shape": head.tobytes(), "nodes": np.concatenate([y.nodes for y in self.layers]).astype("<i4").tobytes(), "near": np.concatenate([y.near.reshape(-1) for y in self.layers]).astype("<i4").tobytes()}
+        return {"shape": head.tobytes(), "nodes": np.concatenate([y.nodes for y in self.layers]).astype("<i4").tobytes(), "near": np.concatenate([y.near.reshape(-1) for y in self.layers]).astype("<i4").tobytes(), "entries": self.entries.astype("<i4").tobytes()}
 
     @classmethod
-    def load(cls, vectors: np.ndarray, shape: bytes, nodes: bytes, near: bytes) -> Graph:
+    def load(cls, vectors: np.ndarray, shape: bytes, nodes: bytes, near: bytes, entries: bytes) -> Graph:
         sizes = np.frombuffer(shape, "<i4").reshape(-1, 2).tolist()
         own, to, layers, i, j = np.frombuffer(nodes, "<i4"), np.frombuffer(near, "<i4"), [], 0, 0
         for n, d in sizes:
             layers.append(Layer(own[i : i + n].astype(int), to[j : j + n * d].reshape(n, d).astype(int)))
             i, j = i + n, j + n * d
-        return cls(vectors, layers)
+        return cls(vectors, layers, np.frombuffer(entries, "<i4").astype(int))
+
 
+INDEX = "shard int, n int, vectors binary, counts binary, ids binary, shape binary, nodes binary, near binary, entries binary"
 
-def build_index(vectors: DataFrame, k: int, shard_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame, int]:
-    """(index, usable rows (id, v), number of shards): one index row per shard with its graph as flat arrays.
+
+def build_index(vectors: DataFrame, k: int, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame, int, str]:
+    """(index, usable rows (id, v), number of shards, numpy type of the vectors): one index row per shard with its graph as flat arrays.
 
     Every distinct vector is indexed, with its k + 1 smallest ids: of equal vectors no other
-    can be among the k nearest of any query, ties going to smaller ids.
+    can be among the k nearest of any query, ties going to smaller ids. Vectors of floats
+    are kept as such, all others as doubles.
     """
-    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    item, kind = ("float", "<f4") if single else ("double", "<f8")
+    raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{item}>").alias("v"))
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))) & F.exists("v", lambda e: e != 0)
     raw = raw.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     widths = raw.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
@@ -236,52 +261,59 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 8192, id_col: str
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         lists = t.column("ids").to_pylist()
-        x = np.array(t.column("v").combine_chunks().flatten(), np.float32).reshape(len(lists), width)
+        x = np.array(t.column("v").combine_chunks().flatten(), kind).reshape(len(lists), width)
         order = sorted(range(len(lists)), key=lambda i: lists[i])
         x, lists = np.ascontiguousarray(x[order]), [lists[i] for i in order]
         graph = Graph.build(x)
         row = {"shard": key[0].as_py(), "n": len(lists), "vectors": x.tobytes(), "counts": np.array([len(i) for i in lists], "<i4").tobytes(), "ids": np.concatenate(lists).astype("<i8").tobytes()} | graph.flat()
-        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("vectors", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()), ("shape", pa.binary()), ("nodes", pa.binary()), ("near", pa.binary())]))
+        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("vectors", "counts", "ids", "shape", "nodes", "near", "entries"))]))
 
     keyed = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).select("shard", "v", "ids")
-    index = keyed.groupBy("shard").applyInArrow(build, "shard int, n int, vectors binary, counts binary, ids binary, shape binary, nodes binary, near binary")
-    return stored(index, "graphs"), usable, shards
+    return stored(keyed.groupBy("shard").applyInArrow(build, INDEX), "graphs"), usable, shards, kind
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, shard_rows: int = 8192, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, shard_rows: int = 16_384, block: int = 2048, lanes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision; ties go to the smaller id. A query
-    is searched in every shard's graph and the shards' best are merged. Null, zero and
+    is searched in every shard's graph and the shards' best are merged. A shard's graph is
+    loaded by ``lanes`` tasks at most, past which the queries stream in blocks. Null, zero and
     non-finite vectors, vectors of another length than most, and rows without an id take no
     part. Repeated rows count once; a row with the query's id isn't its neighbour; of a query
     id with several vectors the smallest is searched. With k or fewer candidates all are
     returned; an empty table gives no rows; other columns aren't read.
     """
-    index, usable, shards = build_index(vectors, k, shard_rows, id_col, vector_col)
+    index, usable, shards, kind = build_index(vectors, k, shard_rows, id_col, vector_col)
     queries = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     queries = checkpointed(queries)
     blocks = max(1, -(-queries.count() // block))
+    lanes = min(lanes, blocks)
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        x = np.array(t.column("v").combine_chunks().flatten(), np.float32)
-        return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "query_ids": pa.array([np.array(t.column("id"), "<i8").tobytes()], pa.binary()), "queries": pa.array([x.tobytes()], pa.binary())})
+        x = np.array(t.column("v").combine_chunks().flatten(), kind)
+        return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([np.array(t.column("id"), "<i8").tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())})
 
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", "id", "v").groupBy("block").applyInArrow(pack, "block int, query_ids binary, queries binary")
-    pairs = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, "shard")
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", "id", "v").groupBy("block").applyInArrow(pack, "block int, ids binary, vectors binary")
+    graphs = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("block", F.lit(-1))
+    asked = packed.withColumn("lane", F.col("block") % lanes).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    both = graphs.unionByName(asked, allowMissingColumns=True).repartition(min(shards * lanes, 2000), "shard", "lane").sortWithinPartitions("shard", "lane", "block")
+    names = ["n", "vectors", "counts", "ids", "shape", "nodes", "near", "entries", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = counts = ids = first = None
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
-            n = row["n"]
-            x = np.frombuffer(row["vectors"], np.float32).reshape(n, -1)
-            q_id, q = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"], np.float32).reshape(-1, x.shape[1])
-            counts, ids = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
-            first = np.cumsum(counts) - counts
-            got = Graph.load(x, row["shape"], row["nodes"], row["near"]).search(q, k + 1, beam)
+            if row["block"] < 0:  # the shard's graph comes before its queries
+                x = np.frombuffer(row["vectors"], kind).reshape(row["n"], -1)
+                graph = Graph.load(x, row["shape"], row["nodes"], row["near"], row["entries"])
+                counts, ids = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
+                first = np.cumsum(counts) - counts
+                continue
+            q_id, q = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], kind).reshape(-1, graph.vectors.shape[1])
+            got = graph.search(q, k + 1, beam)
             r, c = np.nonzero(got >= 0)
             at = got[r, c]
-            score = np.einsum("ij,ij->i", q[r].astype(np.float64), x[at].astype(np.float64))
+            score = np.einsum("ij,ij->i", q[r].astype(np.float64), graph.vectors[at].astype(np.float64))
             m = counts[at]
             r, score = np.repeat(r, m), np.repeat(score, m)
             member = ids[np.arange(m.sum()) + np.repeat(first[at] - np.cumsum(m) + m, m)]
@@ -294,6 +326,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, s
             keep = rank < k
             yield pa.RecordBatch.from_arrays([pa.array(q_id[r[keep]]), pa.array(member[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("shard", "n", "vectors", "counts", "ids", "shape", "nodes", "near", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = both.select(*names).mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, slices, utf8
+from .common import kept_rows, slices, stored, utf8
 
 #: words are runs of 0-9, a-z and anything beyond ASCII, after lower-casing
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -46,16 +46,17 @@ class Matcher:
     """Items as word numbers, cut into error budget + 1 pieces whose hashes are looked up in texts.
 
     An item of m words allows floor((1 - similarity) · m) edits of words. Of that many
-    pieces plus one, a passage within the budget holds one unchanged.
+    pieces plus one, a passage within the budget holds one unchanged. A short item allows no
+    edit and is one piece; one without words takes no part.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float, least: int):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float):
         self.ids: dict[bytes, int] = {}
         self.items: list[tuple[list[int], list[int], int, dict[int, int]]] = []
         same: dict[tuple[int, ...], list[int]] = defaultdict(list)
         for item, text in items:
             ws = words(text)
-            if len(ws) >= least:
+            if ws:
                 same[tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in ws)].append(item)
         pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (seq, owners) in enumerate(sorted(same.items())):
@@ -119,37 +120,42 @@ class Matcher:
         return sorted(found)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, least: int = 5, block_chars: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance (words changed, put in or left out) and end_word of every benchmark item that stands in a document.
 
     A passage matches within floor((1 - similarity) · words) edits; case and punctuation
-    don't count. Items of under ``least`` words are no evidence and take no part; null
-    items and texts neither. Items with equal words each get their rows, and repeated
-    documents too. The benchmark is a stated query set: its size is measured, and tasks
-    get blocks of at most about ``block_chars`` of it, a pass over ``docs`` each. An empty
+    don't count. Short items must stand there unchanged; null items, those without words and
+    null texts match nothing; the rows of an item without an id have none. Items with equal
+    words each get their rows, and repeated documents too. The benchmark is a stated query
+    set: its size is measured, and tasks get blocks of at most about ``block_chars`` of it, a
+    pass over ``docs`` each, whose rows are written before the next block is read. An empty
     table on either side gives no rows; other columns aren't read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark, item_col, text_col, block_chars):
-        passed = _leaks(own, block, similarity, least)
+    for block, last in _blocks(benchmark, item_col, text_col, block_chars):
+        passed = _leaks(own, block, similarity)
+        if out is not None or not last:
+            passed = stored(passed, "leaks")
         out = passed if out is None else out.unionByName(passed)
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark in blocks of about ``block_chars``, one at a time on the driver; one empty block if there is nothing."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+def _blocks(benchmark: DataFrame, item_col: str | None, text_col: str, block_chars: int) -> Iterator[tuple[list[tuple[int | None, bytes]], bool]]:
+    """The benchmark in blocks of about ``block_chars``, one at a time on the driver, and whether it is the last; one empty block if there is nothing."""
+    item = F.lit(None) if item_col is None else F.col(item_col)
+    items = benchmark.select(item.cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
     for block in range(blocks):
-        yield [(r.item, r.text.encode()) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        yield [(r.item, r.text.encode()) for r in own.collect()], block + 1 == blocks
 
 
-def _leaks(own: DataFrame, items: list[tuple[int, bytes]], similarity: float, least: int) -> DataFrame:
+def _leaks(own: DataFrame, items: list[tuple[int | None, bytes]], similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items, similarity, least)
+        matcher = Matcher([(k, text) for k, (_, text) in enumerate(items)], similarity)
         for batch in slices(batches, 1000):
-            rows = [(doc, *m) for doc, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) for m in matcher.matches(words(t))]
+            rows = [(doc, items[k][0], d, end) for doc, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True) for k, d, end in matcher.matches(words(t))]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "distance", "end_word"])
@@ -157,19 +163,21 @@ def _leaks(own: DataFrame, items: list[tuple[int, bytes]], similarity: float, le
     return own.mapInArrow(run, "doc_id long, item_id long, distance long, end_word long")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", similarity: float = 0.8, least: int = 5, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item stands; limits as in ``leaks``."""
-    for block in _blocks(benchmark, item_col, text_col, block_chars):
-        docs = _clean(docs, block, text_col, similarity, least)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark item stands; matches and blocks as in ``leaks``, whatever the items' ids."""
+    for block, last in _blocks(benchmark, None, text_col, block_chars):
+        docs = _clean(docs, block, text_col, similarity)
+        if not last:
+            docs = stored(docs, "clean")
     return docs
 
 
-def _clean(docs: DataFrame, items: list[tuple[int, bytes]], text_col: str, similarity: float, least: int) -> DataFrame:
+def _clean(docs: DataFrame, items: list[tuple[int | None, bytes]], text_col: str, similarity: float) -> DataFrame:
     held: list[Matcher] = []
 
     def keep(texts: list[bytes], _: list[bool]) -> list[bool]:
         if not held:
-            held.append(Matcher(items, similarity, least))
+            held.append(Matcher([(k, text) for k, (_, text) in enumerate(items)], similarity))
         return [not held[0].matches(words(t)) for t in texts]
 
     return kept_rows(docs, text_col, F.lit(True), keep)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept_rows, slices, utf8
@@ -41,15 +41,17 @@ class Network:
         shapes = {"v": (2 * h, k), "c": (k,)} | {f"{d}{n}": s for d in "fb" for n, s in (("x", (256, 2 * h)), ("u", (h, 2 * h)), ("y", (256, h)), ("w", (h, h)))}
         self.p = {n: rng.normal(0, 0.0 if n == "c" else 0.3, s).astype(np.float32) for n, s in shapes.items()}
 
-    def states(self, x: np.ndarray, d: str, keep: bool = False, lengths: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+    def states(self, x: np.ndarray, d: str, keep: bool = False, first: np.ndarray | None = None, lengths: np.ndarray | None = None) -> tuple[np.ndarray, list]:
         """States of direction ``d`` after each byte of x (time, row) in reading order, and with ``keep`` what its gradient needs.
 
-        Past a row's length the state stays zero, so padding is never read.
+        Before a row's ``first`` byte and past its length the state stays zero, so padding is never read.
         """
         p, h = self.p, np.zeros((x.shape[1], self.size), np.float32)
         out = np.empty((*x.shape, self.size), np.float32)
         kept = []
         size = self.size
+        first_most = 0 if first is None or not len(first) else int(first.max())
+        least = 0 if lengths is None or not len(lengths) else int(lengths.min())
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             g = p[d + "x"][x[t]]
             g += h @ p[d + "u"]
@@ -62,18 +64,25 @@ class Network:
             new = h - n
             new *= z
             new += n
-            if lengths is not None:
+            if first is not None and t < first_most:
+                new[t < first] = 0
+            if lengths is not None and t >= least:
                 new[t >= lengths] = 0
             if keep:
                 kept.append((t, h, r, z, rh, n))
             out[t] = h = new
         return out, kept
 
-    def probabilities(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
-        """Label probabilities of each byte of x (time, row), of which rows may use the first ``lengths``."""
+    def probabilities(self, before: np.ndarray, after: np.ndarray, first: np.ndarray, lengths: np.ndarray, span: int) -> np.ndarray:
+        """Label probabilities of the bytes of pieces.
+
+        ``before`` (time, row) is what the forward layer reads, of which the last bytes are the
+        piece and those from ``first`` on count; ``after`` is what the backward layer reads, of
+        which the first ``span`` bytes are the piece and ``lengths`` count.
+        """
         size, p = self.size, self.p
-        logits = self.states(x, "f")[0] @ p["v"][:size]
-        logits += self.states(x, "b", lengths=lengths)[0] @ p["v"][size:]
+        logits = self.states(before, "f", first=first)[0][-span:] @ p["v"][:size]
+        logits += self.states(after, "b", lengths=lengths)[0][:span] @ p["v"][size:]
         logits += p["c"]
         logits -= logits.max(-1, keepdims=True)
         np.exp(logits, logits)
@@ -137,55 +146,58 @@ class Network:
                 self.p[k] -= (slow * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def pooled(self, texts: list[bytes], span: int = 96, rows: int = 2048) -> np.ndarray:
+    def pooled(self, texts: list[bytes], span: int = 192, lead: int = 32, rows: int = 1024) -> np.ndarray:
         """Mean label probabilities over all bytes of each text (an empty one: all alike).
 
-        Texts are read whole, in pieces of ``span`` bytes; each piece starts with fresh states.
+        Texts are read whole, in pieces of ``span`` bytes that are labelled side by side. The
+        forward layer comes to a piece from ``lead`` bytes before it and the backward layer from
+        ``lead`` bytes after it, or from the text's edge, so no byte is labelled out of context.
         """
         k = len(self.langs)
         total = np.zeros((len(texts), k))
         size = np.array([len(t) for t in texts], np.int64)
         pieces = -(-size // span)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        first = np.cumsum(pieces) - pieces
-        flat = np.full((len(owner), span), 32, np.uint8)
-        for i, t in enumerate(texts):
-            flat[first[i] : first[i] + pieces[i]].reshape(-1)[: len(t)] = np.frombuffer(t, np.uint8)
-        left = np.minimum(span, size[owner] - span * (np.arange(len(owner)) - first[owner]))
-        for a in range(0, len(owner), rows):
-            b = min(a + rows, len(owner))
-            n = left[a:b]
-            short = bool((n < span).any())
-            q = self.probabilities(np.ascontiguousarray(flat[a:b].T), n if short else None)
-            if short:
-                q *= (np.arange(span)[:, None] < n)[:, :, None]
-            np.add.at(total, owner[a:b], q.sum(0))
+        at = span * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        pad = span + lead
+        buffer = np.frombuffer(b" " * pad + b"".join(texts) + b" " * pad, np.uint8)
+        place = pad + (np.cumsum(size) - size)[owner] + at
+        left = size[owner] - at
+        order = np.argsort(np.minimum(left, pad), kind="stable")  # short pieces together
+        for a in range(0, len(order), rows):
+            part = order[a : a + rows]
+            own = int(min(span, left[part].max()))
+            ahead = int(min(pad, left[part].max()))
+            before = buffer[place[part] + np.arange(-lead, own)[:, None]]
+            after = buffer[place[part] + np.arange(ahead)[:, None]]
+            q = self.probabilities(before, after, np.maximum(0, lead - at[part]), left[part], own)
+            q *= (np.arange(own)[:, None] < left[part])[:, :, None]
+            np.add.at(total, owner[part], q.sum(0))
         return np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], 1 / max(k, 1))
 
 
-def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, **train: int) -> Network | None:
+def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, labels: int = 64, **train: int) -> Network | None:
     """A network from at most ``sample`` labelled documents of each language that aren't held out; None without any.
 
-    Those with the smallest hash of doc_id are taken. The bound is on fitting alone.
+    Those with the smallest hash of doc_id and text are taken, repeated rows once, of the
+    ``labels`` languages with most documents (ties by name). The bounds are on fitting alone.
     """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null").where(~held_out("doc_id"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = known.where(F.col("text").rlike(LETTER))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("doc_id", "text")).alias("different"))
+    counts = {r.lang: r.different for r in counted.orderBy(F.desc("n"), "lang").limit(labels).collect()}
     if not counts:
         return None
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) / float(1 << 31)
     share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (1.3 * sample + 20) / n)))))[F.col("lang")]
-    rows = known.where(F.col("text").rlike(LETTER)).where(order < share).select("doc_id", "lang", "text", order.alias("o")).collect()
-    langs = sorted(counts)
-    texts, y = [], []
-    for i, lang in enumerate(langs):
-        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.o, str(r.doc_id), r.text))[:sample]:
-            texts.append(r.text.encode())
-            y.append(i)
-    present = sorted(set(y))
-    if not present:
+    near = known.withColumn("o", order).where(F.col("lang").isin(list(counts))).where(F.col("o") < share).select("lang", "o", F.col("doc_id").cast("string").alias("doc_id"), "text").distinct()
+    first = Window.partitionBy("lang").orderBy("o", "doc_id", "text")
+    rows = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample).orderBy("lang", "k").collect()
+    langs = sorted({r.lang for r in rows})
+    if not langs:
         return None
-    net = Network([langs[i] for i in present])
-    net.train(texts, np.array([present.index(i) for i in y]), **train)
+    net = Network(langs)
+    net.train([r.text.encode() for r in rows], np.array([langs.index(r.lang) for r in rows]), **train)
     return net
 
 

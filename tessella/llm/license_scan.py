@@ -29,6 +29,11 @@ NOTICES = [
     ("agpl-3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License", ["gnu affero general public license"]),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license v 2"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "with or without modification are permitted"]),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ["permission is granted to anyone to use this software for any purpose"]),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0"]),
+    ("boost", "Distributed under the Boost Software License, Version 1.0", ["boost software license version 1"]),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ["copyright and related and neighboring rights"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["for any purpose with or without fee is hereby granted"]),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
@@ -76,9 +81,10 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
 
 
 class Index:
-    """Posting lists of the ``anchors`` rarest words of each notice's key phrases: word to (notice, position).
+    """Posting lists of the ``anchors`` words of highest IDF in each notice's key phrases: word to (notice, position).
 
-    Only these words are sure to stand in a text that holds the notice, whole or in part.
+    Only these words are sure to stand in a text that holds the notice, whole or in part: a
+    file's own licence words of highest IDF are looked up, as it has them all or can't match.
     """
 
     def __init__(self, notices: list[tuple[str, str, list[str]]], n: int, df: dict[bytes, int], anchors: int = 4, slack: int = 2):
@@ -105,21 +111,24 @@ class Index:
         for k, offsets in hits.items():
             label, notice, keys = self.notices[k]
             offsets.sort()
-            i = 0
-            while i < len(offsets):
-                j = i
-                while j < len(offsets) and offsets[j][0] - offsets[i][0] <= self.slack:
+            j, tried, count = 0, -1, Counter()
+            for i, (offset, w) in enumerate(offsets):  # a window opens at every offset, so none can hide the next
+                while j < len(offsets) and offsets[j][0] - offset <= self.slack:
+                    count[offsets[j][1]] += 1
                     j += 1
-                if len({w for _, w in offsets[i:j]}) >= self.needed[k]:
-                    lo = max(0, offsets[i][0] - self.slack)
+                if len(count) >= self.needed[k] and (j > tried or offset > offsets[i - 1][0]):
+                    tried = j
+                    lo = max(0, offset - self.slack)
                     window = ws[lo : offsets[j - 1][0] + len(notice) + self.slack]
                     line = b" " + b" ".join(window) + b" "
                     if all(b" " + b" ".join(key) + b" " in line for key in keys):
                         labels.add(label)
-                        base = offsets[i][0] - lo
-                        near = sum(w in window[max(0, base + q - self.slack) : max(0, base + q + 2 * self.slack + 1)] for q, w in enumerate(notice))
+                        base = offset - lo
+                        near = sum(v in window[max(0, base + q - self.slack) : max(0, base + q + 2 * self.slack + 1)] for q, v in enumerate(notice))
                         best = max(best, near / len(notice))
-                i += 1 if j == i else j - i
+                count[w] -= 1
+                if not count[w]:
+                    del count[w]
         return labels, best
 
 

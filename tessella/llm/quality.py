@@ -90,12 +90,16 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def fit_quality(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, bits: int = 18, n_grades: int = 3) -> Ordinal | None:
     """A model from (doc_id, grade) of at most ``sample`` documents, those with the smallest hash of doc_id; None without any.
 
-    The bound is on fitting alone: every document is scored.
+    Grades of documents that don't exist or have no text are passed over, and of documents
+    that share an id the smallest text counts. The bound is on fitting alone: every document
+    is scored.
     """
-    chosen = [(r.doc_id, r.grade) for r in grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not chosen:
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+    there = grades.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = {r.doc_id: r.grade for r in there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    if not known:
         return None
-    known = dict(chosen)
+    one = own.where(F.col("doc_id").isin(list(known))).groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -103,11 +107,7 @@ def fit_quality(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text
             got = [features(t, hashes, bits) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], ["doc_id", "at", "x"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isin(list(known)))
-    rows = own.mapInArrow(run, "doc_id long, at binary, x binary").collect()
-    first = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.at), bytes(r.x))):  # of repeated ids one counts
-        first.setdefault(r.doc_id, r)
+    first = {r.doc_id: r for r in sorted(one.mapInArrow(run, "doc_id long, at binary, x binary").collect(), key=lambda r: r.doc_id)}
     data = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.x, np.float32)) for r in first.values()]
     y = np.array([known[k] for k in first])
     return Ordinal.fit(data, y, bits, n_grades) if data else None

@@ -69,17 +69,19 @@ class WordEncoder(dict):
 
     Right for tokenizers that lower-case, drop white space and cut between letters and
     other characters (a space put there changes nothing); others are refused by their
-    spec. Looking up a word gives its number. Of ``limit`` words the more frequent half
-    stays, which bounds the memory.
+    spec, and a text of each slice is compared with what all of the tokenizer's steps give;
+    if it differs, they encode that slice. Looking up a word gives its number. From ``limit``
+    words or ``room`` bytes of words on, the most frequent of at most 64 bytes stay, up to
+    half of either, which bounds the memory whatever the texts' words are like.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000, room: int = 8 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.room, self.bytes, self.differences = Tokenizer.from_file(path), limit, room, 0, 0
         spec = json.loads(self.tokenizer.to_str())
         pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
         if pattern != PATTERN or any("<|" not in t["content"] for t in spec["added_tokens"]) or not any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]):
@@ -93,10 +95,15 @@ class WordEncoder(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.bytes += len(word)
         return n
 
     def _forget(self) -> None:
-        keep = np.sort(np.argsort(-self.hits[: len(self)], kind="stable")[: self.limit // 2])
+        order = np.argsort(-self.hits[: len(self)], kind="stable")
+        size = np.fromiter(map(len, self), np.int64, len(self))[order]
+        order, size = order[size <= 64], size[size <= 64]
+        fits = np.cumsum(size) <= self.room // 2
+        keep, self.bytes = np.sort(order[fits][: self.limit // 2]), int(size[fits][: self.limit // 2].sum())
         number = np.full(len(self), -1)
         number[keep] = np.arange(len(keep))
         left = [(w, n) for w, n in zip(self, number.tolist(), strict=True) if n >= 0]  # words stand in the order of their numbers
@@ -104,7 +111,7 @@ class WordEncoder(dict):
         self.update(left)
         n, starts, hits = self.lengths[keep], self.starts[keep], self.hits[keep]
         ends = np.cumsum(n)
-        self.used = int(ends[-1])
+        self.used = int(ends[-1]) if len(ends) else 0
         self.flat[: self.used] = self.flat[np.arange(self.used) + np.repeat(starts - ends + n, n)]
         self.starts[: len(keep)], self.lengths[: len(keep)], self.hits[: len(keep)] = ends - n, n, hits // 2
 
@@ -139,8 +146,20 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text, ``end_id`` last."""
-        if len(self) > self.limit:
+        if len(self) > self.limit or self.bytes > self.room:
             self._forget()
+        got = self._by_words(texts, end_id)
+        some = max(range(len(texts)), key=lambda i: (len(texts[i]) <= 4096, len(texts[i])), default=None)  # the longest that is soon compared
+        if some is not None and got[some].tolist() != [*self._whole(texts[some]), end_id]:
+            self.differences += 1
+            return [np.array([*self._whole(t), end_id], np.uint32) for t in texts]
+        return got
+
+    def _whole(self, text: bytes) -> list[int]:
+        """A text's ids by all of the tokenizer's steps."""
+        return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+    def _by_words(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         words = split_words(texts)
         counts = np.array([len(w) for w in words], np.int64)
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))

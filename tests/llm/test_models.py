@@ -24,13 +24,33 @@ def test_gradient():
         assert abs((up - down) / (2 * e) - g[at]) < 0.02 * abs(g[at]) + 1e-4, name
 
 
-def test_whole_texts_count():
-    net = langid.Network(["a", "b"], 4)
-    text = bytes(range(97, 123)) * 40
-    p = net.pooled([text, b"", b"x"], span=32)
-    one = [net.probabilities(np.frombuffer(text[i : i + 32], np.uint8)[:, None]).sum((0, 1)) for i in range(0, len(text), 32)]
-    assert np.allclose(p[0], np.sum(one, 0) / len(text), atol=1e-5)
-    assert np.allclose(p[1], 0.5) and np.allclose(p.sum(1), 1, atol=1e-5)
+def one_by_one(net, text, p):
+    """A direction's states by its formulas, a byte at a time."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, out = np.zeros(net.size), []
+    for c in text:
+        g = net.p[p + "x"][c] + h @ net.p[p + "u"]
+        r, z = sig(g[: net.size]), sig(g[net.size :])
+        n = np.tanh(net.p[p + "y"][c] + (r * h) @ net.p[p + "w"])
+        h = n + z * (h - n)
+        out.append(h)
+    return np.array(out).reshape(-1, net.size)
+
+
+def test_whole_texts_are_read_in_context():
+    net = langid.Network(["a", "b", "c"], 4)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (700, 1, 33, 32, 64)] + [b""]
+    got = net.pooled(texts, span=32, lead=16, rows=7)
+    for text, p in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for a in range(0, len(text), 32):
+            b, lo, hi = min(a + 32, len(text)), max(0, a - 16), min(len(text), a + 48)
+            f = one_by_one(net, text[lo:b], "f")[a - lo :]
+            back = one_by_one(net, text[a:hi][::-1], "b")[::-1][: b - a]
+            q = np.exp(np.c_[f, back] @ net.p["v"] + net.p["c"])
+            total += (q / q.sum(1, keepdims=True)).sum(0)
+        assert np.allclose(p, total / len(text) if text else 1 / 3, atol=1e-4)
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +121,39 @@ def test_quality_edge_cases(spark):
     assert len(got) == 6 and all(0 <= r.tail <= r.not_toxic <= 1 for r in got)
     assert all(r.grade is None for r in quality.quality(docs, labels.where("false")).collect())
     assert quality.quality(docs.where("false"), labels).count() == 0
+
+
+def test_fits_are_bounded(spark):
+    one = spark.range(100_000).selectExpr("1L as doc_id", "'one and the same text' as text", "'en' as lang")
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('text of ', id) as text", "concat('l', id) as lang")
+    net = langid.fit_language(one.unionByName(many), sample=20, labels=8, steps=2)
+    assert len(net.langs) <= 8 and "en" in net.langs
+    labels = spark.range(5000, 9000).selectExpr("id as doc_id", "1 as quality", "0 as toxic").unionByName(spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int"))
+    fitted = quality.fit_quality(one, quality.graded(labels), sample=50)  # labels of absent documents are passed over
+    assert fitted is not None and len(np.flatnonzero(fitted.weights)) <= 5
+
+
+def test_ordinal_likelihood_against_a_plain_optimiser():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    y = np.digitize(x @ [1.0, -0.5, 0.2] + rng.logistic(size=300) * 0.7, [-0.5, 0.8])
+    rows = [(np.arange(3, dtype=np.int32), v) for v in x]
+
+    def loss(w, t):
+        s = x @ w
+        hi, lo = (1 / (1 + np.exp(-np.clip(np.r_[-np.inf, t, np.inf][y + k] - s, -50, 50))) for k in (1, 0))
+        share = (1 / (np.bincount(y) * 3))[y]
+        return -(share * np.log(np.maximum(hi - lo, 1e-12))).sum()
+
+    model = quality.Ordinal.fit(rows, y, 2, 3, steps=3000)
+    best, at, step = np.inf, np.zeros(5), 0.5
+    while step > 1e-4:  # coordinate search
+        moved = False
+        for i in range(5):
+            for d in (step, -step):
+                new = at.copy()
+                new[i] += d
+                if new[3] <= new[4] and (v := loss(new[:3], new[3:])) < best:
+                    best, at, moved = v, new, True
+        step = step if moved else step / 2
+    assert loss(model.weights[:3], model.thresholds) < best + 0.01

@@ -1,6 +1,7 @@
 import corpus_pipeline
 import public_tokenizers
-from tessella.llm import decontam, pieces, simhash
+from tessella.llm import decontam, pieces
+from tests.llm.test_near_groups import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -16,10 +17,10 @@ def test_stages_on_their_own_input(spark):
         if name == "language":
             assert all(not any(ch.isalpha() for ch in before[i].text or "") for i in gone if before[i].text is None) and len(gone) < 0.02 * len(before)
         elif name == "near_duplicates":
-            group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-            assert after.keys() == {i for i, c in group.items() if i == c}
+            kept = brute([(i, r.text) for i, r in before.items()])
+            assert kept <= after.keys() and len(after.keys() - kept) <= 0.002 * len(kept)
         elif name == "decontamination":
-            m = decontam.Matcher(items, 0.8, 5)
+            m = decontam.Matcher(items, 0.8)
             assert gone == {i for i, r in before.items() if m.matches(decontam.words(r.text.encode()))}
         elif name == "personal_data":
             assert not gone and any("[EMAIL]" in r.text for r in after.values())

@@ -56,6 +56,27 @@ def test_equal_vectors_keep_the_smallest_ids(spark):
         assert r.vec_id == [v for v in range(6) if v != r.query_id][r["rank"] - 1]
 
 
+def test_doubles_stay_doubles(spark):
+    rows = [(0, [0.1, 0.3]), (1, [0.2, 0.5]), (2, [1e300, -1e300]), (20, [-1.0, 1e-9])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()}
+    x = dict(rows)
+    assert len(got) == 6 and all(s == x[q][0] * x[v][0] + x[q][1] * x[v][1] for (q, v), s in got.items())
+
+
+def test_tight_groups_far_apart(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5, 16)) * 10
+    x = np.concatenate([centres[k] + 0.01 * rng.normal(size=(n, 16)) for k, n in enumerate((90, 90, 90, 90, 900))]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = exact(rows, 10, 20)
+    for shard in (400, 16_384):
+        got = {}
+        for r in ann.nearest(df, k=10, every=20, shard_rows=shard).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) >= 0.95 * 10 * len(want)
+
+
 def edit(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -91,7 +112,8 @@ def test_leaks(spark):
     texts = [f"{noise(50)} {item.upper()} {noise(9)}", f"{noise(5)} {', '.join(few)}.", f"{noise(5)} {' '.join(many)}", noise(200), None, "", item, f"{noise(3)} {other} {noise(40000)} {item}", " ".join(words[:10])]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x"), (None, item, "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(1, item), (2, other), (3, item.lower()), (4, None), (5, "two words"), (None, item), (6, "")], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench).where("doc_id is not null").collect())
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench).where("doc_id is not null and item_id is not null").collect())
+    assert {(r.doc_id, r.distance) for r in decontam.leaks(docs, bench).where("doc_id is not null and item_id is null").collect()} == {(0, 0), (1, 3), (6, 0), (7, 0)}
     assert got == sorted([(d, i, n) for d, n in ((0, 0), (0, 0), (1, 3), (6, 0), (7, 0)) for i in (1, 3)] + [(7, 2, 0)])
     assert decontam.leaks(docs, bench, block_chars=20).count() == decontam.leaks(docs, bench).count()
     kept = decontam.decontaminated(docs, bench)
@@ -99,6 +121,48 @@ def test_leaks(spark):
     assert decontam.leaks(docs.where("false"), bench).count() == decontam.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_and_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "some Short, item here"), (2, "short thing item"), (3, "item short"), (4, "a passage of six plain words follows")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "short item"), (None, "passage of six plain words"), (3, "?!")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(1, 1), (4, None)}
+    assert {r.doc_id for r in decontam.decontaminated(docs, bench).collect()} == {2, 3}
+
+
+def test_leaks_against_brute_force():
+    rng = np.random.default_rng(6)
+    letters = [b"a", b"b", b"c", b"d", b"e"]
+    for _ in range(30):
+        items = [(k, b" ".join(rng.choice(letters, rng.integers(1, 9)))) for k in range(6)]
+        text = list(rng.choice(letters, 25))
+        got = {k: d for k, d, _ in decontam.Matcher(items, 0.8).matches(text)}
+        for k, item in items:
+            ws = item.split()
+            best = min(edit(ws, text[a:b]) for a in range(26) for b in range(a, min(25, a + 12) + 1))
+            assert got.get(k) == (best if best <= int(0.2 * len(ws) + 1e-9) else None)
+
+
+def test_notices_against_brute_force():
+    rng = np.random.default_rng(7)
+    df = {b"license": 90, b"the": 99, b"software": 50}
+    index = license_scan.Index(license_scan.NOTICES, 100, df)
+    notices = [license_scan.words(n[1].encode()) for n in license_scan.NOTICES]
+    for _ in range(300):
+        ws = []
+        for _ in range(rng.integers(1, 6)):
+            n = list(notices[rng.integers(len(notices))])
+            a = rng.integers(0, len(n))
+            ws += n if rng.random() < 0.5 else n[a : a + rng.integers(1, 12)]
+            ws += [b"license", b"x", b"version", b"mit"][: rng.integers(0, 5)]
+        # a whole notice is always found, and a label without its key phrases never
+        line = b" " + b" ".join(ws) + b" "
+        got, score = index.labels(ws)
+        for (label, _, keys), n in zip(license_scan.NOTICES, notices, strict=True):
+            if b" " + b" ".join(n) + b" " in line:
+                assert label in got and score == 1
+        for label in got:
+            assert any(all(b" " + b" ".join(license_scan.words(k.encode())) + b" " in line for k in keys) for own, _, keys in license_scan.NOTICES if own == label)
+
+
 def brute_base(text):
     import re
 
@@ -134,11 +198,13 @@ def test_urls(spark):
         (6, None, None), (7, "no scheme", None), (8, "http://EXAMPLE.com", None), (9, "http://deep.example.net/de/89?u=/es/", None), (10, "ftp://w.net/de/", None), (11, "http://notcom/en/", None), (12, "http://k.org/es/", None), (13, "http://www.k.org/p?utm_source=f", link("/es/")),
         (14, "http://x.org/z.html", None), (15, "http://both.org/1", link("http://example.com/en/7x") + hop("http://b.com/en/1")), (1, "http://a.example.com/en/1", None),
     ]
+    rows += [(20, "http://s.org/a/b/c.html", link("../d?x=1")), (21, "http://s.org/a/d?x=1", link("http://b.com/en/1")), (22, "http://s.org/q", link("?id=3")), (23, "http://s.org/q?id=3", link("e/./f")), (24, "http://s.org/e/f", link("http://b.com/en/1")), (25, "http://s.org/g", link("mailto:a@b.com")), (26, "http://t.org", link("h"))]
+    rows += [(27, "http://t.org/h", link("../../../i")), (28, "http://t.org/i", link("http://b.com/en/2"))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, verdict string")
     got = {r.page_id: r for r in urls.filter_urls(df).collect()}
     assert urls.filter_urls(df).count() == len(rows)
     assert {i: r.rule for i, r in got.items() if r.rule} == {1: "com/en/", 4: "example.com/en/7", 9: "example.net/de/8", 10: "net/de/", 12: "org/es/"}
-    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 10, 12, 13, 14}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {1, 2, 3, 10, 12, 13, 14, 20, 21, 22, 23, 24, 26, 27, 28}
     assert (got[6].host, got[6].path, got[8].host, got[8].path, got[9].path) == ("", "", "example.com", "", "/de/89")
     more = spark.createDataFrame([("http://q.org/1", "http://r.org/2"), (None, "x")], "src string, dst string")
     assert {r.verdict for r in urls.filter_urls(df.where("page_id in (4, 5)"), extra_edges=more).collect()} == {"allow"}
