@@ -1,4 +1,4 @@
-"""Geometry as column expressions: rings, cells, norms, transforms. All stay in the JVM.
+"""Geometry as column expressions: rings, cells, norms, transforms. All but the search of irregular tiles stay in the JVM.
 
 Points are struct<x,y> of doubles, cells struct<x,y> of ints, rings open arrays of points.
 Whole numbers come from ``floor(v + 0.5)``: ``round`` would turn -0.5 into -1. Quotients
@@ -8,11 +8,13 @@ by zero are null. Nulls in, null out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .grids import EPS, Grid
+from .grids import EPS, Grid, grid
 
 
 def half_up(v: Column) -> Column:
@@ -175,7 +177,7 @@ def cell_area(x: Column, g: Grid) -> Column:
 
 
 def containing_cell(px: Column, py: Column, g: Grid) -> Column:
-    """The cell that holds a point, in closed form where the grid has one; else the first tile around it that holds the point."""
+    """The cell that holds a point, in closed form where the grid has one; else by a search of the tiles around it."""
     a, b, c, d, e, f = (float(v) for v in g.inverse)
     ix, iy = (px * a + py * c + e, px * b + py * d + f) if g.matrix != (1.0, 0.0, 0.0, 1.0, 0.0, 0.0) else (px, py)
     if g.base == "SQUARE":
@@ -187,18 +189,29 @@ def containing_cell(px: Column, py: Column, g: Grid) -> Column:
         x, y = half_up(ix), half_up(iy)
         return cell(2 * x + F.when(ix - x >= iy - y, 0).otherwise(1), y)
     if g.base == "HEXAGON":
-        half = math.sqrt(3) / 2
-        y = F.floor((iy + 0.5) / 1.5)
-        x = F.floor((ix + y * half + half) / (2 * half))
-        apex = x * (2 * half) - y * half
-        below, reach = y * 1.5 + 1 - iy, (ix - apex) / math.sqrt(3)
-        up_right, up_left = (ix > apex) & (below < reach), (ix < apex) & (below < -reach)
-        return cell(x + F.when(up_right, 1).otherwise(0), y + F.when(up_right | up_left, 1).otherwise(0))
-    det = g.right[0] * g.up[1] - g.right[1] * g.up[0]
-    ax, ay = half_up((px * g.up[1] - py * g.up[0]) / det), half_up((py * g.right[0] - px * g.right[1]) / det)
-    around = sorted(((i, j) for i in range(-2, 3) for j in range(-2, 3)), key=lambda s: (max(map(abs, s)), s))
-    tries = [F.struct(((ax + i) * g.pc + v).cast("int").alias("x"), (ay + j).cast("int").alias("y")) for i, j in around for v in range(g.pc)]
-    return F.get(F.filter(F.array(*tries), lambda s: contains(cell_boundary(s["x"], s["y"], g), px, py)), F.lit(0))
+        v = iy / 1.5
+        u = ix / math.sqrt(3) + v / 2
+        q, r, t = u - v, v, -u  # one coordinate per direction of rows, see nearest_hexagon
+        i, j, k = (F.floor(w + 0.5) for w in (q, r, t))
+        di, dj, dk = F.abs(i - q), F.abs(j - r), F.abs(k - t)
+        third = (dk > di) & (dk > dj)
+        return cell(F.when(third, i + j).otherwise(-k), F.when(~third & (dj > di), -i - k).otherwise(j))
+    return _holding(g.name)(px.cast("double"), py.cast("double"))
+
+
+def _holding(name: str) -> Callable[[Column, Column], Column]:
+    """The search of tiles around a point as an Arrow function: a batch of points at once; null where no tile holds one."""
+
+    @F.pandas_udf("x int, y int")
+    def find(px: pd.Series, py: pd.Series) -> pd.DataFrame:
+        x, y, found = grid(name).containing_many(px.to_numpy(float), py.to_numpy(float))
+        return pd.DataFrame({"x": pd.Series(x).where(found).astype("Int32"), "y": pd.Series(y).where(found).astype("Int32")})
+
+    return lambda px, py: F.when(px.isNotNull() & py.isNotNull(), _whole(find(px, py)))
+
+
+def _whole(c: Column) -> Column:
+    return F.when(c["x"].isNotNull(), c)
 
 
 def norm(ax: Column, ay: Column, bx: Column, by: Column, g: Grid) -> Column:

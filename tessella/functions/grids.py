@@ -134,26 +134,31 @@ class Grid:
             x, y = math.floor(ix + 0.5), math.floor(iy + 0.5)
             return 2 * x + (0 if ix - x >= iy - y else 1), y
         if self.base == "HEXAGON":
-            half = math.sqrt(3) / 2
-            y = math.floor((iy + 0.5) / 1.5)
-            x = math.floor((ix + half * (y + 1)) / (2 * half))
-            apex = half * (2 * x - y)
-            below, reach = 1.5 * y + 1 - iy, (ix - apex) / math.sqrt(3)
-            if ix > apex and below < reach:
-                return x + 1, y + 1
-            if ix < apex and below < -reach:
-                return x, y + 1
-            return x, y
-        at = np.round(np.linalg.solve(self.lattice, np.array([px, py]))).astype(int)
-        for r in range(3):
-            for i in range(-r, r + 1):
-                for j in range(-r, r + 1):
-                    if max(abs(i), abs(j)) == r:
-                        for v in range(self.pc):
-                            cell = ((int(at[0]) + i) * self.pc + v, int(at[1]) + j)
-                            if inside(self.boundary(*cell), px, py):
-                                return cell
-        return None
+            return nearest_hexagon(ix, iy)
+        x, y, found = self.containing_many(np.array([px]), np.array([py]))
+        return (int(x[0]), int(y[0])) if found[0] else None
+
+    def containing_many(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each point the cell whose tile holds it (x, y) and whether there is one, by trying the tiles around it.
+
+        Tiles are tried in the order of their patterns' distance from the point's own pattern, so a
+        point on a border goes to the first; a tile is tested against the points in its box alone.
+        """
+        px, py = np.asarray(px, float), np.asarray(py, float)
+        at = np.floor(np.linalg.solve(self.lattice, np.array([px, py])) + 0.5)
+        x, y, open_ = np.zeros(len(px), np.int64), np.zeros(len(px), np.int64), np.isfinite(px) & np.isfinite(py)
+        at[:, ~open_] = 0
+        found = np.zeros(len(px), bool)
+        for i, j in AROUND:
+            shift = self.lattice @ (at + np.array([[i], [j]]))
+            qx, qy = px - shift[0], py - shift[1]
+            for v, tile in enumerate(self.tiles):
+                lo, hi = tile.min(0) - EPS, tile.max(0) + EPS
+                near = np.flatnonzero(open_ & (qx >= lo[0]) & (qx <= hi[0]) & (qy >= lo[1]) & (qy <= hi[1]))
+                hit = near[inside_many(tile, qx[near], qy[near])]
+                x[hit], y[hit] = (at[0, hit] + i) * self.pc + v, at[1, hit] + j
+                found[hit], open_[hit] = True, False
+        return x, y, found
 
     def norm(self, ax: int, ay: int, bx: int, by: int) -> int:
         """Steps between cells as this grid counts them."""
@@ -220,6 +225,41 @@ class Grid:
         return None
 
 
+#: patterns around a point's own, near ones first
+AROUND = sorted(((i, j) for i in range(-2, 3) for j in range(-2, 3)), key=lambda s: (max(map(abs, s)), s))
+
+
+def nearest_hexagon(px: float, py: float) -> tuple[int, int]:
+    """The cell whose centre is nearest, on the hexagonal grid of side one.
+
+    With right and up as axes a point has three coordinates of sum zero, one per direction
+    of rows; all are rounded (halves up), and the one that rounding changed most follows
+    from the other two. Of equal changes the first direction keeps its value, then the second.
+    """
+    v = py / 1.5
+    u = px / math.sqrt(3) + v / 2
+    q, r, s = u - v, v, -u
+    a, b, c = (math.floor(k + 0.5) for k in (q, r, s))
+    da, db, dc = abs(a - q), abs(b - r), abs(c - s)
+    if dc > da and dc > db:
+        return a + b, b
+    return (-c, -a - c) if db > da else (-c, b)
+
+
+def inside_many(ring: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Which points a ring holds, its boundary included (within EPS)."""
+    if not len(px):
+        return np.zeros(0, bool)
+    a, d = ring[None], (np.roll(ring, -1, 0) - ring)[None]
+    x, y = px[:, None] - a[..., 0], py[:, None] - a[..., 1]
+    t = np.clip((x * d[..., 0] + y * d[..., 1]) / np.maximum((d * d).sum(-1), 1e-300), 0, 1)
+    edge = (np.hypot(x - t * d[..., 0], y - t * d[..., 1]) <= EPS).any(1)
+    cross = (y < 0) != (y - d[..., 1] < 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = x < y * d[..., 0] / d[..., 1]
+    return edge | ((cross & right).sum(1) % 2 == 1)
+
+
 def inside(ring: np.ndarray, px: float, py: float) -> bool:
     """Whether a ring holds a point, its boundary included (within EPS)."""
     a, b = ring, np.roll(ring, -1, 0)

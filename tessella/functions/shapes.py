@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .grids import EPS, inside, ring_area, ring_centroid
+from .grids import EPS, inside_many, ring_centroid
 
 _POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
@@ -17,41 +17,61 @@ def _array(ring) -> np.ndarray:
 
 
 def without_degeneracies(ring: np.ndarray, eps: float = EPS) -> np.ndarray:
-    """A ring without vertices that lie on the segment between their neighbours; after a drop the same place is tested anew."""
-    points = list(ring)
-    i = 0
-    while i < len(points) and len(points) > 3:
-        a, v, b = points[i - 1], points[i], points[(i + 1) % len(points)]
-        d = b - a
-        t = float(np.clip((v - a) @ d / max(d @ d, 1e-300), 0, 1))
-        if np.hypot(*(a + t * d - v)) <= eps:
-            points.pop(i)
-        else:
-            i += 1
-    return np.array(points)
-
-
-def label_place(ring: np.ndarray, margin: float = 0.01) -> np.ndarray:
-    """Where a label can stand: the centroid if it lies inside by ``margin``; else in the ear of the leftmost vertex.
-
-    In the ear it is halfway to the vertex that reaches deepest into it, or the ear's
-    centroid if none does.
+    """A ring without repeated vertices and without those on the segment between their neighbours, all within ``eps``.
+
+    Of a run of equal vertices the first stays. Whole passes are made until one finds nothing;
+    a pass that would leave fewer than three vertices isn't made.
+    """
+    while len(ring) > 3:
+        before, after = np.roll(ring, 1, 0), np.roll(ring, -1, 0)
+        drop = np.hypot(*(ring - before).T) <= eps
+        drop[0] = False
+        if not drop.any():
+            d = after - before
+            t = np.clip(((ring - before) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+            drop = np.hypot(*(before + t[:, None] * d - ring).T) <= eps
+        if not drop.any() or (~drop).sum() < 3:
+            break
+        ring = ring[~drop]
+    return ring
+
+
+def _clearance(ring: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Distance of each point to the ring, negative outside."""
+    d = np.roll(ring, -1, 0) - ring
+    off = points[:, None] - ring[None]
+    t = np.clip((off * d).sum(-1) / np.maximum((d * d).sum(-1), 1e-300), 0, 1)
+    far = np.sqrt(((off - t[..., None] * d) ** 2).sum(-1)).min(1)
+    return np.where(inside_many(ring, points[:, 0], points[:, 1]), far, -far)
+
+
+def label_place(ring: np.ndarray, side: int = 12, rounds: int = 16) -> np.ndarray:
+    """Where a label has room: a point inside, far from the ring (in narrow shapes not always the farthest).
+
+    The search starts from the middle of the widest piece of every scan line between two
+    heights of vertices, of which one at least is inside, and from a lattice over the box;
+    then lattices close in on the best point, each half as wide. Of equal points the first holds.
     """
-    c = ring_centroid(ring)
-    a, d = ring, np.roll(ring, -1, 0) - ring
-    t = np.clip(((c - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-    if inside(ring, *c) and np.hypot(*(a + t[:, None] * d - c).T).min() > margin:
-        return c
-    n = len(ring)
-    i = min(range(n), key=lambda k: (ring[k][0], ring[k][1]))
-    u, v, w = ring[i - 1], ring[i], ring[(i + 1) % n]
-    ear = np.array([u, v, w])
-    if ring_area(ear) < 0:
-        ear = ear[::-1]
-    deep = [p for k, p in enumerate(ring) if k not in (i, (i - 1) % n, (i + 1) % n) and inside(ear, *p)]
-    if deep:
-        return (v + min(deep, key=lambda p: float(np.hypot(*(p - v))))) / 2
-    return ear.mean(0)
+    lo, hi = ring.min(0), ring.max(0)
+    heights = np.unique(ring[:, 1])
+    a, b = ring, np.roll(ring, -1, 0)
+    starts = [ring_centroid(ring)]
+    for y in (heights[1:] + heights[:-1]) / 2:
+        up = (a[:, 1] > y) != (b[:, 1] > y)
+        x = np.sort(a[up, 0] + (y - a[up, 1]) * (b[up, 0] - a[up, 0]) / (b[up, 1] - a[up, 1]))
+        wide = int(np.argmax(x[1::2] - x[::2]))
+        starts.append(np.array([(x[2 * wide] + x[2 * wide + 1]) / 2, y]))
+    unit = (np.stack(np.meshgrid(np.arange(side), np.arange(side)), -1).reshape(-1, 2) + 0.5) / side
+    points = np.concatenate([np.array(starts), lo + unit * (hi - lo)])
+    span = hi - lo
+    best, room = points[0], -np.inf
+    for _ in range(rounds):
+        far = _clearance(ring, points)
+        if far.max() > room + EPS:
+            best, room = points[int(far.argmax())], float(far.max())
+        span = span / 2
+        points = best + (unit - 0.5) * span
+    return best
 
 
 @F.pandas_udf(T.ArrayType(_POINT))

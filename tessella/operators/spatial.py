@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import geometry as G
 
 
@@ -37,7 +38,8 @@ def nearest_sites(sites: DataFrame, k: int, by: list[str], key: str = "site_id",
 
     ``k = 0`` means all others, below zero none. Sites are put into squares of about k
     sites each and meet those of the squares around them; a site whose k-th distance
-    reaches beyond these is matched with all of its map instead. The result is exact.
+    reaches beyond these meets wider rings of squares, and all of its map if even nine
+    squares each way are too few. The result is exact.
     """
     keep = keep or []
     own = sites.select(*by, key, "x", "y", *keep).where("x is not null and y is not null")
@@ -56,28 +58,58 @@ def nearest_sites(sites: DataFrame, k: int, by: list[str], key: str = "site_id",
     def put(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.join(stats, by).withColumn("_bx", F.floor((F.col(x) - F.col("_l")) / F.col("_s")).cast("int")).withColumn("_by", F.floor((F.col(y) - F.col("_o")) / F.col("_s")).cast("int"))
 
-    mine = put(own, "x", "y")
-    gap = F.least(F.col("x") - F.col("_l") - (F.col("_bx") - 1) * F.col("_s"), F.col("_l") + (F.col("_bx") + 2) * F.col("_s") - F.col("x"), F.col("y") - F.col("_o") - (F.col("_by") - 1) * F.col("_s"), F.col("_o") + (F.col("_by") + 2) * F.col("_s") - F.col("y"))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    asked = mine.withColumn("_gap", gap).withColumn("_q", F.explode(steps)).withColumn("_bx", F.col("_bx") + F.col("_q.i")).withColumn("_by", F.col("_by") + F.col("_q.j")).drop("_q", "_l", "_o", "_s")
-    near = asked.join(put(other, "nbr_x", "nbr_y").drop("_n", "_l", "_o", "_s"), [*by, "_bx", "_by"]).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
-    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    enough = near.groupBy(*by, key).agg(F.count("*").alias("_c"), F.max("d2").alias("_far"), F.first("_gap").alias("_gap"), F.first("_n").alias("_n"))
-    settled = enough.where("_c = least(%d, _n - 1) and sqrt(_far) <= _gap" % k).select(*by, key)
-    done = near.join(settled, [*by, key], "left_semi").drop("_gap", "_bx", "_by", "_n")
-    rest = own.join(settled, [*by, key], "left_anti").join(other, by).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
-    rest = rest.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return done.unionByName(rest.select(*done.columns))
-
-
-def nearest_pair(left: DataFrame, right: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    def ring(asked: DataFrame, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The k nearest within ``reach`` squares of each asked site; those that no site further off can change; the sites still open."""
+        mine = put(asked, "x", "y")
+        low, high = (lambda c, b, o: F.col(c) - F.col(o) - (F.col(b) - reach) * F.col("_s")), (lambda c, b, o: F.col(o) + (F.col(b) + reach + 1) * F.col("_s") - F.col(c))
+        gap = F.least(low("x", "_bx", "_l"), high("x", "_bx", "_l"), low("y", "_by", "_o"), high("y", "_by", "_o"))
+        step = F.sequence(F.lit(-reach), F.lit(reach))
+        wide = mine.withColumn("_gap", gap).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumn("_bx", F.col("_bx") + F.col("_i")).withColumn("_by", F.col("_by") + F.col("_j")).drop("_i", "_j", "_l", "_o", "_s")
+        near = wide.join(put(other, "nbr_x", "nbr_y").drop("_n", "_l", "_o", "_s"), [*by, "_bx", "_by"]).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
+        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        enough = near.groupBy(*by, key).agg(F.count("*").alias("_c"), F.max("d2").alias("_far"), F.first("_gap").alias("_gap"), F.first("_n").alias("_n"))
+        settled = enough.where("_c = least(%d, _n - 1) and sqrt(_far) <= _gap" % k).select(*by, key)
+        return near.join(settled, [*by, key], "left_semi").drop("_gap", "_bx", "_by", "_n"), settled, asked.join(settled, [*by, key], "left_anti")
+
+    done, _, rest = ring(own, 1)
+    rest = durable(rest)
+    for reach in (3, 9):  # each ring of squares is three times as wide
+        if rest.isEmpty():
+            return done
+        more, _, rest = ring(rest, reach)
+        done, rest = done.unionByName(more.select(*done.columns)), durable(rest)
+    if rest.isEmpty():
+        return done
+    far = rest.join(other, by).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
+    far = far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return done.unionByName(far.select(*done.columns))
+
+
+def nearest_pair(left: DataFrame, right: DataFrame, by: list[str], order: list[str], sample: int = 64) -> DataFrame:
     """Per key the nearest pair of a left point (x, y) and a right point (rx, ry), first by ``order`` among ties: all columns and d2.
 
-    Sides are joined per key; the minimum is combined before the shuffle.
+    The ``sample`` left points and right points next to the middle between the two sides give
+    a distance that the nearest pair can't exceed. Squares of that side then hold all pairs
+    that matter, so points only meet those of the squares around them. Exact.
     """
-    pairs = left.join(right, by).withColumn("d2", (F.col("rx") - F.col("x")) ** 2 + (F.col("ry") - F.col("y")) ** 2)
-    everything = F.struct(*[c for c in pairs.columns if c not in by])
-    return pairs.groupBy(*by).agg(F.min_by(everything, F.struct("d2", *order)).alias("_m")).select(*by, "_m.*")
+    names = [c for c in dict.fromkeys([*left.columns, *right.columns]) if c not in by]
+    d2 = (F.col("rx") - F.col("x")) ** 2 + (F.col("ry") - F.col("y")) ** 2
+    ends = left.groupBy(*by).agg(F.avg("x").alias("_lx"), F.avg("y").alias("_ly")).join(right.groupBy(*by).agg(F.avg("rx").alias("_rx"), F.avg("ry").alias("_ry")), by)
+    middle = ends.select(*by, ((F.col("_lx") + F.col("_rx")) / 2).alias("_mx"), ((F.col("_ly") + F.col("_ry")) / 2).alias("_my"))
+
+    def close(df: DataFrame, x: str, y: str) -> DataFrame:
+        off = (F.col(x) - F.col("_mx")) ** 2 + (F.col(y) - F.col("_my")) ** 2
+        w = Window.partitionBy(*by).orderBy(off, x, y)
+        return df.join(middle, by).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= sample).select(*by, x, y)
+
+    bound = close(left, "x", "y").join(close(right, "rx", "ry"), by).groupBy(*by).agg((F.sqrt(F.min(d2)) * (1 + 1e-9)).alias("_d"))
+    extent = left.groupBy(*by).agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_e"))
+    side = bound.join(extent, by).select(*by, F.greatest("_d", F.col("_e") / 1e6, F.lit(1e-9)).alias("_s"))
+    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a = left.join(side, by).withColumn("_q", F.explode(near)).withColumn("_bx", F.floor(F.col("x") / F.col("_s")) + F.col("_q.i")).withColumn("_by", F.floor(F.col("y") / F.col("_s")) + F.col("_q.j")).drop("_q", "_s")
+    b = right.join(side, by).withColumn("_bx", F.floor(F.col("rx") / F.col("_s"))).withColumn("_by", F.floor(F.col("ry") / F.col("_s"))).drop("_s")
+    pairs = a.join(b, [*by, "_bx", "_by"]).withColumn("d2", d2)
+    return pairs.groupBy(*by).agg(F.min_by(F.struct(*names, "d2"), F.struct("d2", *order)).alias("_m")).select(*by, "_m.*")
 
 
 def nearest_partitions(partitions: DataFrame, component: str, by: list[str]) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import colors as C
 from ..functions import geometry as G
-from ..functions.grids import Grid, grid
-from ..operators import align, analyze, assign, cells, dual, spatial
+from ..functions.grids import grid
+from ..operators import align, analyze, cells, dual, spatial
 from ..sources import tsv
 from . import pipeline
 
@@ -79,16 +79,33 @@ def _cells_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 S3 = repr(math.sqrt(3))
-HEX_SQL = f"""WITH {SITES}, a AS (SELECT *, floor((y + 0.5) / 1.5) AS r FROM s), b AS (SELECT *, floor((x + r * ({S3} / 2) + {S3} / 2) / {S3}) AS q FROM a),
-c AS (SELECT *, q * {S3} - r * ({S3} / 2) AS apex, r * 1.5 + 1 - y AS below FROM b), d AS (SELECT *, (x - apex) / {S3} AS reach FROM c)
-SELECT site_id, CAST(q + CASE WHEN x > apex AND below < reach THEN 1 ELSE 0 END AS INT) AS cx,
-CAST(r + CASE WHEN (x > apex AND below < reach) OR (x < apex AND below < -reach) THEN 1 ELSE 0 END AS INT) AS cy FROM d"""
+# three coordinates of sum zero, rounded; the one that changed most follows from the others
+HEX = f"h AS (SELECT *, x / {S3} + y / 1.5 / 2 AS u, y / 1.5 AS v FROM s), k AS (SELECT *, floor(u - v + 0.5) AS i, floor(v + 0.5) AS j, floor(-u + 0.5) AS l FROM h), e AS (SELECT *, abs(i - (u - v)) AS di, abs(j - v) AS dj, abs(l + u) AS dl FROM k), c AS (SELECT *, CAST(CASE WHEN dl > di AND dl > dj THEN i + j ELSE -l END AS INT) AS cx, CAST(CASE WHEN NOT (dl > di AND dl > dj) AND dj > di THEN -i - l ELSE j END AS INT) AS cy FROM e)"
+HEX_SQL = f"WITH {SITES}, {HEX} SELECT site_id, cx, cy FROM c"
+
+
+def _tiles_sql(name: str) -> str:
+    """The cell whose tile holds each site, by crossing parity over the tiles of the patterns around it."""
+    g = grid(name)
+    rows = ", ".join(f"({v}, {a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)" for v, ring in enumerate(g.tiles) for a, b in zip(ring.tolist(), [*ring.tolist()[1:], ring.tolist()[0]], strict=True))
+    det = g.right[0] * g.up[1] - g.right[1] * g.up[0]
+    return f"""WITH {SITES}, t(v, x1, y1, x2, y2) AS (VALUES {rows}), o AS (SELECT *, floor((x * {g.up[1]!r} - y * {g.up[0]!r}) / {det!r} + 0.5) AS p, floor((y * {g.right[0]!r} - x * {g.right[1]!r}) / {det!r} + 0.5) AS q FROM s),
+n AS (SELECT site_id, p + i AS p, q + j AS q, x - (p + i) * {g.right[0]!r} - (q + j) * {g.up[0]!r} AS x, y - (p + i) * {g.right[1]!r} - (q + j) * {g.up[1]!r} AS y FROM o, unnest([-2, -1, 0, 1, 2]) AS a(i), unnest([-2, -1, 0, 1, 2]) AS b(j))
+SELECT site_id, CAST(p * {g.pc} + v AS INT) AS cx, CAST(q AS INT) AS cy FROM n, t WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY site_id, p, q, v HAVING count(*) % 2 = 1"""
+
+
+def _equilateral_sql() -> str:
+    a, b, c, d, e, f = grid("EQUILATERAL").inverse
+    return f"WITH {SITES}, i AS (SELECT site_id, x * {a!r} + y * {c!r} + {e!r} AS x, x * {b!r} + y * {d!r} + {f!r} AS y FROM s), a AS (SELECT *, floor(x + 0.5) AS q, floor(y + 0.5) AS r FROM i) SELECT site_id, CAST(2 * q + CASE WHEN x - q >= y - r THEN 0 ELSE 1 END AS INT) AS cx, CAST(r AS INT) AS cy FROM a"
+
+
 query(f"WITH {SITES} SELECT site_id, CAST(floor(x + 0.5) AS INT) AS cx, CAST(floor(y + 0.5) AS INT) AS cy FROM s")(_cells_of("SQUARE"))
 query(HEX_SQL)(_cells_of("HEXAGON"))
 query(f"WITH {SITES}, a AS (SELECT *, floor(y + 0.5) AS r FROM s) SELECT site_id, CAST(floor(x + r * 0.5 + 0.5) AS INT) AS cx, CAST(r AS INT) AS cy FROM a")(_cells_of("STAGSQUARE"))
 query(f"WITH {SITES}, a AS (SELECT *, floor(x + 0.5) AS q, floor(y + 0.5) AS r FROM s) SELECT site_id, CAST(2 * q + CASE WHEN x - q >= y - r THEN 0 ELSE 1 END AS INT) AS cx, CAST(r AS INT) AS cy FROM a")(_cells_of("TRIANGLE"))
-for _name in ("GEESE", "MIXED", "NS2", "EQUILATERAL"):
-    query()(_cells_of(_name))
+for _name in ("GEESE", "MIXED", "NS2", "NS3"):
+    query(_tiles_sql(_name))(_cells_of(_name))
+query(_equilateral_sql())(_cells_of("EQUILATERAL"))
 
 
 def _norm(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -162,7 +179,10 @@ def nbrs_queen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of partitions whose cell sets meet."""
     c = _square_cells(spark, sf_dir)
-    return c.withColumnRenamed("partition_id", "a").join(c.withColumnRenamed("partition_id", "b"), ["x", "y"]).where("a < b").select("a", "b").distinct()
+    ids = c.select("partition_id").distinct()
+    pairs = ids.select(F.col("partition_id").alias("a")).join(ids.select(F.col("partition_id").alias("b")), F.col("a") < F.col("b"))  # some dozens of partitions
+    left, right = (pairs.join(c.withColumnRenamed("partition_id", k), k) for k in "ab")
+    return cells.overlapping(left, right, ["a", "b"]).drop("shared")
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -386,10 +406,8 @@ def nearest_site_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = s.select("partition_id").distinct()
     pairs = parts.select(F.col("partition_id").alias("a")).join(parts.select(F.col("partition_id").alias("b")), F.col("a") < F.col("b"))
     left = pairs.join(s.select(F.col("partition_id").alias("a"), F.col("site_id").alias("sa"), "x", "y"), "a")
-    right = s.select(F.col("partition_id").alias("b"), F.col("site_id").alias("sb"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    pairs = left.join(right, "b").withColumn("d2", (F.col("rx") - F.col("x")) ** 2 + (F.col("ry") - F.col("y")) ** 2)
-    best = pairs.groupBy("a", "b").agg(F.min(F.struct("d2", "sa", "sb")).alias("m"))
-    return best.select("a", "b", "m.sa", "m.sb", r6(F.col("m.d2")).alias("d2"))
+    right = pairs.join(s.select(F.col("partition_id").alias("b"), F.col("site_id").alias("sb"), F.col("x").alias("rx"), F.col("y").alias("ry")), "b")
+    return spatial.nearest_pair(left, right, ["a", "b"], ["sa", "sb"]).select("a", "b", "sa", "sb", r6(F.col("d2")).alias("d2"))
 
 
 @query(f"WITH {SITES}, m AS (SELECT partition_id, avg(x) AS x, avg(y) AS y FROM s GROUP BY 1), p AS (SELECT a.partition_id AS a, b.partition_id AS b, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM m a JOIN m b ON a.partition_id <> b.partition_id) SELECT a, b, {q6('d2')} AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM p) WHERE r = 1")
@@ -476,17 +494,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("outline_id").alias("x"), F.col("partition_id").alias("y"), F.col("comp_id.outline_id").alias("rx"), F.col("comp_id.partition_id").alias("ry"))
 
 
-@query()
-def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sites of each partition on the cells of a square block, at least cost; tests hold the kernel against brute force."""
-    s = laid(spark, sf_dir)
-    c = s.select("map_id", "outline_id", "partition_id", "cell.x", "cell.y").withColumn("ord", F.col("y") * 8 + F.col("x"))
-    g: Grid = grid("SQUARE")
-    key = ["map_id", "outline_id", "partition_id"]
-    t = align.align("Uniform-Agnostic", s, align.centroids(c, g), None, key)
-    return assign.assign_sites(s, c, t, g).select("partition_id", "site_id", "x", "y", r6(F.col("cost")).alias("cost"))
-
-
 @query("WITH l AS (SELECT event_id AS ln, event_type || chr(9) || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS line FROM events WHERE value IS NOT NULL) SELECT split_part(line, chr(9), 1) AS key, CAST(arg_max(split_part(line, chr(9), 2), ln) AS DOUBLE) AS value FROM l WHERE line NOT LIKE '#%' GROUP BY 1")
 def weight_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A weight table from lines of text: the last line of each key counts."""
