@@ -6,9 +6,12 @@ partition_id for the guide fits. Sites have x, y and their cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import geometry as G
 from ..functions.grids import Grid
 from ..schema import ASSIGNED, DEFORMED, PARTITION_KEY, TileMap
@@ -66,8 +69,50 @@ def _keyed(sites: DataFrame) -> DataFrame:
     return sites.withColumn("_key", F.struct("outline_id", "site_id"))
 
 
+def discordant(x: np.ndarray, r: np.ndarray, eps: float) -> np.ndarray:
+    """For each point the number of others that lie on different sides of it in x and in r, by more than ``eps`` in both.
+
+    Points stand in order of x; blocks of 1, 2, 4 … of them are sorted by r, so those before a
+    place in x that are above a value of r are counted block by block: n log² n in all.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    xs, rs = x[order], r[order]
+    levels = np.sort(rs)
+    rank = np.searchsorted(levels, rs)  # equal values share a rank
+
+    def below(upto: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """How many of the first ``upto`` points in x have a rank under ``value``."""
+        total = np.zeros(len(upto), np.int64)
+        for k in range(n.bit_length()):
+            block = np.arange(n) >> k
+            keys = np.sort(block * (n + 1) + rank)
+            with_block = np.flatnonzero(upto >> k & 1)
+            own = (upto[with_block] >> (k + 1)) << 1
+            total[with_block] += np.searchsorted(keys, own * (n + 1) + value[with_block]) - (own << k)
+        return total
+
+    left, right = np.searchsorted(xs, x - eps, "left"), np.searchsorted(xs, x + eps, "right")
+    low, high = np.searchsorted(levels, r - eps, "left"), np.searchsorted(levels, r + eps, "right")
+    above_left = left - below(left, high)
+    under_right = below(np.full(n, n), low) - below(right, low)
+    return above_left + under_right
+
+
 def orthogonal_order(assigned: DataFrame, k: int, eps: float = 1e-6) -> DataFrame:
-    """Flips of order in x plus flips in y among each site's k nearest (0: all) neighbours; equal coordinates are no flip."""
+    """Flips of order in x plus flips in y among each site's k nearest (0: all) neighbours; equal coordinates are no flip.
+
+    Among all neighbours flips are counted from sorted blocks, one map to a task, without pairs.
+    """
+    if k == 0:
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            flips = sum(discordant(pdf[a].to_numpy(float), pdf[b].to_numpy(float), eps) for a, b in (("x", "cx"), ("y", "cy")))
+            return pdf[["map_id", "outline_id", "site_id"]].assign(_f=flips)
+
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in ("map_id", "outline_id", "site_id") for f in [assigned.schema[n]])
+        own = assigned.where("x is not null and y is not null").select("map_id", "outline_id", "site_id", "x", "y", "cx", "cy")
+        flips = own.groupBy("map_id").applyInPandas(count, f"{kind}, _f long").join(own.groupBy("map_id").agg(F.count("*").alias("_n")), "map_id").where("_n > 1")
+        return _rows(flips, _label("OrthogonalOrder", k), "site_id", F.col("_f"))
     n = nearest_sites(_keyed(assigned), k, ["map_id"], "_key", ["cx", "cy"])
 
     def flip(a: str, b: str) -> Column:
@@ -111,6 +156,8 @@ def displacement(assigned: DataFrame, mode: str = "Uni", guides: DataFrame | Non
 
 
 HIGH_IS_GOOD = ("GuidingShapeFit",)
+#: bins of values looked at in a round, and rounds
+BINS, ROUNDS = 1024, 4
 NEIGHBOURS = (5, 15, 50, 100, 0)
 
 
@@ -144,20 +191,34 @@ def summarize(measures: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     ``max`` is the worst value and ``min`` the best; pct90 is the value at position
     ceil(n / 10) from the worst (positions from 0), pct75 at ceil(n / 4), the best one
-    where that is beyond the end. Ranks come from a window per analyzer, so no array of all
-    values is gathered.
+    where that is beyond the end. The two are found by counting values in bins and looking
+    again into the bin that holds the place, so no task ranks all values of a group.
     """
-    from pyspark.sql import Window
-
     by = by or ["map_id", "analyzer"]
     good = F.col("analyzer").startswith(HIGH_IS_GOOD[0])
-    w = Window.partitionBy(*by).orderBy(F.when(good, F.col("value")).otherwise(-F.col("value")))
-    r = measures.where("value is not null").withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-
-    def at(p: Column) -> Column:
-        return F.max(F.when(F.col("_r") == F.least(p, F.col("_n") - 1), F.col("value")))
-
-    return r.groupBy(*by).agg(F.sum("value").alias("total"), F.avg("value").alias("avg"), F.count("*").alias("count"), at(F.col("_n") - 1).alias("min"), at(F.lit(0)).alias("max"), at(F.ceil(F.col("_n") / 10)).alias("pct90"), at(F.ceil(F.col("_n") / 4)).alias("pct75"))
+    own = measures.where("value is not null").select(*by, "value", F.when(good, F.col("value")).otherwise(-F.col("value")).alias("_v"))
+    totals = own.groupBy(*by).agg(F.sum("value").alias("total"), F.avg("value").alias("avg"), F.count("*").alias("count"), F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    last = F.col("count") - 1
+    wanted = F.array(*(F.struct(F.lit(name).alias("what"), F.least(p, last).alias("_at")) for name, p in (("pct90", F.ceil(F.col("count") / 10)), ("pct75", F.ceil(F.col("count") / 4)))))
+    asked = totals.select(*by, F.explode(wanted).alias("w"), F.col("_lo").alias("_a"), F.col("_hi").alias("_b")).select(*by, "w.*", "_a", "_b")
+    for _ in range(ROUNDS):
+        step = (F.col("_b") - F.col("_a")) / BINS
+        bin_ = F.when(step > 0, F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_a")) / step))).otherwise(0)
+        spread = own.join(asked, by).where("_v >= _a and _v <= _b").withColumn("_bin", bin_)
+        counted = spread.groupBy(*by, "what", "_at", "_bin").agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        w = Window.partitionBy(*by, "what").orderBy("_bin")  # at most BINS rows
+        upto = F.sum("_c").over(w)
+        asked = counted.withColumn("_u", upto).where("_at < _u and _at >= _u - _c").select(*by, "what", (F.col("_at") - F.col("_u") + F.col("_c")).alias("_at"), "_a", "_b")
+        asked = durable(asked)
+        if not asked.where("_a < _b").limit(1).count():
+            break
+    # what is left of a group lies in one bin of the last round: equal or very near values, counted before they are ranked
+    near = own.join(asked, by).where("_v >= _a and _v <= _b").groupBy(*by, "what", "_at", "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, "what").orderBy("_v")
+    at = near.withColumn("_u", F.sum("_c").over(w)).where("_at < _u and _at >= _u - _c").select(*by, "what", "_v")
+    picked = at.groupBy(*by).agg(*(F.max(F.when(F.col("what") == n, F.col("_v"))).alias(n) for n in ("pct90", "pct75")))
+    sign = F.when(good, 1).otherwise(-1)
+    return totals.join(picked, by).select(*by, "total", "avg", "count", (F.col("_hi") * sign).alias("min"), (F.col("_lo") * sign).alias("max"), *((F.col(n) * sign).alias(n) for n in ("pct90", "pct75")))
 
 
 def total_displacement(measures: DataFrame) -> DataFrame:

@@ -169,11 +169,16 @@ class Mosaic:
         self.fill_holes()
 
     def join_parts(self) -> None:
-        """Regions whose friends moved off: the whole is brought together by shifting its lesser parts."""
+        """Regions whose friends moved off: the whole is brought together by a bridge from its largest part to the part nearest to it."""
         while len(parts := parts_of(set(self.owner), self.g)) > 1:
-            home = max(parts, key=len)
-            other = min((p for p in parts if p is not home), key=lambda p: min(np.hypot(*(self.g.centroid(*a) - self.g.centroid(*b))) for a in list(p)[:50] for b in home))
-            a, b = min(((a, b) for a in other for b in home), key=lambda s: (float(np.hypot(*(self.g.centroid(*s[0]) - self.g.centroid(*s[1])))), s))
+            home = sorted(max(parts, key=lambda p: (len(p), min(p))))
+            rest = sorted(set(self.owner).difference(home))
+            at = np.array([self.g.centroid(*c) for c in home])
+            near = []
+            for c in rest:  # a row of distances at a time
+                far = np.round(np.hypot(*(at - self.g.centroid(*c)).T), 9)
+                near.append((float(far.min()), c, home[int(far.argmin())]))
+            _, a, b = min(near)
             path = self.line(b, a)
             for c in path:
                 if c not in self.owner:
@@ -182,8 +187,11 @@ class Mosaic:
     def line(self, a: Cell, b: Cell) -> list[Cell]:
         """Cells from a to b, each step to the neighbour nearest to b."""
         out, goal = [a], self.g.centroid(*b)
-        while out[-1] != b and len(out) < 10_000:
-            out.append(min(self.g.adjacent(*out[-1]), key=lambda c: (float(np.hypot(*(self.g.centroid(*c) - goal))), c)))
+        while out[-1] != b:
+            nxt = min(self.g.adjacent(*out[-1]), key=lambda c: (float(np.hypot(*(self.g.centroid(*c) - goal))), c))
+            if np.hypot(*(self.g.centroid(*nxt) - goal)) >= np.hypot(*(self.g.centroid(*out[-1]) - goal)):
+                raise ValueError(f"no neighbour of {out[-1]} is nearer to {b}")
+            out.append(nxt)
         return out
 
     def fill_holes(self) -> None:
@@ -281,7 +289,7 @@ class Mosaic:
                 d = abs(math.atan2(*(self.middle(b) - self.middle(a))[::-1]) - aim) % (2 * math.pi)
                 return min(d, 2 * math.pi - d)
 
-            for _ in range(20):
+            while True:  # each step turns the side nearer to its aim, so it ends
                 best = None
                 now = off()
                 for dx, dy in self.g.unit_vectors:

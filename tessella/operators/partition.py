@@ -46,14 +46,78 @@ class Boundary:
         return self.ring[e] + self.step[e] * (d / self.len[e] if self.len[e] else 0)
 
 
-def arcs(b: Boundary, v: int, samples: int = 64) -> list[tuple[str, int, float, float]]:
+class Discs:
+    """The discs through a reflex vertex v: how far each grows, by direction of its centre, until it meets another part of the boundary.
+
+    Features are the reflex vertices (numbers below n) and the edges (n and up). One over the
+    radius at which a disc in direction t meets a feature is a + b cos t + c sin t, for an edge
+    between the two directions whose discs touch its ends; the largest of these holds.
+    """
+
+    def __init__(self, b: Boundary, v: int):
+        p, n = b.ring[v], b.n
+        unit = b.step / np.maximum(b.len, 1e-300)[:, None]
+        normal = np.stack([-unit[:, 1], unit[:, 0]], 1)
+        rel = b.ring - p
+        far, gap, foot = (rel * rel).sum(1), -(rel * normal).sum(1), -(rel * unit).sum(1)
+        point = b.reflex & (far > 1e-18)
+        edge = gap > 1e-12
+        edge[[v, v - 1]] = False
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = np.r_[np.zeros(n), 1 / gap]
+            bc = np.r_[2 * rel / far[:, None], -normal / gap[:, None]]
+            start = np.arctan2(normal[:, 1], normal[:, 0]) + 2 * np.arctan2(1, (foot + 1e-9) / gap)
+            width = 2 * np.arctan2(1, (foot - b.len - 1e-9) / gap) - 2 * np.arctan2(1, (foot + 1e-9) / gap)
+        self.feature = np.flatnonzero(np.r_[point, edge])
+        self.a, self.b, self.c = a[self.feature], bc[self.feature, 0], bc[self.feature, 1]
+        all_round = np.r_[np.full(n, -math.inf), start][self.feature]
+        self.start, self.width = all_round, np.r_[np.full(n, math.inf), width][self.feature]
+        self.peak = np.arctan2(self.c, self.b)
+
+    def _offset(self, t: float) -> np.ndarray:
+        """How far behind the start of each feature's directions t lies."""
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isfinite(self.start), (t - self.start) % (2 * math.pi), 0.0)
+
+    def owner(self, t: float) -> int:
+        """The row of the feature that the disc in direction t meets first, -1 for none."""
+        if not len(self.a):
+            return -1
+        g = self.a + self.b * math.cos(t) + self.c * math.sin(t)
+        g[self._offset(t) > self.width] = -math.inf
+        k = int(g.argmax())
+        return k if g[k] > 1e-12 else -1
+
+    def hidden(self, k: int, t0: float, t1: float) -> float | None:
+        """A direction strictly between two that meet k in which another feature is met first; None if there is none."""
+        a, b, c = self.a, self.b, self.c
+        da, db, dc = a - (a[k] if k >= 0 else 1e-9), b - (b[k] if k >= 0 else 0), c - (c[k] if k >= 0 else 0)
+        # where a feature's directions overlap the range: both are taken from t0 on
+        off = self._offset(t0)
+        inside = off <= self.width
+        lo = np.where(inside, t0, t0 + 2 * math.pi - off)
+        hi = np.minimum(t1, np.where(inside, t0 + self.width - off, lo + self.width))
+        lo, hi = np.where(np.isfinite(self.width), lo, t0), np.where(np.isfinite(self.width), hi, t1)
+        best, where = np.full(len(a), -math.inf), np.full(len(a), t0)
+        peak = np.arctan2(dc, db)
+        peak = lo + (peak - lo) % (2 * math.pi)
+        for t in (lo, hi, np.where(peak <= hi, peak, lo)):
+            d = np.where(hi >= lo, da + db * np.cos(t) + dc * np.sin(t), -math.inf)
+            where, best = np.where(d > best, t, where), np.maximum(best, d)
+        if k >= 0:
+            best[k] = -math.inf
+        j = int(best.argmax()) if len(best) else -1
+        return float(where[j]) if j >= 0 and best[j] > 1e-9 and t0 + 1e-10 < where[j] < t1 - 1e-10 else None
+
+
+def arcs(b: Boundary, v: int, samples: int = 16) -> list[tuple[str, int, float, float]]:
     """The medial-axis arcs of reflex vertex v: (point or edge, index, first and last direction).
 
-    A disc through v with its centre in direction t of v's cone grows until it meets
-    another part of the boundary; runs of directions that meet the same part are arcs,
-    their ends found by bisection.
+    Some directions of v's cone give a first division. Between two directions that meet one
+    feature, any other that is met first is found in closed form and divides them again;
+    between two that meet different ones the border is found by halving. So no arc is lost,
+    however narrow.
     """
-    p, ring = b.ring[v], b.ring
     n_in, n_out = (np.array([-s[1], s[0]]) / np.hypot(*s) for s in (b.step[v - 1], b.step[v]))
     lo, hi = math.atan2(n_out[1], n_out[0]), math.atan2(n_in[1], n_in[0])
     span = (hi - lo) % (2 * math.pi)
@@ -61,51 +125,32 @@ def arcs(b: Boundary, v: int, samples: int = 64) -> list[tuple[str, int, float,
         lo, span = hi, 2 * math.pi - span
     if span < 1e-9:
         return []
-    normal = np.stack([-b.step[:, 1], b.step[:, 0]], 1) / np.maximum(b.len, 1e-300)[:, None]
-    gap = ((p - ring) * normal).sum(1)  # distance of v from each edge's line, positive inside
-    unit = b.step / np.maximum(b.len, 1e-300)[:, None]
-    own_edge = np.zeros(b.n, bool)
-    own_edge[[v, v - 1]] = True
-    rel = ring - p
-    far = (rel * rel).sum(1)
-
-    def meet(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = np.stack([np.cos(t), np.sin(t)], 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dot = u @ rel.T
-            r_point = np.where(dot > 1e-12, far / (2 * dot), np.inf)
-            r_point[:, ~b.reflex] = np.inf
-            r_point[:, v] = np.inf
-            slope = 1 - u @ normal.T
-            r_edge = np.where((gap > 1e-12) & (slope > 1e-12), gap / slope, np.inf)
-            centre = p + r_edge[:, :, None] * u[:, None, :]
-            foot = ((centre - ring) * unit).sum(2)
-            r_edge = np.where((foot >= -1e-9) & (foot <= b.len + 1e-9) & ~own_edge & np.isfinite(r_edge), r_edge, np.inf)
-        both = np.concatenate([r_point, r_edge], 1)
-        return both.argmin(1), both.min(1)
-
-    t = lo + span * (np.arange(samples) + 0.5) / samples
-    which, radius = meet(t)
-    out, i = [], 0
-    while i < samples:
+    discs = Discs(b, v)
+    first = [lo + span * k / samples for k in range(samples + 1)]
+    first[0], first[-1] = lo + span * 1e-9, lo + span * (1 - 1e-9)
+    known = [(t, discs.owner(t)) for t in first]
+    out: list[tuple[float, int]] = [known[0]]
+    stack = [(known[k], known[k + 1]) for k in range(samples - 1, -1, -1)]
+    while stack:
+        (t0, k0), (t1, k1) = stack.pop()
+        at = None
+        if t1 - t0 > 1e-10:
+            at = (t0 + t1) / 2 if k0 != k1 else discs.hidden(k0, t0, t1)
+        k = discs.owner(at) if at is not None else k0
+        if at is None or k == k0 == k1:
+            out.append((t1, k1))
+        else:
+            stack += [((at, k), (t1, k1)), ((t0, k0), (at, k))]
+    found, i = [], 0
+    while i < len(out):
         j = i
-        while j + 1 < samples and which[j + 1] == which[i]:
+        while j + 1 < len(out) and out[j + 1][1] == out[i][1]:
             j += 1
-        if np.isfinite(radius[i]):
-            ends = []
-            for inner, outer in ((t[i], lo if i == 0 else t[i - 1]), (t[j], lo + span if j == samples - 1 else t[j + 1])):
-                a, c = inner, outer
-                for _ in range(24):
-                    mid = (a + c) / 2
-                    if meet(np.array([mid]))[0][0] == which[i]:
-                        a = mid
-                    else:
-                        c = mid
-                ends.append(a)
-            k = int(which[i])
-            out.append(("point", k, ends[0], ends[1]) if k < b.n else ("edge", k - b.n, ends[0], ends[1]))
+        if out[i][1] >= 0:
+            k = int(discs.feature[out[i][1]])
+            found.append(("point", k, out[i][0], out[j][0]) if k < b.n else ("edge", k - b.n, out[i][0], out[j][0]))
         i = j + 1
-    return out
+    return found
 
 
 def candidates(b: Boundary, kind: str) -> list[tuple[tuple[int, float], tuple[int, float]]]:
