@@ -36,12 +36,17 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-input", required=True)
     e.add_argument("-select", default="pipeline", help="suites separated by ;")
     e.add_argument("-repetitions", type=int, default=3)
+    e.add_argument("-outcomes", metavar="LOG", help="don't run anything: summarise the times in logs of earlier runs")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("tessella").getOrCreate()
+    if a.command == "evaluate" and a.outcomes:
+        for r in evaluate.outcomes(spark.read.text(a.outcomes).withColumnRenamed("value", "line")).orderBy("suite", "settings", "step").collect():
+            print(r.suite, r.settings, r.step, f"{r.avg_ms:.0f} ms", r["count"])
+        return 0
     m = read_map(spark, a.input)
     if a.command == "map":
         p, d = a.decompose or (10, None)
@@ -66,8 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         write_map(cartogram(m, a.grid, a.exact), a.output, a.format)
     else:
         for name in a.select.split(";"):
-            for plan, result in evaluate.run_suite(m, name, a.repetitions):
-                print(name, plan.grid, plan.cut_type, plan.productivity, plan.alignment, plan.combination, *(f"{s}={1000 * t:.0f}ms" for s, t in result.timings))
+            print(*evaluate.timing_lines(evaluate.run_suite(m, name, a.repetitions), name), sep="\n")
     return 0
 
 

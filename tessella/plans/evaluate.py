@@ -20,6 +20,10 @@ SUITES: dict[str, list[Plan]] = {
     "assign": [Plan(grid=g, alignment=a) for g in ("SQUARE", "HEXAGON") for a in ("BBox-Agnostic", "Nonuniform-Agnostic", "Uniform-Agnostic", "GuideAlign")] + [Plan(grid=g, refine="Uniform-Aware") for g in ("SQUARE", "HEXAGON")],
     "compose": [Plan(grid=g, combination=c) for g in ("SQUARE", "HEXAGON") for c in ("Agnostic", "ClosestAssigned", "AgglomerativeAssigned", "AgglomerativePartitionAssigned")],
     "pipeline": [Plan(grid=g, productivity=p, combination=c, measures=[]) for g in ("SQUARE", "HEXAGON") for p, c in ((10, "AgglomerativePartitionAssigned"), (15, "ClosestAssigned"))],
+    "bases": [Plan(grid=g, dilation=None, alignment=None, combination=None) for g in ("SQUARE", "HEXAGON", "STAGSQUARE", "TRIANGLE", "EQUILATERAL", "GEESE", "NS2", "NS3", "MIXED")],
+    "data": [Plan(dilation=None, alignment=None, combination=None)],
+    "teaser": [Plan(grid=g, productivity=p) for g, p in (("SQUARE", 10), ("HEXAGON", 10))],
+    "other": [Plan(grid="HEXAGON", productivity=p, cut_type=k, measures=[]) for p in (5, 20) for k in partition.CUT_TYPES],
     "cartogram": [Plan(grid=g, dilation=None, config=arrange.CARTOGRAM, alignment=None, combination="Agnostic") for g in ("SQUARE", "HEXAGON")],
 }
 
@@ -98,4 +102,42 @@ def bars(measures: DataFrame) -> DataFrame:
     return s.select("map_id", "analyzer", *(F.try_divide(F.col(c), F.col("max")).alias(c) for c in ("avg", "pct90", "pct75")))
 
 
-__all__ = ["SUITES", "assignment_table", "bars", "compare_cut_types", "cut_counts", "map_statistics", "parse_timing", "row_layout", "run_suite", "shape_measures", "timing_ratio"]
+def timing_lines(results: list[tuple[Plan, Result]], name: str) -> list[str]:
+    """One log line per step of every result, as ``parse_timing`` reads it."""
+    return [f"{name} {plan.grid} {plan.cut_type} {plan.productivity} {plan.combination} {step} {1000 * s:.0f} ms total" for plan, r in results for step, s in r.timings]
+
+
+def outcomes(lines: DataFrame) -> DataFrame:
+    """suite, settings and step with mean and number of the times that log lines (line) give; other lines are passed over."""
+    f = F.split(F.trim("line"), " +")
+    n = F.size(f)
+    rows = lines.select(F.get(f, F.lit(0)).alias("suite"), F.concat_ws(" ", F.slice(f, F.lit(2), F.greatest(n - 5, F.lit(0)))).alias("settings"), F.get(f, n - 4).alias("step"), parse_timing(F.col("line")).alias("ms"))
+    return rows.where("ms is not null and step is not null").groupBy("suite", "settings", "step").agg(F.avg("ms").alias("avg_ms"), F.count("*").alias("count"))
+
+
+def file_settings(files: DataFrame, names: list[str]) -> DataFrame:
+    """``files`` (path) with the settings that a result's file name gives, joined by hyphens, by ``names``; null where a name has fewer.
+
+    A name with more parts than names isn't a result and is left out.
+    """
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    parts = F.split(stem, "-")
+    return files.where(F.size(parts) <= len(names)).select("*", *(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)))
+
+
+#: shares of the other value from which on a value is marked as better, and as much better
+BETTER, MUCH_BETTER = 0.95, 0.8
+
+
+def marks(values: DataFrame, by: list[str], variant: str, value: str = "value", high_is_good: bool = False) -> DataFrame:
+    """``values`` with the best of the other variants of each group (other) and a mark: ``**`` for a value much better than it, ``*`` for a better one."""
+    w = Window.partitionBy(*by)
+    good = F.col(value) if not high_is_good else -F.col(value)
+    first, second = F.min(F.struct(good.alias("v"), F.col(variant).alias("k"))).over(w), F.sort_array(F.collect_list(F.struct(good.alias("v"), F.col(variant).alias("k"))).over(w))  # the variants of one group
+    other = F.when(F.col(variant) == F.col("_f.k"), F.get(F.col("_s"), F.lit(1))["v"]).otherwise(F.col("_f.v"))
+    out = values.withColumn("_f", first).withColumn("_s", second).withColumn("other", other if not high_is_good else -other)
+    share = F.try_divide(F.col("other"), F.col(value)) if high_is_good else F.try_divide(F.col(value), F.col("other"))
+    return out.withColumn("mark", F.when(share <= MUCH_BETTER, "**").when(share <= BETTER, "*").otherwise("")).drop("_f", "_s")
+
+
+__all__ = ["BETTER", "MUCH_BETTER", "file_settings", "marks", "outcomes", "timing_lines", "SUITES", "assignment_table", "bars", "compare_cut_types", "cut_counts", "map_statistics", "parse_timing", "row_layout", "run_suite", "shape_measures", "timing_ratio"]

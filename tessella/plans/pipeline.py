@@ -35,12 +35,24 @@ def write_map(m: TileMap, path: str, kind: str = "wkt") -> None:
     {"wkt": wkt.write, "ipe": ipe.write}[kind](m, path)
 
 
+def with_extension(path: str, extension: str) -> str:
+    """``path`` ending in the extension (with or without its dot given), whatever its case; another extension stays and gets this one after it."""
+    dotted = f".{extension.lstrip('.')}"
+    return path if path.lower().endswith(dotted.lower()) else path + dotted
+
+
 def export(m: TileMap, path: str) -> None:
-    """GeoJSON, SVG and TSV of the assigned cells, each in a folder of its own."""
-    g = grid(m.maps.select("grid").first()[0])
-    drawings.write(drawings.geojson(m, g), f"{path}.geojson")
-    drawings.write(drawings.svg(m, g), f"{path}.svg")
-    tsv.write_result(m, f"{path}.tsv")
+    """GeoJSON, SVG and TSV of the assigned cells, each in a folder of its own; maps may be on different grids."""
+    names = sorted(r.grid for r in m.maps.where("grid is not null").select("grid").distinct().collect())  # some dozens of grids
+    for draw, kind in ((drawings.geojson, "geojson"), (drawings.svg, "svg")):
+        texts = None
+        for name in names:
+            own = m.with_(sites=m.sites.join(m.maps.where(F.col("grid") == name).select("map_id"), "map_id", "left_semi"))
+            drawn = draw(own, grid(name))
+            texts = drawn if texts is None else texts.unionByName(drawn)
+        if texts is not None:
+            drawings.write(texts, with_extension(path, kind))
+    tsv.write_result(m, with_extension(path, "tsv"))
 
 
 @dataclass
