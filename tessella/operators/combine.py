@@ -83,21 +83,28 @@ def place(parts: list[Part], g: Grid, method: str) -> dict[tuple, Cell]:
     """The offset of each component."""
     if method.startswith("Agglomerative"):
         groups = [[p] for p in parts]
+        known: dict[tuple[int, int], tuple[float, int, int]] = {}  # places on the map don't change when cells move
+
+        def between(a: Part, b: Part) -> tuple[float, int, int]:
+            """Distance of two components and the sites (their numbers) between which their cells are placed."""
+            if (id(a), id(b)) not in known:
+                if method == "AgglomerativePartitionAssigned":
+                    far, k, m = min((_ring_distance(r, s), k, m) for k, r in enumerate(a.rings) for m, s in enumerate(b.rings))
+                    ia, ib = (o if len(o := np.flatnonzero(p.owners == n)) else np.arange(len(p.sites)) for p, n in ((a, k), (b, m)))
+                    _, x, y = _nearest(a.sites[ia], b.sites[ib])
+                    known[id(a), id(b)] = far, int(ia[x]), int(ib[y])
+                else:
+                    known[id(a), id(b)] = _nearest(a.sites, b.sites)
+            return known[id(a), id(b)]
+
         while len(groups) > 1:
             best = None
             for i in range(len(groups)):
                 for j in range(i + 1, len(groups)):
                     for a in groups[i]:
                         for b in groups[j]:
-                            if method == "AgglomerativePartitionAssigned":
-                                near = min((_ring_distance(r, s), k, m) for k, r in enumerate(a.rings) for m, s in enumerate(b.rings))
-                                own = [np.flatnonzero(p.owners == n) for p, n in ((a, near[1]), (b, near[2]))]
-                                ia, ib = (o if len(o) else np.arange(len(p.sites)) for o, p in zip(own, (a, b), strict=True))
-                                _, x, y = _nearest(a.sites[ia], b.sites[ib])
-                                found = (near[0], i, j, a, b, int(ia[x]), int(ib[y]))
-                            else:
-                                d, x, y = _nearest(a.sites, b.sites)
-                                found = (d, i, j, a, b, x, y)
+                            d, x, y = between(a, b)
+                            found = (d, i, j, a, b, x, y)
                             if best is None or found[:3] < best[:3]:
                                 best = found
             _, i, j, a, b, x, y = best

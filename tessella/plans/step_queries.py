@@ -11,13 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import colors as C
 from ..functions import geometry as G
 from ..functions.grids import grid
 from ..functions.shapes import label_point, remove_degeneracies
-from ..operators import align, analyze, arrange, assign, cells, dual, partition, regions
-from ..schema import INPUT, TileMap
-from ..sources import drawings, tsv, wkt
+from ..operators import align, analyze, assign, cells, combine, dual, guide, partition, regions
+from ..schema import ASSIGNED, INPUT, PARTITIONED, TileMap
+from ..sources import drawings, ipe, tsv, wkt
 from . import evaluate, pipeline
 from .queries import CELLS, GUIDED, HALVES, HEX, KEY, LAID, NEXT, ROOKS, SITES, STATS, TILES, UNI, _displaced, _guided, _halves, _measure, _norm, _rings, _square_cells, _table, laid, placed, q6, query, r6, sites
 
@@ -530,3 +531,79 @@ def partition_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, _ = partition.partition(continents(spark, sf_dir), "COMBINED", 3.0, 5)
     s = evaluate.shape_measures(m)
     return s.groupBy("outline_id").agg(F.count("*").cast("int").alias("parts"), r6(F.sum("length")).alias("cut"), F.bool_and(F.col("fatness").between(0.7, 1.0)).alias("fat"))
+
+
+# guides, placement, files
+
+
+@query(f"WITH {MAP}, n AS (SELECT outline_id, count(*) AS n FROM w GROUP BY 1) SELECT outline_id, n AS tiles, true AS whole, true AS covered, true AS scaled FROM n")
+def guide_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guide of every box: as many cells as it has sites, in one piece and without holes, mostly under it, at the scale at which its area is theirs."""
+    m = drawn(spark, sf_dir)
+    n = m.sites.groupBy("map_id", "outline_id", "partition_id").agg(F.count("*").cast("int").alias("tiles"))
+    p = m.partitions.join(n, ["map_id", "outline_id", "partition_id"])
+    made = durable(guide.guides(p.select("map_id", "outline_id", "partition_id", "ring", "tiles"), SQUARE, 3))
+    own = made.select("outline_id", F.explode("cells").alias("c")).select("outline_id", "c.x", "c.y")
+    whole = regions.connected(own, SQUARE, ["outline_id"]).select("outline_id", "connected")
+    holed = regions.holes(own, SQUARE, ["outline_id"]).select("outline_id").distinct().withColumn("holed", F.lit(True))
+    scaled = F.abs(F.col("factor") * F.col("factor") * G.area(F.col("ring")) - F.col("tiles")) < 1e-6 * F.col("tiles")
+    joined = made.join(p.select("outline_id", "ring", "tiles"), "outline_id").join(whole, "outline_id").join(holed, "outline_id", "left")
+    return joined.select("outline_id", F.size("cells").cast("long").alias("tiles"), (F.col("connected") & F.col("holed").isNull()).alias("whole"), (F.col("quality") > 0.6 * F.col("tiles")).alias("covered"), scaled.alias("scaled"))
+
+
+@query(f"WITH {MAP}, b AS (SELECT outline_id, l, r, b, t, unnest(generate_series(CAST(floor(l + 0.5) AS BIGINT), CAST(floor(r + 0.5) AS BIGINT))) AS x FROM o), c AS (SELECT *, unnest(generate_series(CAST(floor(b + 0.5) AS BIGINT), CAST(floor(t + 0.5) AS BIGINT))) AS y FROM b), a AS (SELECT outline_id, x, y, greatest(0, least(r, x + 0.5) - greatest(l, x - 0.5)) * greatest(0, least(t, y + 0.5) - greatest(b, y - 0.5)) AS area FROM c) SELECT outline_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, {q6('area')} AS area FROM a WHERE area > 1e-4")
+def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of every square with every box."""
+    p = guide.polygon_cells(drawn(spark, sf_dir).partitions, SQUARE)
+    return p.where("area > 1e-4").select("outline_id", "x", "y", r6(F.col("area")).alias("area"))
+
+
+_METHODS = ("Agnostic", "ClosestAssigned", "AgglomerativeAssigned", "AgglomerativePartitionAssigned")
+
+
+@query(f"WITH {MAP}, n AS (SELECT outline_id, count(*) AS n, max(cx) - min(cx) AS width, max(cy) - min(cy) AS height FROM w GROUP BY 1), k(method) AS (VALUES {', '.join(f'({m!r})' for m in _METHODS)}) SELECT method, outline_id, n AS cells, CAST(width AS INT) AS width, CAST(height AS INT) AS height, true AS free FROM n, k")
+def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that lie over one another are placed side by side by every method: shapes stay, cells don't meet, sites go along."""
+    m = drawn(spark, sf_dir)
+    back = lambda x: F.col(x) - F.col("outline_id") * 10  # noqa: E731  all over the origin again
+    m = m.with_(sites=durable(m.sites.withColumn("cell", G.cell(F.col("cell.x") - F.col("outline_id") * 10, F.col("cell.y")))), cells=durable(m.cells.withColumn("x", back("x").cast("int"))), partitions=durable(m.partitions))
+    out = None
+    for method in _METHODS:
+        done = combine.combine(m, SQUARE, method)
+        c = durable(done.cells)
+        shared = c.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("outline_id").alias("o"))
+        alone = shared.groupBy(F.col("o").alias("outline_id")).agg((F.max("n") == 1).alias("alone"))
+        kept = done.sites.select("outline_id", "cell.x", "cell.y").join(c.select("outline_id", "x", "y"), ["outline_id", "x", "y"], "left_semi").groupBy("outline_id").agg(F.count("*").alias("_k"))
+        shape = c.groupBy("outline_id").agg(F.count("*").alias("cells"), (F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"))
+        rows = shape.join(alone, "outline_id").join(kept, "outline_id").select(F.lit(method).alias("method"), "outline_id", "cells", "width", "height", (F.col("alone") & (F.col("_k") == F.col("cells"))).alias("free"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {MAP} SELECT stage, (SELECT count(*) FROM w) AS sites, CASE WHEN stage >= 2 THEN (SELECT count(*) FROM o) ELSE 0 END AS partitions, CASE WHEN stage >= 4 THEN (SELECT count(*) FROM w) ELSE 0 END AS cells, CASE WHEN stage >= 8 THEN (SELECT count(*) FROM w) ELSE 0 END AS placed FROM (VALUES (1), (2), (4), (8)) AS k(stage)")
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a finished map at each earlier stage."""
+    m, out = drawn(spark, sf_dir), None
+    for stage in (INPUT, PARTITIONED, 4, ASSIGNED):
+        now = m.at(stage)
+        now.require(stage)
+        one = [now.sites.agg(F.count("*").alias("sites"), F.count("cell").alias("placed")), now.partitions.agg(F.count("*").alias("partitions")), now.cells.agg(F.count("*").alias("cells"))]
+        row = one[0].join(one[1]).join(one[2]).select(F.lit(stage).alias("stage"), "sites", "partitions", "cells", "placed")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"WITH {MAP}, g AS (SELECT count(*) AS n FROM w) SELECT 'm' AS map_id, n AS sites, true AS readable FROM g")
+def ipe_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawing holds a label for every site and is closed."""
+    d = ipe.documents(drawn(spark, sf_dir), INPUT)
+    layered = F.size(F.split("value", '<text layer="sites')) - 1
+    return d.select("map_id", layered.cast("long").alias("sites"), F.trim("value").endswith("</ipe>").alias("readable"))
+
+
+@query("WITH n AS (SELECT n_name AS path FROM nation) SELECT path, path || '.tsv' AS once, path || '.tsv' AS twice FROM n")
+def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An output's extension is put where it is missing, once."""
+    names = [r.n_name for r in _table(spark, sf_dir, "nation").orderBy("n_name").limit(1000).collect()]  # paths of one export are named on the driver
+    once = [pipeline.with_extension(n, "tsv") for n in names]
+    return spark.createDataFrame([(n, o, pipeline.with_extension(o, ".TSV")) for n, o in zip(names, once, strict=True)], "path string, once string, twice string")
