@@ -45,7 +45,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and reread (columnar, so later reads prune columns)."""
     path = f"{shared_dir(df.sparkSession)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 16 << 20).parquet(path)  # small row groups: writers hold one in memory
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def found_in(df: DataFrame, small: DataFrame, keys: list[str], limit: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose keys are in ``small`` (a stored table): where they lie if it has at most ``limit`` rows, which bounds the broadcast, else by a shuffle."""
+    return df.join(F.broadcast(small) if small.count() <= limit else small, keys, "left_semi")
 
 
 def utf8(column: pa.Array) -> list[bytes]:

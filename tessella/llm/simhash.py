@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, checkpointed, slices, stored, utf8
+from .common import by_group, checkpointed, discard, found_in, slices, stored, utf8
 from .graph import connected_components
 
 ALL = (1 << 64) - 1
@@ -323,12 +323,14 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     near = stored(links(heads.select("trie", "fp"), budget, 4_000, 32, "trie").distinct(), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct()
-        toks = own.select("sid", "toks").join(need, "sid", "left_semi").groupBy("sid").agg(F.first("toks").alias("toks"))
+        need = stored(pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct(), "need")
+        toks = found_in(own.select("sid", "toks"), need, ["sid"]).groupBy("sid").agg(F.first("toks").alias("toks"))
         toks = stored(toks, "toks")
         a, b = (toks.select(F.col("sid").alias(k), F.col("toks").alias(t)) for k, t in (("src", "a"), ("dst", "b")))
         both = F.size(F.array_intersect("a", "b"))
-        return stored(pairs.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst"), "edges")
+        out = stored(pairs.join(a, "src").join(b, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst"), "edges")
+        discard(need, toks)
+        return out
 
     def alike(pairs: DataFrame) -> DataFrame:
         """src, dst and bits that differ, of pairs close enough in size and fingerprint."""
@@ -337,13 +339,16 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
         joined = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_n", "dst_n", apart.alias("apart"))
         return joined.where((F.col("apart") <= far) & (F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n") - 1e-9)).select("src", "dst", "apart")
 
-    stars = nodes.join(heads.where("m > 1"), ["trie", "fp"]).where("sid <> head").select(*_ordered("sid", "head"))
-    a, b = (heads.select("trie", F.col("fp").alias(k), F.col("head").alias(f"{k}_head"), F.col("m").alias(f"{k}_m")) for k in ("src", "dst"))
+    several = stored(heads.where("m > 1"), "several")
+    stars = found_in(nodes, several.select("trie", "fp"), ["trie", "fp"]).join(several, ["trie", "fp"]).where("sid <> head").select(*_ordered("sid", "head"))
+    ends = stored(near.select("trie", F.explode(F.array("src", "dst")).alias("fp")).distinct(), "ends")
+    ended = stored(found_in(heads, ends, ["trie", "fp"]), "ended")
+    a, b = (ended.select("trie", F.col("fp").alias(k), F.col("head").alias(f"{k}_head"), F.col("m").alias(f"{k}_m")) for k in ("src", "dst"))
     met = stored(near.join(a, ["trie", "src"]).join(b, ["trie", "dst"]), "met")
     first = stored(alike(stars.unionByName(met.where("src_head <> dst_head").select(*_ordered("src_head", "dst_head"))).distinct()), "candidates")
     each = first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "apart"))
     best = each.groupBy("src").agg(F.min(F.struct("apart", "dst")).alias("x")).select(*_ordered("src", "x.dst")).distinct()
-    edges = verified(best)
+    edges = verified(stored(best, "best"))
     known = connected_components(edges).withColumnRenamed("node", "sid")
 
     def different(pairs: DataFrame) -> DataFrame:
@@ -352,19 +357,21 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
         return pairs.where("src_c <> dst_c").select("src", "dst")
 
     # members of shared nodes: those that differ from their node's head, and all where the heads differ
-    shared = heads.where("m > 1").select("trie", F.col("fp").alias("src"), F.col("fp").alias("dst"), F.col("head").alias("src_head"), F.col("head").alias("dst_head"))
+    shared = several.select("trie", F.col("fp").alias("src"), F.col("fp").alias("dst"), F.col("head").alias("src_head"), F.col("head").alias("dst_head"))
     wide = met.where("src_m > 1 or dst_m > 1").select("trie", "src", "dst", "src_head", "dst_head")
     wide = wide.unionByName(wide.select("trie", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst_head").alias("src_head"), F.col("src_head").alias("dst_head"))).unionByName(shared)
     c = known.select(F.col("sid").alias("head"), "component")
     for k in ("src", "dst"):
         wide = wide.join(c.select(F.col("head").alias(f"{k}_head"), F.col("component").alias(f"{k}_c")), f"{k}_head", "left").withColumn(f"{k}_c", F.coalesce(f"{k}_c", f"{k}_head"))
     wide = stored(wide.select("trie", "src", "dst", "src_c", "dst_c"), "wide")
-    held = wide.select("trie", F.col("src").alias("fp")).distinct()
-    members = stored(nodes.join(held, ["trie", "fp"], "left_semi").join(known, "sid", "left").select("trie", "fp", "sid", F.coalesce("component", "sid").alias("c")), "members")
+    held = stored(wide.select("trie", F.col("src").alias("fp")).distinct(), "held")
+    members = stored(found_in(nodes, held, ["trie", "fp"]).join(known, "sid", "left").select("trie", "fp", "sid", F.coalesce("component", "sid").alias("c")), "members")
     left = wide.join(members.select("trie", F.col("fp").alias("src"), F.col("sid").alias("a"), F.col("c").alias("a_c")), ["trie", "src"]).where("src_c <> dst_c or a_c <> src_c")
     across = left.join(members.select("trie", F.col("fp").alias("dst"), F.col("sid").alias("b"), F.col("c").alias("b_c")), ["trie", "dst"]).where("a_c <> b_c")
     rest = alike(across.select(*_ordered("a", "b")).distinct()).select("src", "dst").unionByName(different(first.select("src", "dst"))).distinct()
-    return connected_components(edges.unionByName(verified(stored(rest, "rest"))))
+    edges = stored(edges.unionByName(verified(stored(rest, "rest"))), "edges")
+    discard(sets, heads, near, several, ends, ended, met, first, wide, held, members)
+    return connected_components(edges)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 10, budget: int = 2) -> DataFrame:
@@ -387,6 +394,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(group, "sid", "left").select("doc_id", "text_hash", "n", F.coalesce("component", "sid").alias("component"))
     least = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("x"))
     kept = stored(least.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"), F.col("x.n").alias("_n")), "kept")
+    discard(own)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     whole = whole.withColumn("id", F.col("row")[id_col].cast("long")).withColumn("hash", F.xxhash64(F.col("row")[text_col].cast("string")))
 
