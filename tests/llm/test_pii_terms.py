@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import defaultdict
+
 from tessella.llm import pii
 
 
@@ -16,3 +21,53 @@ def test_revealing_terms_go_wherever_they_stand(spark):
     assert all(s == "" for i, s in got.items() if i > 2)
     clean = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows[:2] + rows[-1:] + rows[2:50_000], "doc_id long, text string")).where("doc_id < 3").collect()}
     assert len(clean) == 3 and all("zorbatine" not in t.lower() for t in clean.values())
+
+
+def test_terms_against_brute_force(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choices(letters, k=6)) for _ in range(400)]
+    docs = [(i, [rng.choice(vocabulary) for _ in range(14)]) for i in range(300)]
+    for v in range(5):
+        for k, i in enumerate(rng.sample(range(300), 6)):
+            docs[i][1].insert(rng.randrange(14), f"v{v}@mail.example.com")
+            for name, most in ((f"often{'abcde'[v]}x", 5), (f"half{'abcde'[v]}x", 3), (f"Once{'abcde'[v]}x", 1)):
+                if k < most:
+                    docs[i][1].insert(rng.randrange(14), name)
+    docs += [(300 + i, [f"half{'abcde'[i % 5]}x", *rng.choices(vocabulary, k=10)]) for i in range(40)]  # the term without the value
+    rows = [(i, " ".join(w)) for i, w in docs]
+    rows += [(900 + i, rows[i][1]) for i in range(20)]  # copies
+    values, terms = defaultdict(set), defaultdict(set)
+    for i, text in rows:
+        for w in text.split():
+            (values if "@" in w else terms)[w.lower()].add(i)
+    text_of, n = dict(rows), len(rows)
+    tests = len(values) * len(terms)
+    flagged = set()
+    for c, in_c in values.items():
+        for t, in_t in terms.items():
+            both = in_c & in_t
+            k = len({text_of[i] for i in both})
+            if not both:
+                continue
+            mean = len(in_c) * len(in_t) / n
+            share = math.log(n * len(both) / (len(in_c) * len(in_t))) / math.log(n / len(in_c))
+            if share >= 0.6 and k * math.log(k / mean) - k + mean >= math.log(tests):
+                flagged.add(t)
+    assert 5 <= len(flagged) <= 40
+    got = {r.doc_id: r.spans for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = [(m.start(), m.end()) for m in re.finditer("[^ ]+", text) if m.group().lower() in flagged]
+        ends = [s.split(":") for s in got[i].split(",") if s.startswith("term:")]
+        assert [(int(a), int(b)) for _, a, b in ends] == want, text
+
+
+def test_very_many_spans_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"user{i}@example{i % 7}.com wo{i}rd" for i in range(n))
+    df = spark.createDataFrame([(1, text), (2, "1 " * 200_000), (3, "a@b" + ".c" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_private(df).collect()}
+    assert got[1].n_email == n and got[2].n_card == 0 and got[3].n_email == 1
+    assert got[1].spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"user[^ ]+", text))
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[1] == re.sub(r"user[^ ]+", "[EMAIL]", text) and clean[3] == "[EMAIL]"
