@@ -59,7 +59,7 @@ def _labels(n: int, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
             label = label[label]
 
 
-def trie_pairs(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Self-join of several binary tries at once: the pairs of rows (a, b) linked within their group.
 
     ``fp`` (unsigned) is sorted within each run of equal ``groups``. A trie node is a
@@ -114,7 +114,7 @@ def trie_pairs(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 <
             stack.append((depth + 1, al[live], ah[live], bl[live], bh[live], far[live]))
 
 
-def trie_join(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 << 18) -> np.ndarray:
+def trie_join(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 << 16) -> np.ndarray:
     """Each row's smallest row among those linked to it within its group; links are united as they come, so memory doesn't follow their number."""
     label = np.arange(len(fp))
     for a, b in trie_pairs(groups, fp, budget, block):
@@ -178,7 +178,7 @@ def links(distinct: DataFrame, budget: int = 2, group_rows: int = 20_000, bits:
     keys = ["mask", "at"] if by is None else [by, "mask", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, keys):
+        for t in by_group(batches, keys, 40_000):
             cols = [t.column(c).to_numpy() for c in keys]
             fp = t.column("fp").to_numpy().view(np.uint64)
             group = np.cumsum(np.r_[0, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])])
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 class Words(dict):
     """64-bit hash of a word, remembered for up to ``limit`` short words."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         import xxhash
 
         self.limit, self.digest = limit, xxhash.xxh64_intdigest
@@ -285,7 +285,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) ->
         import xxhash
 
         known = Words()
-        for batch in slices(batches, 500, "text", 2 << 20):
+        for batch in slices(batches, 500, "text", 1 << 20):
             sets = [shingle_set(t, known, size) for t in utf8(batch.column(2))]
             sid = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets), np.uint64, len(sets)).view(np.int64)
             n = np.array([len(x) for x in sets], np.int32)
