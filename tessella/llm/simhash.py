@@ -59,6 +59,24 @@ def _labels(n: int, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
             label = label[label]
 
 
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs that join rows not yet united, one for each union, and the rows' labels after them."""
+    out_a, out_b = [a[:0]], [b[:0]]
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(out_a), np.concatenate(out_b), label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root, at = np.unique(np.maximum(x, y), return_index=True)  # each root is put under one smaller one
+        out_a.append(a[at])
+        out_b.append(b[at])
+        label = label.copy()
+        label[root] = np.minimum(x, y)[at]
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def trie_pairs(groups: np.ndarray, fp: np.ndarray, budget: int, block: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Self-join of several binary tries at once: the pairs of rows (a, b) linked within their group.
 
@@ -171,9 +189,9 @@ def _routed(nodes: DataFrame, budget: int, group_rows: int, bits: int, by: list[
 def links(distinct: DataFrame, budget: int = 2, group_rows: int = 20_000, bits: int = 64, by: str | None = None) -> DataFrame:
     """Edges (src, dst) among the fingerprints of ``distinct`` (fp) within ``budget`` differing bits, of which the upper ``bits`` count.
 
-    Without ``by`` they connect all linked fingerprints: each subtrie gives a forest of its
-    links. With the column ``by`` fingerprints are linked within equal values of it alone, all
-    links are given and the edges carry it; 32 bits have at most 528 others within two.
+    They connect all linked fingerprints: each subtrie gives a forest of its links, so their
+    number follows that of the fingerprints, whatever groups they form. With the column ``by``
+    fingerprints are linked within equal values of it alone, and the edges carry it and are links themselves.
     """
     keys = ["mask", "at"] if by is None else [by, "mask", "at"]
 
@@ -189,8 +207,9 @@ def links(distinct: DataFrame, budget: int = 2, group_rows: int = 20_000, bits:
                 got = np.flatnonzero(root != np.arange(len(fp)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[got].view(np.int64)), pa.array(fp[root[got]].view(np.int64))], ["src", "dst"])
                 continue
-            own = cols[0][order]
+            own, label = cols[0][order], np.arange(len(fp))
             for a, b in trie_pairs(group, fp, budget):
+                a, b, label = _forest(label, a, b)
                 yield pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], [by, "src", "dst"])
 
     head = "" if by is None else f"{by} int, "
@@ -306,7 +325,7 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     """node and component of the sids of ``own`` that are linked to another by exact Jaccard similarity, of the pairs that any trie finds.
 
     Every fingerprint word is cut into two tries of 32 bits. Fingerprints within ``budget``
-    bits in a trie are candidates, all pairs of their sets. First each set's best candidate
+    bits in a trie are candidates, by a spanning forest of each subtrie's links. First each set's best candidate
     is verified, which joins most members of a large group; then all candidates that still
     lie in different components are. Candidates whose whole fingerprints differ in more bits
     than sets of similarity ``margin`` do on average can't be as similar as asked for (five
