@@ -26,8 +26,9 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,context:long>
 TERM_SPAN = "struct<start:int,end:int,action:string>"
 #: elements that ``running`` folds by themselves
 RUN = 128
-#: minima of a text's hashed runs of three words by which near copies are told; texts with any in common count once
-SKETCH = 12
+#: minima of a text's hashed runs of three words by which near copies are told, and how many of them must agree (an
+#: estimated Jaccard similarity of 0.75); two texts that disagree in no more agree in one band of BAND minima at least
+SKETCH, AGREE, BAND = 12, 9, 3
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -197,6 +198,19 @@ def _set_of(*parts: str) -> list[Column]:
     return [F.bit_xor(F.xxhash64(*parts, F.lit(k))).alias(f"set{k}") for k in (1, 2)]
 
 
+def _near_copies(sketches: DataFrame) -> DataFrame:
+    """entity and key of the texts of ``sketches`` (entity, key, sketch) that are near copies of one with a smaller key.
+
+    Texts of an entity meet where a band of their minima is equal, each only the smallest key
+    there, and are near copies if AGREE of SKETCH minima are equal.
+    """
+    bands = F.array(*(F.xxhash64(*(F.get("sketch", F.lit(r + i)) for i in range(BAND))) for r in range(0, SKETCH, BAND)))
+    met = sketches.select("entity", "key", "sketch", F.posexplode(bands).alias("band", "h"))
+    first = met.groupBy("entity", "band", "h").agg(F.min(F.struct("key", "sketch")).alias("first"))
+    agree = F.size(F.filter(F.zip_with("sketch", F.col("first.sketch"), lambda a, b: a == b), lambda same: same))
+    return met.join(first, ["entity", "band", "h"]).where((F.col("first.key") < F.col("key")) & (agree >= AGREE)).select("entity", "key").distinct()
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: float, remove: float, chance: float) -> DataFrame | None:
     """term and action of the terms that give a protected value away; None if no value can be proved to.
 
@@ -223,10 +237,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: f
     apart = at.groupBy("entity", "context").agg(F.min("key").alias("key")).select("entity", "key").distinct()
     several = counts.groupBy("entity").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("entity")
     shared = counts.join(several, "entity", "left_semi").select("entity", "key")
-    sketches = scanned.where("size(spans) > 0").select("key", F.posexplode("sketch").alias("r", "h")).distinct()
-    sketches = shared.join(sketches, "key")
-    first = sketches.groupBy("entity", "r", "h").agg(F.min("key").alias("first"))
-    copy = sketches.join(first, ["entity", "r", "h"]).where("first < key").select("entity", "key").distinct().withColumn("copy", F.lit(1))
+    sketches = shared.join(scanned.where("size(spans) > 0").select("key", "sketch").distinct(), "key")
+    copy = _near_copies(sketches).withColumn("copy", F.lit(1))
     rows = counts.join(apart.withColumn("one", F.lit(1)), ["entity", "key"], "left").join(copy, ["entity", "key"], "left")
     rows = stored(rows.select("entity", "key", "copies", F.when(F.col("copy").isNull(), F.coalesce("one", F.lit(0))).otherwise(0).alias("own")), "evidence")
     entities = rows.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.sum("own").alias("k_c"), F.count("*").alias("m"), *_set_of("key", "own"))

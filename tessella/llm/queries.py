@@ -79,12 +79,12 @@ def _node(column: str) -> str:
 # RE2 knows no lookahead: a tag is found first, then its parts
 _LINKS = "list_concat(list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<link\\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\\brel\\s*=\\s*[\"'']?canonical\\b', 'is')), lambda t: regexp_extract(t, '\\bhref\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1, 'is')), list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<meta\\b[^>]*>', 0, 'is'), lambda t: regexp_matches(t, '\\bhttp-equiv\\s*=\\s*[\"'']?refresh\\b', 'is')), lambda t: regexp_extract(t, '\\burl\\s*=\\s*[\"'']?([^\"''\\s>;]+)', 1, 'is')))"
 
-_PARTS = "string_split((CASE WHEN at = '' THEN '/' ELSE regexp_replace(at, '[^/]*$', '') END) || regexp_extract(t, '^[^?#]*'), '/')"
+_PARTS = "string_split((CASE WHEN place = '' THEN '/' ELSE regexp_replace(place, '[^/]*$', '') END) || regexp_extract(t, '^[^?#]*'), '/')"
 _BESIDE = f"array_to_string(list_reduce(list_prepend([''], list_transform({_PARTS}[2:], lambda p: [p])), lambda d, p: CASE p[1] WHEN '..' THEN d[1:greatest(len(d) - 1, 1)] WHEN '.' THEN d ELSE list_concat(d, p) END), '/')"
-_RESOLVED = f"CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || base || t WHEN starts_with(t, '?') THEN 'http://' || base || at || t WHEN NOT starts_with(t, '#') AND NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'http://' || base || {_BESIDE} || regexp_extract(t, '^[^?#]*(.*)$', 1, 's') END"
+_RESOLVED = f"CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || base || t WHEN starts_with(t, '?') THEN 'http://' || base || place || t WHEN NOT starts_with(t, '#') AND NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'http://' || base || {_BESIDE} || regexp_extract(t, '^[^?#]*(.*)$', 1, 's') END"
 
 _URLS = f"""WITH RECURSIVE p AS (SELECT page_id, url, html, {_split("url")} FROM pages), o AS (SELECT *, {_judged()}, {_node("url")} FROM p),
-l AS (SELECT node AS src, host AS base, path AS at, unnest({_LINKS}) AS t FROM o WHERE node IS NOT NULL),
+l AS (SELECT node AS src, host AS base, path AS place, unnest({_LINKS}) AS t FROM o WHERE node IS NOT NULL),
 a AS (SELECT src, {_RESOLVED} AS u FROM l WHERE t <> ''),
 b AS (SELECT src, u, {_split("u")} FROM a), e AS (SELECT src, {_node("u")}, {_judged()} FROM b),
 edge AS (SELECT src, node AS dst FROM e WHERE node IS NOT NULL UNION SELECT node, src FROM e WHERE node IS NOT NULL),

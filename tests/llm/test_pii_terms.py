@@ -71,3 +71,36 @@ def test_very_many_spans_in_one_text(spark):
     assert got[1].spans == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"user[^ ]+", text))
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert clean[1] == re.sub(r"user[^ ]+", "[EMAIL]", text) and clean[3] == "[EMAIL]"
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(8)
+    base = {e: [rng.randrange(1 << 40) for _ in range(12)] for e in "ab"}
+    rows = []
+    for e in "ab":
+        for i in range(60):
+            own = list(base[e])
+            for r in rng.sample(range(12), rng.choice([0, 1, 2, 3, 4, 6, 12])):
+                own[r] = rng.randrange(1 << 40)
+            rows.append((e, f"{rng.randrange(10**9):09d}", own))
+    bands = lambda s: [(r, *s[r : r + 3]) for r in range(0, 12, 3)]
+    want = set()
+    for e, key, own in rows:
+        for b in bands(own):
+            first = min((k, s) for f, k, s in rows if f == e and b in bands(s))
+            if first[0] < key and sum(x == y for x, y in zip(own, first[1])) >= 9:
+                want.add((e, key))
+    got = pii._near_copies(spark.createDataFrame(rows, "entity string, key string, sketch array<long>")).collect()
+    assert {tuple(r) for r in got} == want and 20 < len(want) < 110
+
+
+def test_templates_are_no_copies_and_edits_are(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    long = [word() for _ in range(300)]
+    edited = [" ".join(long[:k] + [word()] + long[k + 1 :]) for k in (20, 90, 200)]
+    templated = [f"{word()} {word()} write to our office at once {word()} {word()}" for _ in range(4)]
+    docs = spark.createDataFrame([(t,) for t in edited + templated], "text string")
+    rows = docs.select(pii.F.lit("v").alias("entity"), pii.F.col("text").alias("key"), pii._sketch(pii.F.col("text")).alias("sketch"))
+    got = {r.key for r in pii._near_copies(rows).collect()}
+    assert got == set(sorted(edited)[1:])

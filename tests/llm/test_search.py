@@ -198,7 +198,7 @@ def test_urls(spark):
         (6, None, None), (7, "no scheme", None), (8, "http://EXAMPLE.com", None), (9, "http://deep.example.net/de/89?u=/es/", None), (10, "ftp://w.net/de/", None), (11, "http://notcom/en/", None), (12, "http://k.org/es/", None), (13, "http://www.k.org/p?utm_source=f", link("/es/")),
         (14, "http://x.org/z.html", None), (15, "http://both.org/1", link("http://example.com/en/7x") + hop("http://b.com/en/1")), (1, "http://a.example.com/en/1", None),
     ]
-    rows += [(20, "http://s.org/a/b/c.html", link("../d?x=1")), (21, "http://s.org/a/d?x=1", link("http://b.com/en/1")), (22, "http://s.org/q", link("?id=3")), (23, "http://s.org/q?id=3", link("e/./f")), (24, "http://s.org/e/f", link("http://b.com/en/1")), (25, "http://s.org/g", link("mailto:a@b.com")), (26, "http://t.org", link("h"))]
+    rows += [(20, "http://s.org/a/b/c.html", link("../d?x=1")), (21, "http://s.org/a/d?x=1", link("http://c.com/en/1")), (22, "http://s.org/q", link("?id=3")), (23, "http://s.org/q?id=3", link("e/./f")), (24, "http://s.org/e/f", link("http://c.com/en/1")), (25, "http://s.org/g", link("mailto:a@b.com")), (26, "http://t.org", link("h"))]
     rows += [(27, "http://t.org/h", link("../../../i")), (28, "http://t.org/i", link("http://b.com/en/2"))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, verdict string")
     got = {r.page_id: r for r in urls.filter_urls(df).collect()}
