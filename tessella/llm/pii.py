@@ -26,9 +26,9 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,context:long>
 TERM_SPAN = "struct<start:int,end:int,action:string>"
 #: elements that ``running`` folds by themselves
 RUN = 128
-#: minima of a text's hashed runs of three words by which near copies are told, and how many of them must agree (an
-#: estimated Jaccard similarity of 0.75); two texts that disagree in no more agree in one band of BAND minima at least
-SKETCH, AGREE, BAND = 12, 9, 3
+#: a text's sketch is the SKETCH least hashes of its runs of three words; texts with any of the LEAST least in common are
+#: compared, and are near copies from an estimated Jaccard similarity of ALIKE on (two copies, each edited in one word of twenty, have 0.58)
+SKETCH, LEAST, ALIKE = 64, 12, 0.5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -178,14 +178,10 @@ def _terms(text: Column) -> Column:
 
 
 def _sketch(text: Column) -> Column:
-    """The SKETCH minima of a text's runs of three words of letters, e-mail addresses left out: a value that texts share makes them no copies."""
+    """The SKETCH least hashes of a text's runs of three words of letters, e-mail addresses left out: a value that texts share makes them no copies."""
     text = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-
-    def least(h: Column, r: int) -> Column:
-        return F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(r))))
-
     runs = lambda w: F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    return _let(_let(F.split(F.lower(text), r"[^\p{L}]+"), runs), lambda h: F.array(*(least(h, r) for r in range(SKETCH))))
+    return F.slice(F.array_sort(F.array_distinct(_let(F.split(F.lower(text), r"[^\p{L}]+"), runs))), 1, SKETCH)
 
 
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -198,17 +194,20 @@ def _set_of(*parts: str) -> list[Column]:
     return [F.bit_xor(F.xxhash64(*parts, F.lit(k))).alias(f"set{k}") for k in (1, 2)]
 
 
-def _near_copies(sketches: DataFrame) -> DataFrame:
-    """entity and key of the texts of ``sketches`` (entity, key, sketch) that are near copies of one with a smaller key.
+def _near_copies(shared: DataFrame, sketches: DataFrame) -> DataFrame:
+    """entity and key of the texts of ``shared`` (entity, key) that are near copies of one with a smaller key; ``sketches`` has key and sketch.
 
-    Texts of an entity meet where a band of their minima is equal, each only the smallest key
-    there, and are near copies if AGREE of SKETCH minima are equal.
+    Texts of an entity meet where one of their LEAST least hashes is equal, each only the smallest
+    key there. The estimate is the share of the SKETCH least hashes of both that both have: the
+    exact similarity if they have no more.
     """
-    bands = F.array(*(F.xxhash64(*(F.get("sketch", F.lit(r + i)) for i in range(BAND))) for r in range(0, SKETCH, BAND)))
-    met = sketches.select("entity", "key", "sketch", F.posexplode(bands).alias("band", "h"))
-    first = met.groupBy("entity", "band", "h").agg(F.min(F.struct("key", "sketch")).alias("first"))
-    agree = F.size(F.filter(F.zip_with("sketch", F.col("first.sketch"), lambda a, b: a == b), lambda same: same))
-    return met.join(first, ["entity", "band", "h"]).where((F.col("first.key") < F.col("key")) & (agree >= AGREE)).select("entity", "key").distinct()
+    met = shared.join(sketches, "key").select("entity", "key", F.explode(F.slice("sketch", 1, LEAST)).alias("h"))
+    first = met.groupBy("entity", "h").agg(F.min("key").alias("first"))
+    pairs = met.join(first, ["entity", "h"]).where("first < key").select("entity", "key", "first").distinct()
+    pairs = pairs.join(sketches, "key").join(sketches.select(F.col("key").alias("first"), F.col("sketch").alias("other")), "first")
+    both = F.slice(F.array_sort(F.array_union("sketch", "other")), 1, SKETCH)
+    alike = F.size(F.array_intersect(both, F.array_intersect("sketch", "other"))) >= F.size(both) * F.lit(ALIKE)
+    return pairs.where(alike).select("entity", "key").distinct()
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: float, remove: float, chance: float) -> DataFrame | None:
@@ -237,8 +236,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: f
     apart = at.groupBy("entity", "context").agg(F.min("key").alias("key")).select("entity", "key").distinct()
     several = counts.groupBy("entity").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("entity")
     shared = counts.join(several, "entity", "left_semi").select("entity", "key")
-    sketches = shared.join(scanned.where("size(spans) > 0").select("key", "sketch").distinct(), "key")
-    copy = _near_copies(sketches).withColumn("copy", F.lit(1))
+    sketches = stored(shared.select("key").distinct().join(scanned.where("size(spans) > 0").select("key", "sketch").distinct(), "key"), "sketches")
+    copy = _near_copies(shared, sketches).withColumn("copy", F.lit(1))
     rows = counts.join(apart.withColumn("one", F.lit(1)), ["entity", "key"], "left").join(copy, ["entity", "key"], "left")
     rows = stored(rows.select("entity", "key", "copies", F.when(F.col("copy").isNull(), F.coalesce("one", F.lit(0))).otherwise(0).alias("own")), "evidence")
     entities = rows.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.sum("own").alias("k_c"), F.count("*").alias("m"), *_set_of("key", "own"))
@@ -282,6 +281,7 @@ def term_spans(docs: DataFrame, scanned: DataFrame, text_col: str = "text", gene
     flagged = disclosing(docs, scanned, text_col, generalise, remove, chance)
     if flagged is None or flagged.isEmpty():
         return None
+    flagged = F.broadcast(flagged) if flagged.count() <= 1_000_000 else flagged
     own = _texts(docs, text_col)
     hits = stored(own.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(flagged, "term").select("key").distinct(), "hits")
     words = own.join(hits, "key", "left_semi").select("key", F.explode(term_matches(F.col("text"))).alias("t")).select("key", "t.*")
