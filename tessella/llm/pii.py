@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
+from .graph import connected_components
 
 # Kind and pattern. An address or number begins where its first run of characters does or where the last
 # match ended, and possessive runs keep the search linear; the matches are those of the plain patterns
@@ -195,19 +196,21 @@ def _set_of(*parts: str) -> list[Column]:
 
 
 def _near_copies(shared: DataFrame, sketches: DataFrame) -> DataFrame:
-    """entity and key of the texts of ``shared`` (entity, key) that are near copies of one with a smaller key; ``sketches`` has key and sketch.
+    """entity and key of the texts of ``shared`` (entity, key) that one text stands for in its group of near copies; ``sketches`` has key and sketch.
 
     Texts of an entity meet where one of their LEAST least hashes is equal, each only the smallest
-    key there. The estimate is the share of the SKETCH least hashes of both that both have: the
-    exact similarity if they have no more.
+    and the largest key there. The estimate is the share of the SKETCH least hashes of both that both have: the
+    exact similarity if they have no more. Near copies of near copies are of one group.
     """
     met = shared.join(sketches, "key").select("entity", "key", F.explode(F.slice("sketch", 1, LEAST)).alias("h"))
-    first = met.groupBy("entity", "h").agg(F.min("key").alias("first"))
-    pairs = met.join(first, ["entity", "h"]).where("first < key").select("entity", "key", "first").distinct()
+    ends = met.groupBy("entity", "h").agg(F.array_distinct(F.array(F.min("key"), F.max("key"))).alias("ends"))
+    pairs = met.join(ends, ["entity", "h"]).select("entity", "key", F.explode("ends").alias("first")).where("first <> key").distinct()
     pairs = pairs.join(sketches, "key").join(sketches.select(F.col("key").alias("first"), F.col("sketch").alias("other")), "first")
     both = F.slice(F.array_sort(F.array_union("sketch", "other")), 1, SKETCH)
     alike = F.size(F.array_intersect(both, F.array_intersect("sketch", "other"))) >= F.size(both) * F.lit(ALIKE)
-    return pairs.where(alike).select("entity", "key").distinct()
+    groups = connected_components(pairs.where(alike).select(F.xxhash64("entity", "key").alias("src"), F.xxhash64("entity", "first").alias("dst")))
+    others = groups.where("node <> component").select("node")
+    return shared.withColumn("node", F.xxhash64("entity", "key")).join(others, "node", "left_semi").select("entity", "key").distinct()
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, text_col: str, generalise: float, remove: float, chance: float) -> DataFrame | None:

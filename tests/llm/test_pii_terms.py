@@ -86,15 +86,19 @@ def test_near_copies_against_brute_force(spark):
             shared.append((e, key))
             sketches.append((key, sorted(set(own))[:64]))
     of = dict(sketches)
-    want = set()
+    groups = {x: {x} for x in shared}
     for e, key in shared:
         for h in of[key][:12]:
-            first = min(k for f, k in shared if f == e and h in of[k][:12])
-            both = sorted(set(of[key]) | set(of[first]))[:64]
-            if first < key and len(set(both) & set(of[key]) & set(of[first])) >= len(both) / 2:
-                want.add((e, key))
+            met = [k for f, k in shared if f == e and h in of[k][:12]]
+            for end in (min(met), max(met)):
+                both = sorted(set(of[key]) | set(of[end]))[:64]
+                if len(set(both) & set(of[key]) & set(of[end])) >= len(both) / 2 and groups[e, key] is not groups[e, end]:
+                    groups[e, end] |= groups[e, key]
+                    for x in groups[e, key]:
+                        groups[x] = groups[e, end]
     got = pii._near_copies(spark.createDataFrame(shared, "entity string, key string"), spark.createDataFrame(sketches, "key string, sketch array<long>")).collect()
-    assert {tuple(r) for r in got} == want and 20 < len(want) < 110
+    left = set(shared) - {tuple(r) for r in got}
+    assert len(left) == len({id(g) for g in groups.values()}) and all(len(left & g) == 1 for g in groups.values()) and 10 < len(left) < 100
 
 
 def test_templates_are_no_copies_and_edits_are(spark):
@@ -106,4 +110,4 @@ def test_templates_are_no_copies_and_edits_are(spark):
     docs = spark.createDataFrame([(t,) for t in edited + templated], "text string")
     sketches = docs.select(pii.F.col("text").alias("key"), pii._sketch(pii.F.col("text")).alias("sketch"))
     got = {r.key for r in pii._near_copies(sketches.select(pii.F.lit("v").alias("entity"), "key"), sketches).collect()}
-    assert got == set(sorted(edited)[1:])
+    assert got < set(edited) and len(got) == 19
