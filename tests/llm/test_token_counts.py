@@ -28,6 +28,13 @@ def test_cuts_as_the_library(spark):
         assert sum(n * p for n, p in zip(found.values(), cutter.pieces(list(found)))) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_every_sure_character_and_its_neighbours():
+    cutter, pre = tc.PreTokens(PATH), Tokenizer.from_file(PATH).pre_tokenizer
+    for c in map(chr, range(0x500)):
+        for text in (f"a{c}a{c}{c}1{c}!{c} {c}", f"{c} {c}  {c}'{c}'s{c}\n{c}_{c}", f" {c}", f"{c}²{c}½ {c}\x1c{c}"):
+            assert list(cutter._cut(text)) == [text[a:b] for _, (a, b) in pre.pre_tokenize_str(text)], repr(text)
+
+
 @pytest.mark.parametrize("options", [{}, {"frequent": 0}, {"frequent": 5, "held": 3}])
 def test_against_the_library(spark, options):
     texts = [*odd_texts()[:400], None, "", "word " * 40_000, "w" * 20_000, " " * 5000 + "x", "same text", "same text"]
