@@ -16,13 +16,18 @@ from ..schema import DEFORMED, PARTITION_KEY, PARTITIONED, TileMap
 from . import dual
 from .flow import Flow, bridges
 from .guide import Cell, best_shape, guides, holes, parts_of, quality_map, runs, safe
+from .planar import on_cells, rotation_of
 
 SEA = -1
 
 
 @dataclass(frozen=True)
 class Config:
-    """Limits of the heuristic. ``avoid`` is the contact that partitions apart must not have."""
+    """Limits of the heuristic. ``avoid`` is the contact that partitions apart must not have.
+
+    ``start`` is what regions begin as: ``rings``, the outlines at one scale, or ``dual``, bars and columns
+    that are in contact exactly where partitions adjoin (see ``planar.on_cells``).
+    """
 
     attraction: float = 150.0
     repulsion: float = 35.0
@@ -33,6 +38,7 @@ class Config:
     samples: int = 5
     avoid: str = "rook"
     exact: bool = True
+    start: str = "rings"
 
 
 GRID_MAP = Config()
@@ -168,6 +174,26 @@ class Mosaic:
         self.join_parts()
         self.fill_holes()
 
+    def embed_dual(self) -> None:
+        """The dual on cells: all contacts right from the start. Enclosed cells go to regions around them while that adds no contact."""
+        for c, r in on_cells(*rotation_of(self.rings)).items():
+            self.put(c, r)
+        todo = holes(set(self.owner), self.g)
+        ready = sorted(todo)
+        while ready:
+            again = set()
+            for c in ready:
+                near = [self.owner[n] for n in self.g.adjacent(*c) if n in self.owner]
+                all_near = {o for kind in ("rook", "queen") for o in self.owners_near(c, kind)} - {SEA}
+                fits = [r for r in sorted(set(near)) if all_near - {r} <= self.friends[r]]
+                if fits and c not in self.owner:
+                    self.put(c, max(fits, key=near.count))
+                    again |= {n for n in self.g.adjacent(*c) if n in todo and n not in self.owner}
+            ready = sorted(again)
+
+    def contacts(self) -> set[tuple[int, int]]:
+        return {(min(r, o), max(r, o)) for c, r in self.owner.items() for o in self.owners_near(c, "rook") - {SEA, r}}
+
     def join_parts(self) -> None:
         """Regions whose friends moved off: the whole is brought together by a bridge from its largest part to the part nearest to it."""
         while len(parts := parts_of(set(self.owner), self.g)) > 1:
@@ -359,7 +385,10 @@ class Mosaic:
         return all(t == len(c) for t, c in zip(self.tiles, self.cells, strict=True))
 
     def run(self) -> Mosaic:
-        self.embed()
+        if self.config.start == "dual":
+            self.embed_dual()
+        else:
+            self.embed()
         self.slide()
         best, idle = None, 0
         for _ in range(self.config.rounds):

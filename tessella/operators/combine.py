@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,33 +18,51 @@ ALIASES = {"ASSIGN": "ClosestAssigned", "ASSIGNED": "ClosestAssigned", "AGNOSTIC
 Cell = tuple[int, int]
 
 
+def blocked_offsets(still: set[Cell], moving: set[Cell]) -> tuple[np.ndarray, Cell]:
+    """Which offsets put a moving cell on a still one, as an array over all that can, and the offset at its corner.
+
+    This is the Minkowski difference of the two sets: how many pairs of cells meet at each offset is the correlation
+    of their pictures, by Fourier transforms, so it costs the area of the drawing and not the pairs of cells.
+    """
+    a, b = np.array(sorted(still)), np.array(sorted(moving))
+    low_a, low_b = a.min(axis=0), b.min(axis=0)
+    a, b = a - low_a, b - low_b
+    high = b.max(axis=0)
+    size = tuple((a.max(axis=0) + high + 1).tolist())
+    one, two = np.zeros(size), np.zeros(size)
+    one[tuple(a.T)] = 1
+    two[tuple((high - b).T)] = 1
+    met = np.fft.irfft2(np.fft.rfft2(one) * np.fft.rfft2(two), size)
+    return met > 0.5, tuple((low_a - low_b - high).tolist())
+
+
 def free_offset(g: Grid, placed: set[Cell], moving: set[Cell], at: Cell, of: Cell, direction: np.ndarray) -> Cell:
-    """Lattice offset that puts ``moving`` beside ``placed``: cell ``of`` starts out on cell ``at`` and goes off along ``direction``.
+    """Lattice offset that puts ``moving`` beside ``placed``: cell ``of`` comes as near to cell ``at`` as it can, on the side of ``direction``.
 
-    Offsets are tried best-first by steps from there, then by how far they go along the
-    direction; they stay in the direction's half-plane. Without a direction (points in one
-    place) all offsets count. The first that neither overlaps nor rook-touches wins.
+    Of all lattice offsets by which no cell overlaps or rook-touches, and by which ``of`` lies in the direction's open half-plane
+    as seen from ``at`` (or on its place), the one of least distance there; equal ones the farther along the direction, then
+    the smaller. Without a direction (points in one place) all sides count.
     """
-    pc = g.pc
-    base = ((at[0] - of[0]) // pc * pc, at[1] - of[1])
-    closed = placed | {n for c in placed for n in g.adjacent(*c)}
-    plane = float(np.hypot(*direction)) > 1e-12
-    seen, todo = {(0, 0)}, [(0, 0.0, (0, 0))]
-    while todo:
-        _, _, (x, y) = heapq.heappop(todo)
-        dx, dy = base[0] + x, base[1] + y
-        if not any((a + dx, b + dy) in closed for a, b in moving):
-            return dx, dy
-        for ux, uy in g.unit_vectors:
-            o = (x + ux, y + uy)
-            if o in seen:
-                continue
-            dot = float(g.offset(*o) @ direction)
-            if plane and dot <= 0:
-                continue
-            seen.add(o)
-            heapq.heappush(todo, (g.norm(0, 0, *o), -dot, o))
-    raise ValueError("no free place found")
+    step = np.array([g.pc, 1])
+    base = (np.array(at) - np.array(of)) // step * step
+    blocked, corner = blocked_offsets(placed | {n for c in placed for n in g.adjacent(*c)}, moving)
+    # beyond the blocked offsets all are free, and the nearest of those stand right beside them
+    low = np.minimum(np.array(corner) - base, 0) // step - 4
+    high = np.maximum(np.array(corner) + blocked.shape - base, 0) // step + 5
+    o = np.stack(np.meshgrid(*(np.arange(s, e) for s, e in zip(low, high, strict=True)), indexing="ij"), axis=-1).reshape(-1, 2)
+    spot = base + o * step - corner
+    known = ((spot >= 0) & (spot < blocked.shape)).all(axis=1)
+    free = np.ones(len(o), bool)
+    free[known] = ~blocked[tuple(spot[known].T)]
+    moved = o @ g.lattice.T
+    along = moved @ direction
+    if float(np.hypot(*direction)) > 1e-12:
+        free &= (along > 1e-12) | ~o.any(axis=1)
+    best = np.flatnonzero(free)
+    far = np.round(np.hypot(*moved[best].T), 9)
+    k = best[np.lexsort((o[best, 1], o[best, 0], -np.round(along[best], 9), far))[0]]
+    dx, dy = base + o[k] * step
+    return int(dx), int(dy)
 
 
 class Part:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -210,81 +211,167 @@ def below(b: Boundary, sites: np.ndarray, wound: np.ndarray, s: tuple[int, float
     return total > 0.5 * 2 * math.pi
 
 
+class Region:
+    """A part of the outline as a walk around it: stretches of the boundary (lengths from the ring's start), and after each a chord to the next.
+
+    The last stretch's chord leads back to the first; a chord is its length and the number of the region beyond it
+    (the outline's last one is no chord: length 0, number -1). ``walked`` is how far the walk is at each stretch's start.
+    """
+
+    def __init__(self, stretches: list[tuple[float, float]], chords: list[tuple[float, int]], sites: np.ndarray):
+        self.stretches, self.chords, self.sites = stretches, chords, sites
+        steps = [e - s + c for (s, e), (c, _) in zip(stretches, chords, strict=True)]
+        self.walked = np.r_[0.0, np.cumsum(steps)]
+        self.starts = [s for s, _ in stretches]
+
+    def spot(self, x: float) -> tuple[int, float] | None:
+        """The stretch that holds a boundary place, and how far the walk is there; None outside."""
+        k = bisect_right(self.starts, x) - 1
+        while k >= 0 and x <= self.stretches[k][1]:
+            if x >= self.stretches[k][0]:
+                return k, float(self.walked[k]) + x - self.stretches[k][0]
+            k -= 1
+        return None
+
+    def divided(self, x: float, y: float, long: float, beyond: int, own: int, hit: np.ndarray) -> tuple[Region, Region]:
+        """The region without the part from x to y, and that part, which gets the number ``beyond``."""
+        i, j = self.spot(x)[0], self.spot(y)[0]
+        first, last = self.stretches[i][0], self.stretches[j][1]
+        rest = Region([*self.stretches[:i], (first, x), (y, last), *self.stretches[j + 1 :]], [*self.chords[:i], (long, beyond), *self.chords[j:]], self.sites[~hit])
+        inner = [(x, y)] if i == j else [(x, self.stretches[i][1]), *self.stretches[i + 1 : j], (self.stretches[j][0], y)]
+        return rest, Region(inner, [*self.chords[i:j], (long, own)], self.sites[hit])
+
+
 def split(ring: np.ndarray, sites: np.ndarray, kind: str = "COMBINED", dilation: float = 3.0, productivity: int = 10) -> tuple[list[np.ndarray], dict[str, int]]:
     """The rings of an outline's partitions, and how many cuts were found, left after the first filter, and applied.
 
-    Cuts are tried from the shortest. A cut that interleaves with an applied one is
-    skipped; else it divides the region it lies in, and is applied if both sides keep
-    ``productivity`` sites and ``dilation`` times its length of boundary.
+    Cuts are tried from the shortest. A cut whose ends lie in no one region crosses an applied one and is skipped;
+    otherwise it is applied if both sides keep ``productivity`` sites, and ``dilation`` times its length of border
+    besides itself. A side's border is the difference of two places in the region's walk, so a cut is judged by
+    two searches in it. Partitions are numbered from the outline's start, each followed by what lies beyond its
+    cuts, the last cut first.
     """
     b = Boundary(ring)
     raw = candidates(b, kind)
     cuts = []
     for s, e in raw:
+        x, y = b.at(s), b.at(e)
         long = float(np.hypot(*(b.point(e) - b.point(s))))
-        arc = b.at(e) - b.at(s)
-        if min(arc, b.total - arc) / long >= dilation:  # only falls as cuts are applied
-            cuts.append((long, s, e, arc))
-    stats = {"found": len(raw), "remaining": len(cuts), "applied": 0}
+        if min(y - x, b.total - y + x) >= dilation * long:  # borders only get shorter as cuts are applied
+            cuts.append((long, x, y, s, e))
     cuts.sort(key=lambda c: c[0])
     wound = winding(b, sites)
-    applied: list[dict] = []
-    for long, s, e, arc in cuts:
-        x, y = b.at(s), b.at(e)
-        if any(c["x"] < x < c["y"] < y or x < c["x"] < y < c["y"] for c in applied):
+    regions = [Region([(0.0, b.total)], [(0.0, -1)], np.arange(len(sites)))]
+    place = {}
+    done = set()
+    for long, x, y, s, e in cuts:
+        if (x, y) in done:
             continue
-        over = [c for c in applied if c["x"] <= x and y <= c["y"]]
-        root = min(over, key=lambda c: c["arc"]) if over else None
-        if any(c["x"] == x and c["y"] == y for c in over):
+        for own, region in enumerate(regions):
+            at, to = region.spot(x), region.spot(y)
+            if at and to:
+                break
+        else:
+            continue
+        inside = to[1] - at[1]
+        border = min(inside, float(region.walked[-1]) - inside)
+        if border < dilation * long:
             continue
-        inner = [c for c in applied if c is not root and (root is None or root["x"] <= c["x"] and c["y"] <= root["y"])]
-        children = [c for c in inner if not any(o is not c and o["x"] <= c["x"] and c["y"] <= o["y"] for o in inner)]
-        hit = below(b, sites, wound, s, e)
-        size_b, len_b = int(hit.sum()), arc
-        size_a = (root["size"] if root else len(sites)) - size_b
-        len_a = (root["arc"] + root["long"] if root else b.total) - arc
-        for c in children:
-            if x <= c["x"] and c["y"] <= y:
-                size_b, len_b = size_b - c["size"], len_b - (c["arc"] - c["long"])
-            else:
-                size_a, len_a = size_a - c["size"], len_a - (c["arc"] - c["long"])
-        if min(size_a, size_b) >= productivity and min(len_a, len_b) / long >= dilation:
-            applied.append({"x": x, "y": y, "s": s, "e": e, "arc": arc, "long": long, "size": int(hit.sum())})
-    stats["applied"] = len(applied)
-
-    def children_of(cut: dict | None) -> list[dict]:
-        inside = [c for c in applied if c is not cut and (cut is None or cut["x"] <= c["x"] and c["y"] <= cut["y"])]
-        return sorted((c for c in inside if not any(o is not c and o["x"] <= c["x"] and c["y"] <= o["y"] for o in inside)), key=lambda c: c["x"])
-
-    def walk(cut: dict | None) -> np.ndarray:
+        hit = below(b, sites[region.sites], wound[region.sites], s, e)
+        if min(hit.sum(), (~hit).sum()) < productivity:
+            continue
+        done.add((x, y))
+        place[x], place[y] = s, e
+        regions[own], part = region.divided(x, y, long, len(regions), own, hit)
+        for _, there in part.chords[:-1]:  # the regions beyond are now beyond the part
+            regions[there].chords[-1] = (regions[there].chords[-1][0], len(regions))
+        regions.append(part)
+    stats = {"found": len(raw), "remaining": len(cuts), "applied": len(done)}
+    place |= {0.0: (0, 0.0), b.total: (b.n - 1, float(b.len[-1]))}
+
+    def outline(region: Region) -> np.ndarray:
         points: list[np.ndarray] = []
-
-        def along(p: tuple[int, float], q: tuple[int, float]) -> None:
-            points.append(b.point(p))
-            i = p[0] + 1
-            while i <= q[0]:
-                points.append(b.ring[i % b.n])
-                i += 1
-            points.append(b.point(q))
-
-        at = cut["s"] if cut else (0, 0.0)
-        for c in children_of(cut):
-            along(at, c["s"])
-            at = c["e"]
-        along(at, cut["e"] if cut else (b.n - 1, float(b.len[-1])))
+        for x, y in region.stretches:
+            p, q = place[x], place[y]
+            points += [b.point(p), *(b.ring[i % b.n] for i in range(p[0] + 1, q[0] + 1)), b.point(q)]
         kept = [p for i, p in enumerate(points) if i == 0 or np.hypot(*(p - points[i - 1])) > 1e-7]
         while len(kept) > 1 and np.hypot(*(kept[0] - kept[-1])) <= 1e-7:
             kept.pop()
         return np.array(kept)
 
-    out, stack = [], [None]
+    out, stack = [], [0]
     while stack:
-        cut = stack.pop()
-        out.append(walk(cut))
-        stack += children_of(cut)
+        region = regions[stack.pop()]
+        out.append(outline(region))
+        stack += [there for _, there in region.chords[:-1]]
     return out, stats
 
 
+def cut_tree(cuts: list[tuple[float, float]]) -> list[int]:
+    """The parent of each cut (start, end) of an outline: the innermost other cut around it, -1 without one.
+
+    One pass over all ends along the boundary with the open cuts on a stack; at one place ends come before
+    starts and outer cuts open first and close last (equal ones by number). Cuts that cross raise an error.
+    """
+    ends = [(e, 0, -s, -k) for k, (s, e) in enumerate(cuts)] + [(s, 1, -e, k) for k, (s, e) in enumerate(cuts)]
+    parent, open_ = [-1] * len(cuts), []
+    for _, starts, _, k in sorted(ends):
+        if starts:
+            parent[k] = open_[-1] if open_ else -1
+            open_.append(k)
+        elif open_.pop() != -k:
+            raise ValueError("two cuts cross")
+    return parent
+
+
+def spliced(parent: list[int], keep: list[bool]) -> list[int]:
+    """The tree of the kept cuts: each under its nearest kept ancestor; cuts left out have -2. Every cut is looked at once."""
+    found: dict[int, int] = {-1: -1}
+
+    def above(k: int) -> int:
+        """The nearest kept cut from k upwards, k included."""
+        path = []
+        while k not in found and not keep[k]:
+            path.append(k)
+            k = parent[k]
+        top = found.get(k, k)
+        found.update(dict.fromkeys(path, top))
+        return top
+
+    return [above(parent[k]) if keep[k] else -2 for k in range(len(parent))]
+
+
+def wide_cuts(cuts: list[tuple[float, float]], lengths: list[float], total: float, dilation: float) -> list[int]:
+    """The tree of nested cuts without those whose shorter side of the ring isn't ``dilation`` times their length."""
+    return spliced(cut_tree(cuts), [min(e - s, total - e + s) >= dilation * long for (s, e), long in zip(cuts, lengths, strict=True)])
+
+
+def distinct_cuts(cuts: DataFrame, key: list[str], digits: int = 6) -> DataFrame:
+    """``key``, start and end of cuts between two boundary places each, in either order: each pair once, the lesser first, none from a place to itself."""
+    s, e = F.round("start", digits), F.round("end", digits)
+    return cuts.select(*key, F.least(s, e).alias("start"), F.greatest(s, e).alias("end")).where("start < end").distinct()
+
+
+def nested_cuts(cuts: DataFrame, rings: DataFrame, key: list[str], dilation: float) -> DataFrame:
+    """``key``, cut, parent, kept and kept_parent of every cut: the tree by ``cut_tree``, and that of the cuts whose shorter side of the ring is ``dilation`` times their length.
+
+    ``cuts`` has ``key``, cut (its number), start, end and length; ``rings`` has ``key`` and total, the ring's length. A ring's cuts are
+    one group; they mustn't cross. Parents are null at the top, kept_parent also for cuts that aren't kept.
+    """
+    names = [*key, "cut", "parent", "kept", "kept_parent"]
+    types = ", ".join(f"`{c}` {cuts.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cut")
+        number = [*pdf["cut"].tolist(), None]  # -1 is the last
+        places, lengths = list(zip(pdf.start, pdf.end, strict=True)), pdf.length.tolist()
+        tree, left = cut_tree(places), wide_cuts(places, lengths, float(pdf.total.iloc[0]), dilation)
+        base = [pdf[c].iloc[0] for c in key]
+        return pd.DataFrame([(*base, k, number[p], q != -2, None if q == -2 else number[q]) for k, p, q in zip(number, tree, left)], columns=names).astype({"parent": "Int64", "kept_parent": "Int64"})
+
+    return cuts.join(rings, key).groupBy(*key).applyInPandas(run, f"{types}, cut long, parent long, kept boolean, kept_parent long")
+
+
 KERNEL = f"map_id string, outline_id int, partition_id int, ring {RING}, found int, remaining int, applied int"
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of planar graphs: faces, convex parts, Schnyder woods and duals on cells, over many graphs."""
+"""Registered queries of planar graphs and cuts: faces, convex parts, Schnyder woods, duals on cells, trees of cuts, over many graphs and rings."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..durable import durable
 from ..functions import geometry as G
 from ..functions.grids import grid
-from ..operators import dual, planar
+from ..operators import dual, partition, planar
 from .queries import SITES, _table, q6, query, r6, sites
 
 # every order as a fan: its lines on a parabola, joined to their neighbours and to the first
@@ -103,3 +103,21 @@ def dual_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = near.join(at.select("map_id", "comp_id", F.struct("outline_id", "partition_id").alias("q"), "x", "y"), ["map_id", "comp_id", "x", "y"]).where("p <> q")
     pairs = met.select("map_id", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
     return pairs.select(F.col("map_id").cast("int").alias("label"), F.col("p.outline_id").alias("ax"), F.col("p.partition_id").alias("ay"), F.col("q.outline_id").alias("bx"), F.col("q.partition_id").alias("by"))
+
+
+# cuts of every supplier's ring: from its lineitems, halves of halves of a ring of length 4096
+
+DYADIC = "z AS (SELECT DISTINCT l_suppkey AS k, l_linenumber % 5 AS h, l_partkey % 1024 AS p FROM lineitem), c AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY a, b DESC) AS cut, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, 1 + 7.0 * (a * 31 + b) % 900 AS long FROM (SELECT DISTINCT k, (p >> h << h) * 4 AS a, ((p >> h << h) + (1 << h)) * 4 AS b FROM z))"
+
+
+@query(f"""WITH {DYADIC}, n AS (SELECT *, least(b - a, 4096 - b + a) >= 1.5 * long AS kept FROM c), o AS (SELECT n.k, n.cut, n.kept, e.cut AS p, e.kept AS pk, row_number() OVER (PARTITION BY n.k, n.cut ORDER BY e.b - e.a, e.cut DESC) AS r FROM n LEFT JOIN n e ON n.k = e.k AND e.a <= n.a AND n.b <= e.b AND n.cut <> e.cut)
+SELECT k, cut, max(p) FILTER (r = 1) AS parent, kept, CASE WHEN kept THEN arg_min(p, r) FILTER (pk) END AS kept_parent FROM o GROUP BY k, cut, kept""")
+def cut_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The innermost cut around each cut, before and after short-sided ones are taken out."""
+    z = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_linenumber") % 5).cast("int").alias("h"), (F.col("l_partkey") % 1024).cast("long").alias("p"))
+    a = F.expr("shiftleft(shiftright(p, h), h)")
+    c = partition.distinct_cuts(z.select("k", (a * 4).cast("double").alias("start"), ((a + F.expr("shiftleft(1L, h)")) * 4).cast("double").alias("end")), ["k"])
+    w = Window.partitionBy("k").orderBy("start", F.desc("end"))
+    c = c.select("k", F.row_number().over(w).cast("long").alias("cut"), "start", "end", (1 + 7.0 * (F.col("start") * 31 + F.col("end")) % 900).alias("length"))
+    rings = c.select("k").distinct().withColumn("total", F.lit(4096.0))
+    return partition.nested_cuts(c, rings, ["k"], 1.5)

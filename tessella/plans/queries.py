@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import colors as C
 from ..functions import geometry as G
 from ..functions.grids import grid
-from ..operators import align, analyze, cells, dual, spatial
+from ..operators import align, analyze, cells, dual, partition, spatial
 from ..sources import tsv
 from . import pipeline
 
@@ -457,8 +457,8 @@ def partition_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem) SELECT least(a, b) AS a, greatest(a, b) AS b FROM e WHERE a <> b GROUP BY 1, 2")
 def dedup_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of boundary positions without repeats or order."""
-    e = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("p"), (F.col("l_suppkey") % 50).alias("q")).where("p <> q")
-    return e.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    e = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).cast("double").alias("start"), (F.col("l_suppkey") % 50).cast("double").alias("end"))
+    return partition.distinct_cuts(e, []).select(F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
 
 
 @query(f"WITH {SITES}, c AS (SELECT partition_id, CAST(floor(x + 0.5) AS INT) AS x, CAST(floor(y + 0.5) AS INT) AS y, count(*) AS n FROM s GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY n DESC, x, y) AS k FROM c) SELECT partition_id, x, y, CAST(n AS DOUBLE) AS area FROM r WHERE k <= 5")
