@@ -35,9 +35,15 @@ def write_map(m: TileMap, path: str, kind: str = "wkt") -> None:
     {"wkt": wkt.write, "ipe": ipe.write}[kind](m, path)
 
 
-def with_extension(path: str, extension: str) -> str:
+def extended(path: Column, extension: str) -> Column:
     """``path`` ending in the extension (with or without its dot given), whatever its case; another extension stays and gets this one after it."""
     dotted = f".{extension.lstrip('.')}"
+    return F.when(F.lower(path).endswith(dotted.lower()), path).otherwise(F.concat(path, F.lit(dotted)))
+
+
+def with_extension(path: str, extension: str) -> str:
+    """The same for the path of one export."""
+    dotted = f".{extension.lstrip('.')}"
     return path if path.lower().endswith(dotted.lower()) else path + dotted
 
 

@@ -16,9 +16,8 @@ from ..functions import colors as C
 from ..functions import geometry as G
 from ..functions.grids import grid
 from ..functions.shapes import label_point, remove_degeneracies
-from ..operators import align, analyze, assign, cells, combine, dual, guide, partition, regions
+from ..operators import align, analyze, assign, cells, dual, guide, partition, regions
 from ..schema import ASSIGNED, INPUT, PARTITIONED, TileMap
-from ..sources import drawings, ipe, tsv, wkt
 from . import evaluate, pipeline
 from .queries import CELLS, GUIDED, HALVES, HEX, KEY, LAID, NEXT, ROOKS, SITES, STATS, TILES, UNI, _displaced, _guided, _halves, _measure, _norm, _rings, _square_cells, _table, laid, placed, q6, query, r6, sites
 
@@ -320,7 +319,7 @@ def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.select("partition_id", "sites", "cells", (F.col("a") <= F.col("b") + 1e-6).alias("no_worse"))
 
 
-# text formats: a map of the partitions' boxes and their sites, written and read again
+# a map of the partitions' boxes and their sites
 
 MAP = LAID + ", o AS (SELECT partition_id, CAST(dense_rank() OVER (ORDER BY partition_id) - 1 AS INT) AS outline_id, min(x) - 1 AS l, max(x) + 1 AS r, min(y) - 1 AS b, max(y) + 1 AS t FROM s GROUP BY 1), w AS (SELECT outline_id, CAST(row_number() OVER (PARTITION BY outline_id ORDER BY laid.site_id) - 1 AS INT) AS site_id, CAST(laid.site_id AS VARCHAR) AS label, x, y, cx, cy FROM laid JOIN o USING (partition_id))"
 
@@ -346,62 +345,6 @@ def drawn(spark: SparkSession, sf_dir: str) -> TileMap:
     return TileMap.of(spark, maps=maps, outlines=outlines, sites=moved, partitions=parts, cells=taken)
 
 
-def _read_back(spark: SparkSession, sf_dir: str) -> TileMap:
-    text = wkt.lines(drawn(spark, sf_dir))
-    return wkt.parse(text.withColumn("ln", F.row_number().over(Window.partitionBy("map_id").orderBy("key"))).select("map_id", "ln", "line"))
-
-
-@query(f"WITH {MAP} SELECT outline_id, 'part ' || partition_id AS label, {q6('l')} AS l, {q6('t')} AS t, {q6('(r - l) * (t - b)')} AS area, 1 AS red FROM o")
-def wkt_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, b = _read_back(spark, sf_dir).outlines, G.box(F.col("ring"))
-    return o.select("outline_id", "label", r6(b["left"]).alias("l"), r6(b["top"]).alias("t"), r6(G.area(F.col("ring"))).alias("area"), F.col("color.r").alias("red"))
-
-
-@query(f"WITH {MAP} SELECT outline_id, site_id, label, {q6('x')} AS x, {q6('y')} AS y, 0 AS partition_id, CAST(cx + outline_id * 10 AS INT) AS cx, cy FROM w")
-def wkt_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _read_back(spark, sf_dir).sites
-    return s.select("outline_id", "site_id", "label", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), "partition_id", F.col("cell.x").alias("cx"), F.col("cell.y").alias("cy"))
-
-
-@query(f"WITH {MAP} SELECT outline_id, 0 AS partition_id, 'part ' || partition_id AS label, {q6('(r - l) * (t - b)')} AS area FROM o")
-def wkt_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _read_back(spark, sf_dir).partitions
-    return p.select("outline_id", "partition_id", "label", r6(G.area(F.col("ring"))).alias("area"))
-
-
-@query(f"WITH {MAP} SELECT outline_id, CAST(cx + outline_id * 10 AS INT) AS x, cy AS y, site_id AS ord FROM w")
-def wkt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_back(spark, sf_dir).cells.select("outline_id", "x", "y", "ord")
-
-
-@query(f"WITH {MAP} SELECT (cx + outline_id * 10) || chr(9) || cy || chr(9) || label AS value FROM w")
-def tsv_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tsv.result_lines(drawn(spark, sf_dir)).select("value")
-
-
-@query(f"WITH {MAP} SELECT 'part ' || partition_id || chr(9) || w.label || chr(9) || CAST(cx AS VARCHAR) || '.0' || chr(9) || CAST(cy AS VARCHAR) || '.0' || chr(9) || '0' || chr(9) || '0' || chr(9) || '0' AS value FROM w JOIN o USING (outline_id)")
-def tsv_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = drawn(spark, sf_dir)
-    whole = m.sites.withColumn("x", (F.col("cell.x") - F.col("outline_id") * 10).cast("double")).withColumn("y", F.col("cell.y").cast("double"))
-    return tsv.site_lines(whole, m.partitions).select("value")
-
-
-_CORNER = "'[' || CAST({x} AS DOUBLE) || ',' || CAST({y} AS DOUBLE) || ']'"
-_CORNERS = " || ',' || ".join(_CORNER.format(x=f"(cx + outline_id * 10) {i} 0.5", y=f"cy {j} 0.5") for i, j in (("+", "-"), ("+", "+"), ("-", "+"), ("-", "-"), ("+", "-")))
-
-
-@query(f"""WITH {MAP}, f AS (SELECT outline_id, site_id, '{{"type":"Feature","properties":{{"label":"' || label || '"}},"geometry":{{"type":"Polygon","coordinates":[[' || {_CORNERS} || ']]}}}}' AS f FROM w) SELECT '{{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY outline_id, site_id) || ']}}' AS value FROM f""")
-def geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawings.geojson(drawn(spark, sf_dir), SQUARE).select("value")
-
-
-@query(f"WITH {MAP} SELECT count(*) AS shapes, true AS closed FROM w")
-def svg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawing has a polygon for every site."""
-    d = drawings.svg(drawn(spark, sf_dir), SQUARE)
-    return d.select((F.size(F.split("value", "<polygon ")) - 1).cast("long").alias("shapes"), F.col("value").endswith("</svg>").alias("closed"))
-
-
 # whole maps: regions as dumbbells, their nations' customers as sites
 
 NATIONS = "n AS (SELECT n_regionkey AS outline_id, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)"
@@ -558,28 +501,6 @@ def polygon_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("area > 1e-4").select("outline_id", "x", "y", r6(F.col("area")).alias("area"))
 
 
-_METHODS = ("Agnostic", "ClosestAssigned", "AgglomerativeAssigned", "AgglomerativePartitionAssigned")
-
-
-@query(f"WITH {MAP}, n AS (SELECT outline_id, count(*) AS n, max(cx) - min(cx) AS width, max(cy) - min(cy) AS height FROM w GROUP BY 1), k(method) AS (VALUES {', '.join(f'({m!r})' for m in _METHODS)}) SELECT method, outline_id, n AS cells, CAST(width AS INT) AS width, CAST(height AS INT) AS height, true AS free FROM n, k")
-def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions that lie over one another are placed side by side by every method: shapes stay, cells don't meet, sites go along."""
-    m = drawn(spark, sf_dir)
-    back = lambda x: F.col(x) - F.col("outline_id") * 10  # noqa: E731  all over the origin again
-    m = m.with_(sites=durable(m.sites.withColumn("cell", G.cell(F.col("cell.x") - F.col("outline_id") * 10, F.col("cell.y")))), cells=durable(m.cells.withColumn("x", back("x").cast("int"))), partitions=durable(m.partitions))
-    out = None
-    for method in _METHODS:
-        done = combine.combine(m, SQUARE, method)
-        c = durable(done.cells)
-        shared = c.groupBy("x", "y").agg(F.count("*").alias("n"), F.first("outline_id").alias("o"))
-        alone = shared.groupBy(F.col("o").alias("outline_id")).agg((F.max("n") == 1).alias("alone"))
-        kept = done.sites.select("outline_id", "cell.x", "cell.y").join(c.select("outline_id", "x", "y"), ["outline_id", "x", "y"], "left_semi").groupBy("outline_id").agg(F.count("*").alias("_k"))
-        shape = c.groupBy("outline_id").agg(F.count("*").alias("cells"), (F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"))
-        rows = shape.join(alone, "outline_id").join(kept, "outline_id").select(F.lit(method).alias("method"), "outline_id", "cells", "width", "height", (F.col("alone") & (F.col("_k") == F.col("cells"))).alias("free"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @query(f"WITH {MAP} SELECT stage, (SELECT count(*) FROM w) AS sites, CASE WHEN stage >= 2 THEN (SELECT count(*) FROM o) ELSE 0 END AS partitions, CASE WHEN stage >= 4 THEN (SELECT count(*) FROM w) ELSE 0 END AS cells, CASE WHEN stage >= 8 THEN (SELECT count(*) FROM w) ELSE 0 END AS placed FROM (VALUES (1), (2), (4), (8)) AS k(stage)")
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of a finished map at each earlier stage."""
@@ -591,19 +512,3 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
         row = one[0].join(one[1]).join(one[2]).select(F.lit(stage).alias("stage"), "sites", "partitions", "cells", "placed")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
-
-
-@query(f"WITH {MAP}, g AS (SELECT count(*) AS n FROM w) SELECT 'm' AS map_id, n AS sites, true AS readable FROM g")
-def ipe_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawing holds a label for every site and is closed."""
-    d = ipe.documents(drawn(spark, sf_dir), INPUT)
-    layered = F.size(F.split("value", '<text layer="sites')) - 1
-    return d.select("map_id", layered.cast("long").alias("sites"), F.trim("value").endswith("</ipe>").alias("readable"))
-
-
-@query("WITH n AS (SELECT n_name AS path FROM nation) SELECT path, path || '.tsv' AS once, path || '.tsv' AS twice FROM n")
-def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An output's extension is put where it is missing, once."""
-    names = [r.n_name for r in _table(spark, sf_dir, "nation").orderBy("n_name").limit(1000).collect()]  # paths of one export are named on the driver
-    once = [pipeline.with_extension(n, "tsv") for n in names]
-    return spark.createDataFrame([(n, o, pipeline.with_extension(o, ".TSV")) for n, o in zip(names, once, strict=True)], "path string, once string, twice string")

@@ -87,9 +87,13 @@ def drawn(text: str) -> list[tuple]:
     return rows
 
 
-def objects(spark: SparkSession, path: str) -> DataFrame:
-    """All drawn objects of the files; a file is one map."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("map_id"), "value")
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """map_id (the file's name without its extension) and value (its text); a file is one map."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("map_id"), "value")
+
+
+def objects(texts: DataFrame) -> DataFrame:
+    """All drawn objects of documents (map_id, value)."""
 
     def run(batches):
         names = [c.split()[0] for c in OBJECTS.replace(RING, "ring").split(", ")]
@@ -97,7 +101,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
             rows = [(r.map_id, *o) for r in pdf.itertuples() for o in drawn(r.value)]
             yield pd.DataFrame(rows, columns=names).astype({"r": "Int32", "g": "Int32", "b": "Int32", "grp": "Int32"})
 
-    return files.mapInPandas(run, OBJECTS)
+    return texts.mapInPandas(run, OBJECTS)
 
 
 def find_page(items: DataFrame, prefixes: list[str]) -> DataFrame:
@@ -113,8 +117,13 @@ def _color_of(d: str = "") -> Column:
 
 def read(spark: SparkSession, path: str, stages: int = INPUT) -> TileMap:
     """Maps at the latest of the asked stages that each file has pages for."""
-    items = durable(objects(spark, path))
-    m = _input(spark, find_page(items, ["outline", "sites"]))
+    return parse(files(spark, path), stages)
+
+
+def parse(texts: DataFrame, stages: int = INPUT) -> TileMap:
+    """Maps from documents (map_id, value)."""
+    items = durable(objects(texts))
+    m = _input(texts.sparkSession, find_page(items, ["outline", "sites"]))
     if stages & PARTITIONED:
         m = _partitions(m, find_page(items, ["partition_"]))
         if stages & DEFORMED:
@@ -260,4 +269,4 @@ def write(m: TileMap, path: str, stages: int = 15) -> None:
     documents(m, stages).write.partitionBy("map_id").mode("overwrite").text(path)
 
 
-__all__ = ["documents", "drawn", "find_page", "objects", "read", "write"]
+__all__ = ["documents", "drawn", "files", "find_page", "objects", "parse", "read", "write"]
