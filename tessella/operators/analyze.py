@@ -99,19 +99,75 @@ def discordant(x: np.ndarray, r: np.ndarray, eps: float) -> np.ndarray:
     return above_left + under_right
 
 
+def _strips(points: DataFrame, axis: str, n: int, eps: float) -> DataFrame:
+    """map_id and bounds of maps: places on an axis that cut it into about ``n`` strips of as many points, none with a point within ``eps`` on both sides.
+
+    Approximate percentiles make first strips; each later one's bound is its first gap of more than ``eps``, if it has one.
+    """
+    q = points.groupBy("map_id").agg(F.percentile_approx(axis, [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q"))
+    rough = points.join(q, "map_id").select("map_id", axis, F.size(F.filter("q", lambda v: v <= F.col(axis))).alias("b")).where("b > 0")
+    gap = F.col(axis) - F.lag(axis).over(Window.partitionBy("map_id", "b").orderBy(axis))
+    first = rough.withColumn("gap", gap).where(F.col("gap") > eps).groupBy("map_id", "b").agg(F.min(F.col(axis) - F.col("gap") / 2).alias("at"))
+    return first.groupBy("map_id").agg(F.sort_array(F.collect_set("at")).alias("bounds"))  # one number a strip
+
+
+def discordances(points: DataFrame, key: list[str], eps: float, rows: int = 20_000) -> DataFrame:
+    """``key`` and d of ``points`` (``key``, with map_id, x and r): on how many others' different sides each lies in x and in r, by more than ``eps`` in both.
+
+    A map of over ``rows`` points is cut into strips of about as many by x and by r. Pairs of one strip of x meet in
+    its group; pairs of one strip of r, but of different ones of x, in that one's; of all other pairs only the numbers of points in
+    the strips' crossings matter, which running sums over the crossings add up. No group holds more than a few strips.
+    """
+    size = durable(points.groupBy("map_id").agg(F.count("*").alias("_n")))
+    most = size.agg(F.max("_n")).first()[0] or 0
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in key for f in [points.schema[n]])
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[key].assign(d=discordant(pdf.x.to_numpy(float), pdf.r.to_numpy(float), eps))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = discordant(pdf.x.to_numpy(float), pdf.r.to_numpy(float), eps)
+        for at in pdf.groupby("bx").indices.values():  # counted in the strip of x
+            d[at] -= discordant(pdf.x.to_numpy(float)[at], pdf.r.to_numpy(float)[at], eps)
+        return pdf[key].assign(d=d)
+
+    if most <= rows:
+        return points.select(*key, "x", "r").groupBy("map_id").applyInPandas(within, f"{kind}, d long")
+    n = -(-most // rows)
+    large = points.join(size.where(F.col("_n") > rows).select("map_id"), "map_id", "left_semi")
+    placed_ = points.select(*key, "x", "r")
+    for axis, name in (("x", "bx"), ("r", "br")):
+        placed_ = placed_.join(durable(_strips(large, axis, n, eps)), "map_id", "left")
+        place = F.coalesce(F.size(F.filter("bounds", lambda v: v <= F.col(axis))), F.lit(0))
+        placed_ = placed_.withColumn(name, F.when(F.col("bounds").isNull(), 0).otherwise(place)).drop("bounds")
+    placed_ = durable(placed_)
+    cut = durable(placed_.groupBy("map_id").agg(F.max("bx").alias("nx"), F.max("br").alias("nr")).where("nx > 0"))
+    own = placed_.groupBy("map_id", "bx").applyInPandas(within, f"{kind}, d long")
+    more = placed_.join(cut.select("map_id"), "map_id", "left_semi")
+    side = more.groupBy("map_id", "br").applyInPandas(across, f"{kind}, d long")
+    cells = more.groupBy("map_id", "bx", "br").agg(F.count("*").alias("c"))
+    grid_ = cut.select("map_id", F.explode(F.sequence(F.lit(0), "nx")).alias("bx"), "nr").select("map_id", "bx", F.explode(F.sequence(F.lit(0), "nr")).alias("br"))
+    full = grid_.join(cells, ["map_id", "bx", "br"], "left").na.fill(0, ["c"])
+    row, column = Window.partitionBy("map_id", "br").orderBy("bx"), Window.partitionBy("map_id", "bx").orderBy("br")
+    before, after = Window.unboundedPreceding, Window.unboundedFollowing
+    full = full.withColumn("left", F.sum("c").over(row.rowsBetween(before, -1))).withColumn("right", F.sum("c").over(row.rowsBetween(1, after))).na.fill(0, ["left", "right"])
+    far = F.coalesce(F.sum("left").over(column.rowsBetween(1, after)), F.lit(0)) + F.coalesce(F.sum("right").over(column.rowsBetween(before, -1)), F.lit(0))
+    crossed = full.withColumn("d", far).select("map_id", "bx", "br", "d")
+    rest = more.join(crossed, ["map_id", "bx", "br"]).select(*key, "d")
+    return own.unionByName(side).unionByName(rest).groupBy(*key).agg(F.sum("d").alias("d"))
+
+
 def orthogonal_order(assigned: DataFrame, k: int, eps: float = 1e-6) -> DataFrame:
     """Flips of order in x plus flips in y among each site's k nearest (0: all) neighbours; equal coordinates are no flip.
 
-    Among all neighbours flips are counted from sorted blocks, one map to a task, without pairs.
+    Among all neighbours flips are counted without pairs, and large maps in strips (see ``discordances``).
     """
     if k == 0:
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            flips = sum(discordant(pdf[a].to_numpy(float), pdf[b].to_numpy(float), eps) for a, b in (("x", "cx"), ("y", "cy")))
-            return pdf[["map_id", "outline_id", "site_id"]].assign(_f=flips)
-
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for n in ("map_id", "outline_id", "site_id") for f in [assigned.schema[n]])
-        own = assigned.where("x is not null and y is not null").select("map_id", "outline_id", "site_id", "x", "y", "cx", "cy")
-        flips = own.groupBy("map_id").applyInPandas(count, f"{kind}, _f long").join(own.groupBy("map_id").agg(F.count("*").alias("_n")), "map_id").where("_n > 1")
+        key = ["map_id", "outline_id", "site_id"]
+        own = assigned.where("x is not null and y is not null")
+        both = [discordances(own.select(*key, F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("r")), key, eps) for a, b in (("x", "cx"), ("y", "cy"))]
+        flips = both[0].unionByName(both[1]).groupBy(*key).agg(F.sum("d").alias("_f"))
+        flips = flips.join(own.groupBy("map_id").agg(F.count("*").alias("_n")), "map_id").where("_n > 1")
         return _rows(flips, _label("OrthogonalOrder", k), "site_id", F.col("_f"))
     n = nearest_sites(_keyed(assigned), k, ["map_id"], "_key", ["cx", "cy"])
 

@@ -86,6 +86,27 @@ def test_discordant_pairs():
         assert (got == ((np.abs(d) > 1e-6) & (np.abs(e) > 1e-6) & (np.sign(d) != np.sign(e))).sum(1)).all()
 
 
+def test_discordances_in_strips(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for m, n in (("a", 400), ("b", 30), ("c", 1), ("d", 120), ("e", 90)):
+        x, r = rng.normal(size=n), rng.normal(size=n)
+        if m == "d":  # values in common, some within eps of each other
+            x, r = rng.integers(0, 5, n) + rng.choice([0, 4e-7], n), rng.integers(0, 9, n).astype(float)
+        if m == "e":
+            x[:] = 3.0
+        rows += [(m, i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, r, strict=True))]
+    df = spark.createDataFrame(rows, "map_id string, i int, x double, r double")
+    want = {}
+    for m in "abcde":
+        x, r = (np.array([row[c] for row in rows if row[0] == m]) for c in (2, 3))
+        d, e = x[None] - x[:, None], r[None] - r[:, None]
+        want |= {(m, i): int(c) for i, c in enumerate(((np.abs(d) > 1e-6) & (np.abs(e) > 1e-6) & (np.sign(d) != np.sign(e))).sum(1))}
+    for size in (1000, 50, 13):
+        got = analyze.discordances(df, ["map_id", "i"], 1e-6, size).collect()
+        assert len(got) == len(want) and {(r.map_id, r.i): r.d for r in got} == want
+
+
 def test_ranks_without_sorting_all(spark):
     rng = np.random.default_rng(4)
     rows = [("m", a, float(v)) for a, n in (("A", 1), ("B", 37), ("GuidingShapeFit-x", 400)) for v in rng.choice([0.0, 1e9, *rng.normal(size=20)], n)]
