@@ -167,3 +167,23 @@ def top_cells(qualities: DataFrame, keys: list[str], counts: DataFrame) -> DataF
 
     w = Window.partitionBy(*keys).orderBy(F.desc("area"), "x", "y")
     return qualities.withColumn("_k", F.row_number().over(w)).join(counts, keys).where(F.col("_k") <= F.col("n")).drop("_k", "n")
+
+
+def take_candidates(cells: DataFrame, guide: DataFrame, g: Grid, keys: list[str]) -> DataFrame:
+    """Cells outside each set that rook-touch it and lie in its guide."""
+    return neighbours(cells, g, keys).join(guide.select(*keys, "x", "y"), [*keys, "x", "y"], "left_semi")
+
+
+def release_candidates(cells: DataFrame, guide: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of each set that lie outside its guide."""
+    return cells.select(*keys, "x", "y").join(guide.select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
+
+
+def lost_contacts(cells: DataFrame, g: Grid, keys: list[str], region: str) -> DataFrame:
+    """Each cell of regions (``keys``, ``region``) with the number of regions with which its own would be in no contact without it."""
+    near = contacts(cells.select(*keys, region, "x", "y"), g, "rook")
+    other = cells.select(*keys, F.col(region).alias("_o"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    met = near.join(other, [*keys, "nx", "ny"]).where(F.col("_o") != F.col(region)).select(*keys, region, "_o", "x", "y").distinct()
+    alone = met.groupBy(*keys, region, "_o").agg(F.count("*").alias("_n"), F.min(F.struct("x", "y")).alias("_c")).where("_n = 1")
+    lost = alone.groupBy(*keys, region, F.col("_c.x").alias("x"), F.col("_c.y").alias("y")).agg(F.count("*").alias("lost"))
+    return cells.select(*keys, region, "x", "y").join(lost, [*keys, region, "x", "y"], "left").na.fill(0, ["lost"])

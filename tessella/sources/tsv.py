@@ -16,15 +16,18 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sites(spark: SparkSession, path: str, outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sites (label, x, y and optional r, g, b; black without) put into the first outline of the one map that holds them, and those in none."""
-    f = _fields(spark, path)
-    get = lambda i, kind: F.get("f", F.lit(i)).try_cast(kind)
-    color = F.struct(*(F.coalesce(get(i, "int"), F.lit(0)).alias(n) for i, n in ((3, "r"), (4, "g"), (5, "b"))))
-    rows = f.select("ln", get(0, "string").alias("label"), get(1, "double").alias("x"), get(2, "double").alias("y"), color.alias("color")).where("x is not null and y is not null")
+    """Sites of a file (see ``put_sites``) in the outlines of one map, and those in none."""
     maps = [r.map_id for r in outlines.select("map_id").distinct().limit(2).collect()]
     if len(maps) != 1:
         raise ValueError("a table of sites belongs to one map: give the outlines of that map")
-    rows = rows.withColumn("map_id", F.lit(maps[0]))
+    return put_sites(_fields(spark, path).select(F.lit(maps[0]).alias("map_id"), "ln", "f"), outlines)
+
+
+def put_sites(lines: DataFrame, outlines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sites from lines (map_id, ln, f: label, x, y and optional r, g, b; black without) put into the first outline of their map that holds them, and those in none."""
+    get = lambda i, kind: F.get("f", F.lit(i)).try_cast(kind)
+    color = F.struct(*(F.coalesce(get(i, "int"), F.lit(0)).alias(n) for i, n in ((3, "r"), (4, "g"), (5, "b"))))
+    rows = lines.select("map_id", "ln", get(0, "string").alias("label"), get(1, "double").alias("x"), get(2, "double").alias("y"), color.alias("color")).where("x is not null and y is not null")
     put = locate(rows, outlines, ["map_id", "ln"], "outline_id", ["map_id"])
     w = Window.partitionBy("map_id", "outline_id").orderBy("ln")
     inside = put.where("outline_id is not null").withColumn("site_id", (F.row_number().over(w) - 1).cast("int"))

@@ -156,7 +156,7 @@ def test_queries_match_sql(spark):
     """Every registered tile-map query against its SQL at the smallest size."""
     import duckdb
 
-    from tessella.plans import format_queries, planar_queries, queries, step_queries  # noqa: F401  the others register more
+    from tessella.plans import format_queries, planar_queries, queries, step_queries, table_queries  # noqa: F401  the others register more
 
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
