@@ -317,6 +317,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) ->
     return own.mapInArrow(run, f"doc_id long, text_hash long, sid long, n int, {', '.join(f'{m} long' for m in marks)}, toks array<long>")
 
 
+#: rounds in which components grow by their best candidates before all others are verified
+ROUNDS = 4
+
+
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")
 
@@ -325,9 +329,9 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     """node and component of the sids of ``own`` that are linked to another by exact Jaccard similarity, of the pairs that any trie finds.
 
     Every fingerprint word is cut into two tries of 32 bits. Fingerprints within ``budget``
-    bits in a trie are candidates, by a spanning forest of each subtrie's links. First each set's best candidate
-    is verified, which joins most members of a large group; then all candidates that still
-    lie in different components are. Candidates whose whole fingerprints differ in more bits
+    bits in a trie are candidates, by a spanning forest of each subtrie's links. In each of ROUNDS rounds every
+    component's best candidate out of it is verified (at first every set is its own), which joins most members of a
+    large group with one comparison each; then all candidates that still lie in different components are. Candidates whose whole fingerprints differ in more bits
     than sets of similarity ``margin`` do on average can't be as similar as asked for (five
     standard deviations) and aren't compared.
     """
@@ -365,15 +369,27 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     a, b = (ended.select("trie", F.col("fp").alias(k), F.col("head").alias(f"{k}_head"), F.col("m").alias(f"{k}_m")) for k in ("src", "dst"))
     met = stored(near.join(a, ["trie", "src"]).join(b, ["trie", "dst"]), "met")
     first = stored(alike(stars.unionByName(met.where("src_head <> dst_head").select(*_ordered("src_head", "dst_head"))).distinct()), "candidates")
-    each = first.unionByName(first.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "apart"))
-    best = each.groupBy("src").agg(F.min(F.struct("apart", "dst")).alias("x")).select(*_ordered("src", "x.dst")).distinct()
-    edges = verified(stored(best, "best"))
-    known = connected_components(edges).withColumnRenamed("node", "sid")
-
-    def different(pairs: DataFrame) -> DataFrame:
+    def joined(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """``pairs`` in different components, with these."""
         for k in ("src", "dst"):
-            pairs = pairs.join(known.select(F.col("sid").alias(k), F.col("component").alias(f"{k}_c")), k, "left").withColumn(f"{k}_c", F.coalesce(f"{k}_c", k))
-        return pairs.where("src_c <> dst_c").select("src", "dst")
+            pairs = pairs.join(known.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")), k, "left").withColumn(f"{k}_c", F.coalesce(f"{k}_c", k))
+        return pairs.where("src_c <> dst_c")
+
+    open_, tried, edges = first.withColumn("src_c", F.col("src")).withColumn("dst_c", F.col("dst")), None, None
+    for _ in range(ROUNDS):
+        x = F.struct("apart", "src", "dst").alias("x")
+        ways = open_.select(F.col("src_c").alias("c"), x).unionByName(open_.select(F.col("dst_c").alias("c"), x))
+        best = stored(ways.groupBy("c").agg(F.min("x").alias("x")).select("x.src", "x.dst").distinct(), "best")
+        if best.isEmpty():
+            break
+        new = verified(best)
+        edges = new if edges is None else stored(edges.unionByName(new), "edges")
+        tried = best if tried is None else stored(tried.unionByName(best), "tried")
+        known = connected_components(edges)
+        open_ = stored(joined(first.join(tried, ["src", "dst"], "left_anti"), known), "open")
+    if edges is None:
+        return connected_components(first.select("src", "dst"))
+    known = known.withColumnRenamed("node", "sid")
 
     # members of shared nodes: those that differ from their node's head, and all where the heads differ
     shared = several.select("trie", F.col("fp").alias("src"), F.col("fp").alias("dst"), F.col("head").alias("src_head"), F.col("head").alias("dst_head"))
@@ -387,7 +403,8 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     members = stored(found_in(nodes, held, ["trie", "fp"]).join(known, "sid", "left").select("trie", "fp", "sid", F.coalesce("component", "sid").alias("c")), "members")
     left = wide.join(members.select("trie", F.col("fp").alias("src"), F.col("sid").alias("a"), F.col("c").alias("a_c")), ["trie", "src"]).where("src_c <> dst_c or a_c <> src_c")
     across = left.join(members.select("trie", F.col("fp").alias("dst"), F.col("sid").alias("b"), F.col("c").alias("b_c")), ["trie", "dst"]).where("a_c <> b_c")
-    rest = alike(across.select(*_ordered("a", "b")).distinct()).select("src", "dst").unionByName(different(first.select("src", "dst"))).distinct()
+    rest = alike(across.select(*_ordered("a", "b")).distinct()).select("src", "dst").unionByName(open_.select("src", "dst")).distinct()
+    rest = rest.join(tried, ["src", "dst"], "left_anti")
     edges = stored(edges.unionByName(verified(stored(rest, "rest"))), "edges")
     discard(sets, heads, near, several, ends, ended, met, first, wide, held, members)
     return connected_components(edges)
