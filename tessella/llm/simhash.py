@@ -318,7 +318,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) ->
 
 
 #: rounds in which components grow by their best candidates before all others are verified
-ROUNDS = 4
+ROUNDS = 2
 
 
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
