@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -27,6 +29,10 @@ class Config:
 
     ``start`` is what regions begin as: ``rings``, the outlines at one scale, or ``dual``, bars and columns
     that are in contact exactly where partitions adjoin (see ``planar.on_cells``).
+
+    ``coarsest`` is how many cells a region has on average, at most, on the coarsest grid that is tried; each
+    finer one has four times as many (see ``Mosaic.arranged``). None arranges on the final grid alone. ``push`` is what drives guides apart:
+    their ``discs``, or the ``cells`` that two of them share. ``seed`` deals the shakes of regions that are stuck.
     """
 
     attraction: float = 150.0
@@ -39,10 +45,13 @@ class Config:
     avoid: str = "rook"
     exact: bool = True
     start: str = "rings"
+    coarsest: float | None = None
+    push: str = "discs"
+    seed: int = 1
 
 
 GRID_MAP = Config()
-CARTOGRAM = Config(attraction=100.0, repulsion=5.0, stranger_repulsion=2.0, avoid="queen", exact=False)
+CARTOGRAM = Config(attraction=100.0, repulsion=5.0, stranger_repulsion=2.0, avoid="queen", exact=False, coarsest=6.0)
 
 
 class Mosaic:
@@ -57,20 +66,52 @@ class Mosaic:
         made = [best_shape(ring, n, g, config.samples) for ring, n in zip(rings, tiles, strict=True)]
         self.shape = [m[0] for m in made]
         self.quality = [m[1] for m in made]
+        self.box = [(min(x for x, _ in s), max(x for x, _ in s), min(y for _, y in s), max(y for _, y in s)) for s in self.shape]
         self.factor = [m[2] for m in made]
         self.move = [m[3] for m in made]
         self.step: list[Cell] = [(0, 0)] * len(rings)  # lattice offset of each guide
+        self.hits = [0] * len(rings)  # cells of each region that it wants
+        self.sides: Counter[tuple[int, int]] = Counter()  # common sides of two regions, either way round
+        self.rng = np.random.default_rng(config.seed)
 
     # state
 
     def put(self, c: Cell, r: int) -> None:
+        """Give a cell to a region, or to the sea; hits and common sides follow."""
         old = self.owner.pop(c, SEA)
+        near = [o for n in self.g.adjacent(*c) if (o := self.owner.get(n, SEA)) != SEA]
+        for k, by in ((old, -1), (r, 1)):
+            if k == SEA:
+                continue
+            self.hits[k] += by * self.wanted(c, k)
+            for o in near:
+                if o != k:
+                    self.sides[k, o] += by
+                    self.sides[o, k] += by
         if old != SEA:
             self.cells[old].discard(c)
         if r != SEA:
             self.owner[c] = r
             self.cells[r].add(c)
 
+    def aim(self, r: int, step: Cell) -> None:
+        """Move a region's guide to a lattice offset."""
+        if step != self.step[r]:
+            self.step[r] = step
+            self.hits[r] = sum(self.wanted(c, r) for c in self.cells[r])
+
+    def reset(self, owner: dict[Cell, int], step: list[Cell]) -> None:
+        for c in list(self.owner):
+            self.put(c, SEA)
+        for r, at in enumerate(step):
+            self.aim(r, at)
+        for c, r in owner.items():
+            self.put(c, r)
+
+    def off(self, r: int) -> int:
+        """Cells by which a region and its guide differ."""
+        return len(self.cells[r]) + self.tiles[r] - 2 * self.hits[r]
+
     def wanted(self, c: Cell, r: int) -> bool:
         dx, dy = self.step[r]
         return (c[0] - dx, c[1] - dy) in self.shape[r]
@@ -93,10 +134,7 @@ class Mosaic:
 
     def error(self) -> tuple[int, float]:
         """Symmetric difference of regions and guides, in all and in proportion."""
-        d = []
-        for r in range(len(self.rings)):
-            hit = sum(self.wanted(c, r) for c in self.cells[r])
-            d.append(len(self.cells[r]) + self.tiles[r] - 2 * hit)
+        d = [self.off(r) for r in range(len(self.rings))]
         return sum(d), sum(x / n for x, n in zip(d, self.tiles, strict=True))
 
     # legality
@@ -111,9 +149,9 @@ class Mosaic:
         if len(rest) == 1 or not safe(c, rest, self.g):
             return False
         if strict:
-            for f in self.owners_near(c, "rook") & self.friends[r]:
-                if not any(self.owner.get(n) == f for d in rest if d != c for n in self.g.adjacent(*d)):
-                    return False
+            here = Counter(self.owner.get(n, SEA) for n in self.g.adjacent(*c))
+            if any(self.sides[r, f] == here[f] for f in here.keys() & self.friends[r]):
+                return False
         return True
 
     def may_join(self, c: Cell, r: int, strict: bool) -> bool:
@@ -164,6 +202,10 @@ class Mosaic:
                 else:
                     free = {n for s in self.cells for d in s for n in self.g.adjacent(*d)} - self.owner.keys()
                     self.put(min(free, key=lambda c: (float(np.hypot(*(self.g.centroid(*c) - mid))), c)), r)
+        self.mend()
+
+    def mend(self) -> None:
+        """Every region keeps its largest part; the whole is brought together and its holes are filled."""
         for r in range(len(self.rings)):
             parts = parts_of(self.cells[r], self.g)
             keep = max(parts, key=len)
@@ -174,6 +216,33 @@ class Mosaic:
         self.join_parts()
         self.fill_holes()
 
+    def carry(self, coarse: Mosaic) -> None:
+        """Regions of the grid twice as coarse: each cell becomes four, or where the tiling has no such rule, a cell goes to the owner of the cell at half its place."""
+        if self.g.refined(0, 0):
+            for c, r in coarse.owner.items():
+                for fine in self.g.refined(*c):
+                    self.put(fine, r)
+            return
+        ready = [self.g.containing(*(2 * self.g.centroid(*c))) for c in sorted(coarse.owner)]
+        seen = {c for c in ready if c}
+        todo = sorted(seen)
+        while todo:
+            c = todo.pop()
+            half = self.g.containing(*(self.g.centroid(*c) / 2))
+            r = coarse.owner.get(half, SEA) if half else SEA
+            if r == SEA:
+                continue
+            self.put(c, r)
+            fresh = set(self.g.adjacent(*c, "queen")) | set(self.g.adjacent(*c))
+            todo += sorted(fresh - seen)
+            seen |= fresh
+        for r in range(len(self.rings)):
+            if not self.cells[r]:
+                mid = 2 * coarse.middle(r)
+                free = {n for d in self.owner for n in (d, *self.g.adjacent(*d)) if n not in self.owner or len(self.cells[self.owner[n]]) > 1}
+                self.put(min(free, key=lambda c: (float(np.hypot(*(self.g.centroid(*c) - mid))), c)), r)
+        self.mend()
+
     def embed_dual(self) -> None:
         """The dual on cells: all contacts right from the start. Enclosed cells go to regions around them while that adds no contact."""
         for c, r in on_cells(*rotation_of(self.rings)).items():
@@ -249,7 +318,18 @@ class Mosaic:
         """Guides onto their regions by the nearest lattice offset."""
         for r in range(len(self.rings)):
             d = self.middle(r) - np.mean([self.g.centroid(*c) for c in self.shape[r]], 0)
-            self.step[r] = self.g.closest_lattice(d)
+            self.aim(r, self.g.closest_lattice(d))
+
+    def shared(self, a: int, b: int, step: list[Cell]) -> int:
+        """Cells that two moved guides have in common; guides whose boxes are apart aren't looked at."""
+        (ax, ay), (bx, by) = step[a], step[b]
+        p, q = self.box[a], self.box[b]
+        if p[0] + ax > q[1] + bx or q[0] + bx > p[1] + ax or p[2] + ay > q[3] + by or q[2] + by > p[3] + ay:
+            return 0
+        if len(self.shape[a]) > len(self.shape[b]):
+            return self.shared(b, a, step)
+        dx, dy = ax - bx, ay - by
+        return sum((x + dx, y + dy) in self.shape[b] for x, y in self.shape[a])
 
     def forces(self, steps: int = 8) -> None:
         """Guides drawn to their friends and pushed off overlaps, moved in lattice steps while they still meet their region."""
@@ -261,6 +341,7 @@ class Mosaic:
         size = [math.sqrt(n * self.g.average_area / math.pi) for n in self.tiles]
         for _ in range(steps):
             pull = [np.zeros(2) for _ in at]
+            now = [(base[r][0] + dx, base[r][1] + dy) for r in range(len(at)) for dx, dy in [self.g.closest_lattice(at[r] - start[r])]]
             for a in range(len(at)):
                 for b in range(a + 1, len(at)):
                     d = at[b] - at[a]
@@ -271,8 +352,11 @@ class Mosaic:
                     f = 0.0
                     if friends:
                         f += self.config.attraction * max(1.0, gap) if gap > 0 else 0.0
-                    if gap < 0:
-                        f -= (self.config.repulsion if friends else self.config.stranger_repulsion) * -gap * 2
+                    if self.config.push == "discs":
+                        deep = max(0.0, -gap)
+                    else:  # as deep as the shared cells are, in a strip as wide as the smaller guide
+                        deep = self.shared(a, b, now) / math.sqrt(min(self.tiles[a], self.tiles[b]))
+                    f -= (self.config.repulsion if friends else self.config.stranger_repulsion) * deep * 2
                     pull[a] += f * u
                     pull[b] -= f * u
             for r, p in enumerate(pull):
@@ -282,27 +366,68 @@ class Mosaic:
                 at[r] = at[r] + p * dt
         for r in range(len(at)):
             dx, dy = self.g.closest_lattice(at[r] - start[r])
-            self.step[r] = (base[r][0] + dx, base[r][1] + dy)
-            if not any(self.wanted(c, r) for c in self.cells[r]):
-                self.step[r] = base[r]
+            self.aim(r, (base[r][0] + dx, base[r][1] + dy))
+            if not self.hits[r]:
+                self.aim(r, base[r])
+
+    def shake(self) -> None:
+        """Guides of regions that differ from them move by a step dealt by chance, where they still meet their region."""
+        for r in range(len(self.rings)):
+            if self.off(r):
+                was = self.step[r]
+                dx, dy = self.g.unit_vectors[int(self.rng.integers(len(self.g.unit_vectors)))]
+                self.aim(r, (was[0] + dx, was[1] + dy))
+                if not self.hits[r]:
+                    self.aim(r, was)
+
+    def fairer(self, r: int, o: int) -> bool:
+        """Whether the larger of two regions' relative errors falls when o gives r a cell that both want."""
+        before = max(self.off(r) / self.tiles[r], self.off(o) / self.tiles[o])
+        return max((self.off(r) - 1) / self.tiles[r], (self.off(o) + 1) / self.tiles[o]) < before - 1e-12
+
+    def best_move(self, r: int) -> tuple[Cell, int] | None:
+        """The best cell that a region may take, else the worst that it may release."""
+        fringe = {n for c in self.cells[r] for n in self.g.adjacent(*c) if n not in self.cells[r] and self.wanted(n, r)}
+        for c in sorted(fringe, key=lambda c: (-self.worth(c, r), c)):
+            o = self.owner.get(c, SEA)
+            if (o == SEA or not self.wanted(c, o) or self.fairer(r, o)) and self.legal(c, r, True):
+                return c, r
+        for c in sorted((c for c in self.cells[r] if not self.wanted(c, r)), key=lambda c: (self.worth(c, r), c)):
+            if self.legal(c, SEA, True):
+                return c, SEA
+        return None
 
     def reshape(self) -> bool:
-        """One pass of moves: regions take cells that they want, then release cells that they don't."""
+        """Takes and releases, the region with the largest relative error first, until none has a move.
+
+        Each move lowers the errors' sequence from the largest down, so it ends. Regions around a
+        moved cell are tried anew.
+        """
         moved = False
-        for r in range(len(self.rings)):
-            fringe = {n for c in self.cells[r] for n in self.g.adjacent(*c) if self.wanted(n, r) and n not in self.cells[r]}
-            for c in sorted(fringe, key=lambda c: (-self.worth(c, r), c)):
-                o = self.owner.get(c, SEA)
-                if o != SEA and self.wanted(c, o) and len(self.cells[o]) / self.tiles[o] <= len(self.cells[r]) / self.tiles[r]:
-                    continue
-                if self.legal(c, r, True):
-                    self.put(c, r)
-                    moved = True
-        for r in range(len(self.rings)):
-            for c in sorted((c for c in self.cells[r] if not self.wanted(c, r)), key=lambda c: (self.worth(c, r), c)):
-                if self.legal(c, SEA, True):
-                    self.put(c, SEA)
-                    moved = True
+        while self._turns():
+            moved = True
+        return moved
+
+    def _turns(self) -> bool:
+        """Every region's moves in turn; whether there were any."""
+        moved = False
+        todo = [(-self.off(r) / self.tiles[r], r) for r in range(len(self.rings))]
+        heapq.heapify(todo)
+        waiting = {r for _, r in todo}
+        while todo:
+            _, r = heapq.heappop(todo)
+            if r not in waiting:
+                continue
+            waiting.discard(r)
+            if (move := self.best_move(r)) is None:
+                continue
+            c, to = move
+            around = {self.owner.get(c, SEA), r} | self.owners_near(c, "queen") | self.owners_near(c, "rook")
+            self.put(c, to)
+            moved = True
+            for o in around - {SEA}:
+                waiting.add(o)
+                heapq.heappush(todo, (-self.off(o) / self.tiles[o], o))
         return moved
 
     def slide(self) -> None:
@@ -384,30 +509,34 @@ class Mosaic:
                 return False
         return all(t == len(c) for t, c in zip(self.tiles, self.cells, strict=True))
 
-    def run(self) -> Mosaic:
+    def begin(self) -> None:
         if self.config.start == "dual":
             self.embed_dual()
         else:
             self.embed()
+
+    def improve(self) -> None:
+        """Rounds of guides and moves, until none gets better; the best state stays."""
         self.slide()
         best, idle = None, 0
         for _ in range(self.config.rounds):
             self.recentre()
             self.forces()
-            moved = self.reshape()
+            if not self.reshape() and best is not None:
+                self.shake()
+                self.reshape()
             self.polish(True, 6)
             score = self.error()
             if best is None or score < best[0]:
                 best, idle = (score, dict(self.owner), list(self.step)), 0
             else:
                 idle += 1
-            if not moved or idle >= self.config.no_improvement:
+            if not score[0] or idle >= self.config.no_improvement:
                 break
-        _, owner, self.step = best
-        self.cells = [set() for _ in self.rings]
-        self.owner = {}
-        for c, r in owner.items():
-            self.put(c, r)
+        self.reset(*best[1:])
+
+    def finish(self) -> Mosaic:
+        """Sizes as they must be, holes and alleys filled."""
         self.fill_holes()
         self.fill_alleys()
         done = self.polish(True, self.config.polish_rounds)
@@ -419,6 +548,31 @@ class Mosaic:
         self.recentre()
         return self
 
+    def faults(self) -> tuple[int, int, int]:
+        """Wrong sizes, contacts missing or wrong, and cells by which regions and guides differ."""
+        return sum(t != len(c) for t, c in zip(self.tiles, self.cells, strict=True)), len(self.contacts() ^ self.edges), self.error()[0]
+
+    @staticmethod
+    def arranged(rings: list[np.ndarray], tiles: list[int], edges: set[tuple[int, int]], g: Grid, config: Config) -> Mosaic:
+        """On the final grid; with ``coarsest`` also from the coarsest grid on, each beginning with the last one's regions, and what has fewer faults."""
+        m = Mosaic(rings, tiles, edges, g, config)
+        m.begin()
+        m.improve()
+        m.finish()
+        last = 0
+        while config.coarsest and sum(tiles) > config.coarsest * len(tiles) * 4**last:
+            last += 1
+        coarse = None
+        for k in range(last, -1, -1) if last else ():
+            now = Mosaic(rings, [max(1, (2 * t + 4**k) // (2 * 4**k)) for t in tiles], edges, g, config)
+            if coarse is None:
+                now.begin()
+            else:
+                now.carry(coarse)
+            now.improve()
+            coarse = now
+        return min(m, coarse.finish(), key=Mosaic.faults) if coarse else m
+
     def force_exact(self) -> None:
         """Last resort: surplus cells are released and missing ones taken from the sea, one piece kept."""
         for r in range(len(self.rings)):
@@ -447,7 +601,7 @@ def _kernel(name: str, config: Config):
                 if j is not None and j != i:
                     edges.add((min(i, j), max(i, j)))
         rings = [np.array([[p["x"], p["y"]] for p in ring]) for ring in pdf.ring]
-        m = Mosaic(rings, [int(t) for t in pdf.tiles], edges, g, config).run()
+        m = Mosaic.arranged(rings, [int(t) for t in pdf.tiles], edges, g, config)
         rows = []
         for i, r in pdf.iterrows():
             dx, dy = m.step[i]

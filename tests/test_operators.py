@@ -106,11 +106,11 @@ def test_arrangement_invariants(name):
     g = grid(name)
     rings = [np.array(square(x, y, w, h), float) for x, y, w, h in ((0, 0, 10, 10), (10, 0, 10, 10), (0, 10, 10, 10), (10, 10, 10, 10), (20, 0, 4, 20))]
     edges, tiles = {(0, 1), (0, 2), (1, 3), (2, 3), (1, 4), (3, 4)}, [12, 20, 9, 14, 6]
-    m = Mosaic(rings, tiles, edges, g, GRID_MAP).run()
+    m = Mosaic.arranged(rings, tiles, edges, g, GRID_MAP)
     assert [len(c) for c in m.cells] == tiles
     assert all(len(guide.parts_of(c, g)) == 1 for c in m.cells)
     assert len(guide.parts_of(set(m.owner), g)) == 1
-    loose = Mosaic(rings, tiles, edges, g, CARTOGRAM).run()
+    loose = Mosaic.arranged(rings, tiles, edges, g, CARTOGRAM)
     assert all(len(guide.parts_of(c, g)) == 1 for c in loose.cells)
 
 
