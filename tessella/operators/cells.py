@@ -51,6 +51,16 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return intersection(a, b, keys).groupBy(*keys).agg(F.count("*").alias("shared"))
 
 
+def overlaps(c: DataFrame, keys: list[str], part: str = "partition_id") -> DataFrame:
+    """Pairs a < b of cell sets (guides, regions) of the same ``keys`` that share cells, with their number.
+
+    Sets meet in a join on their cells, so only pairs that do share one are looked at.
+    """
+    own = c.select(*keys, part, "x", "y").distinct()
+    a, b = (own.withColumnRenamed(part, n) for n in "ab")
+    return a.join(b, [*keys, "x", "y"]).where("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("shared"))
+
+
 def touching(a: DataFrame, b: DataFrame, g: Grid, keys: list[str], kind: str = "rook") -> DataFrame:
     """Keys whose two sets share a cell or have neighbouring cells."""
     own = a.select(*keys, "x", "y")

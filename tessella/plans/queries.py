@@ -178,11 +178,15 @@ def nbrs_queen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CELLS}, a AS (SELECT DISTINCT p.partition_id AS a, q.partition_id AS b FROM c p JOIN c q ON p.x = q.x AND p.y = q.y AND p.partition_id < q.partition_id) SELECT a, b FROM a")
 def set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of partitions whose cell sets meet."""
-    c = _square_cells(spark, sf_dir)
-    ids = c.select("partition_id").distinct()
-    pairs = ids.select(F.col("partition_id").alias("a")).join(ids.select(F.col("partition_id").alias("b")), F.col("a") < F.col("b"))  # some dozens of partitions
-    left, right = (pairs.join(c.withColumnRenamed("partition_id", k), k) for k in "ab")
-    return cells.overlapping(left, right, ["a", "b"]).drop("shared")
+    return cells.overlaps(_square_cells(spark, sf_dir), []).drop("shared")
+
+
+@query(f"WITH {SITES}, c AS (SELECT DISTINCT site_id % 40 AS map_id, partition_id, CAST(floor(x + 0.5) AS INT) + dx AS x, CAST(floor(y + 0.5) AS INT) + dy AS y FROM s, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)) SELECT p.map_id, p.partition_id AS a, q.partition_id AS b, CAST(count(*) AS BIGINT) AS shared FROM c p JOIN c q ON p.map_id = q.map_id AND p.x = q.x AND p.y = q.y AND p.partition_id < q.partition_id GROUP BY 1, 2, 3")
+def guide_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that the guides of two partitions share, in forty maps; a guide is the squares of two by two cells at its sites."""
+    s = sites(spark, sf_dir).select((F.col("site_id") % 40).alias("map_id"), "partition_id", G.half_up(F.col("x")).alias("cx"), G.half_up(F.col("y")).alias("cy"))
+    at = F.explode(F.array(*(G.cell(F.col("cx") + i, F.col("cy") + j) for i in (0, 1) for j in (0, 1))))
+    return cells.overlaps(s.select("map_id", "partition_id", at.alias("c")).select("map_id", "partition_id", "c.x", "c.y"), ["map_id"])
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

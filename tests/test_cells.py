@@ -81,3 +81,12 @@ def test_alleys_boundaries_extremes(spark):
     assert cells.outline_edges(frame(spark, [{(0, 0), (1, 0), (0, 1), (1, 1)}]), g, ["k"]).count() == 8
     e = cells.extremes(frame(spark, [{(0, 0), (1, 2), (3, 2)}]), ["k"]).first()
     assert (tuple(e.top_left), tuple(e.top_right)) == ((1, 2), (3, 2))
+
+
+def test_overlaps_against_sets(spark):
+    r = random.Random(4)
+    rows = [(m, p, r.randint(0, 5), r.randint(0, 5)) for m in (1, 2, None) for p in range(5) for _ in range(9)]
+    got = {tuple(x) for x in cells.overlaps(spark.createDataFrame(rows, "map_id int, partition_id int, x int, y int"), ["map_id"]).collect()}
+    sets = {k: {(x, y) for m, p, x, y in rows if (m, p) == k} for k in {(m, p) for m, p, _, _ in rows if m}}
+    want = {(m, p, q, n) for m, p in sets for k, q in sets if m == k and p < q and (n := len(sets[m, p] & sets[m, q]))}
+    assert got == want  # a map without id isn't one
