@@ -221,6 +221,24 @@ class Graph:
             out[a : a + block, : min(k, ids.shape[1])] = ids[:, :k]
         return out
 
+    def beam_for(self, k: int, least: float = 0.97, beam: int = 160, sample: int = 128) -> int:
+        """``beam`` doubled until the k best found for a sample of rows are ``least`` of those that comparing with all rows finds.
+
+        At a beam of all rows every row is reached, so this ends.
+        """
+        n = len(self.x)
+        k = min(k, n)
+        some = self.vectors[np.sort(np.random.default_rng(3).permutation(n)[:sample])].astype(np.float64)
+        scores = some @ self.vectors.astype(np.float64).T
+        last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        bar = last - 1e-6 * np.abs(last)  # the graph compares in single precision
+        while beam < n:
+            found = self.search(some, k, beam)
+            if ((np.take_along_axis(scores, np.maximum(found, 0), 1) >= bar) & (found >= 0)).mean() >= least:
+                break
+            beam *= 2
+        return beam
+
     def flat(self) -> dict[str, bytes]:
         """The layers as flat arrays of 32-bit integers: sizes and degrees, nodes, neighbours."""
         head = np.array([n for y in self.layers for n in y.near.shape], "<i4")
@@ -236,14 +254,15 @@ class Graph:
         return cls(vectors, layers, np.frombuffer(entries, "<i4").astype(int))
 
 
-INDEX = "shard int, n int, vectors binary, counts binary, ids binary, shape binary, nodes binary, near binary, entries binary"
+INDEX = "shard int, n int, vectors binary, counts binary, ids binary, shape binary, nodes binary, near binary, entries binary, beam int"
 
 
-def build_index(vectors: DataFrame, k: int, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame, int, str]:
+def build_index(vectors: DataFrame, k: int, shard_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 160, recall: float = 0.97) -> tuple[DataFrame, DataFrame, int, str]:
     """(index, usable rows (id, v), number of shards, numpy type of the vectors): one index row per shard with its graph as flat arrays.
 
     Every distinct vector is indexed, with its k + 1 smallest ids: of equal vectors no other
-    can be among the k nearest of any query, ties going to smaller ids. Vectors of floats
+    can be among the k nearest of any query, ties going to smaller ids. Each graph's beam is
+    widened from ``beam`` until it has ``recall`` on a sample of its rows. Vectors of floats
     are kept as such, all others as doubles.
     """
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
@@ -265,25 +284,26 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = 16_384, id_col: st
         order = sorted(range(len(lists)), key=lambda i: lists[i])
         x, lists = np.ascontiguousarray(x[order]), [lists[i] for i in order]
         graph = Graph.build(x)
-        row = {"shard": key[0].as_py(), "n": len(lists), "vectors": x.tobytes(), "counts": np.array([len(i) for i in lists], "<i4").tobytes(), "ids": np.concatenate(lists).astype("<i8").tobytes()} | graph.flat()
-        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("vectors", "counts", "ids", "shape", "nodes", "near", "entries"))]))
+        row = {"shard": key[0].as_py(), "n": len(lists), "vectors": x.tobytes(), "counts": np.array([len(i) for i in lists], "<i4").tobytes(), "ids": np.concatenate(lists).astype("<i8").tobytes(), "beam": graph.beam_for(k + 1, recall, beam)} | graph.flat()
+        return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("vectors", "counts", "ids", "shape", "nodes", "near", "entries")), ("beam", pa.int32())]))
 
     keyed = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).select("shard", "v", "ids")
     return stored(keyed.groupBy("shard").applyInArrow(build, INDEX), "graphs"), usable, shards, kind
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, shard_rows: int = 16_384, block: int = 2048, lanes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, recall: float = 0.97, shard_rows: int = 16_384, block: int = 2048, lanes: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row whose id is divisible by ``every``.
 
     Nearness is the inner product in double precision; ties go to the smaller id. A query
-    is searched in every shard's graph and the shards' best are merged. A shard's graph is
+    is searched in every shard's graph, with a beam that has found ``recall`` of the k + 1
+    nearest of a sample of the shard's rows, and the shards' best are merged. A shard's graph is
     loaded by ``lanes`` tasks at most, past which the queries stream in blocks. Null, zero and
     non-finite vectors, vectors of another length than most, and rows without an id take no
     part. Repeated rows count once; a row with the query's id isn't its neighbour; of a query
     id with several vectors the smallest is searched. With k or fewer candidates all are
     returned; an empty table gives no rows; other columns aren't read.
     """
-    index, usable, shards, kind = build_index(vectors, k, shard_rows, id_col, vector_col)
+    index, usable, shards, kind = build_index(vectors, k, shard_rows, id_col, vector_col, beam, recall)
     queries = usable.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     queries = checkpointed(queries)
     blocks = max(1, -(-queries.count() // block))
@@ -296,16 +316,18 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = 160, s
     packed = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", "id", "v").groupBy("block").applyInArrow(pack, "block int, ids binary, vectors binary")
     graphs = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("block", F.lit(-1))
     asked = packed.withColumn("lane", F.col("block") % lanes).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    both = graphs.unionByName(asked, allowMissingColumns=True).repartition(min(shards * lanes, 2000), "shard", "lane").sortWithinPartitions("shard", "lane", "block")
-    names = ["n", "vectors", "counts", "ids", "shape", "nodes", "near", "entries", "block"]
+    tasks = max(2000, 4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    both = graphs.unionByName(asked, allowMissingColumns=True).repartition(min(shards * lanes, tasks), "shard", "lane").sortWithinPartitions("shard", "lane", "block")
+    names = ["n", "vectors", "counts", "ids", "shape", "nodes", "near", "entries", "beam", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = counts = ids = first = None
+        graph = counts = ids = first = beam = None
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
             if row["block"] < 0:  # the shard's graph comes before its queries
                 x = np.frombuffer(row["vectors"], kind).reshape(row["n"], -1)
                 graph = Graph.load(x, row["shape"], row["nodes"], row["near"], row["entries"])
+                beam = row["beam"]
                 counts, ids = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["ids"], "<i8")
                 first = np.cumsum(counts) - counts
                 continue

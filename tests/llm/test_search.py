@@ -17,6 +17,21 @@ def exact(rows, k, every):
     return out
 
 
+@pytest.mark.parametrize("kind", ("lengths", "one long", "unit"))
+def test_recall_of_a_full_shard(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(16_384, 64)).astype(np.float32)
+    if kind == "one long":
+        x[7] *= 1000
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = ann.Graph.build(x)
+    beam = graph.beam_for(21)
+    q = x[rng.permutation(len(x))[:100]]
+    truth = np.argsort(-(q.astype(np.float64) @ x.T.astype(np.float64)), 1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(graph.search(q, 21, beam), truth, strict=True)]) >= 0.95
+
+
 @pytest.mark.parametrize("n,shard", ((3000, 700), (90, 8192)))
 def test_recall(spark, n, shard):
     rng = np.random.default_rng(n)
@@ -218,7 +233,7 @@ def test_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     assert "op10_urls" in ORACLE_SQL
     for name, sql in ORACLE_SQL.items():
