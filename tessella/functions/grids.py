@@ -141,23 +141,27 @@ class Grid:
     def containing_many(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each point the cell whose tile holds it (x, y) and whether there is one, by trying the tiles around it.
 
-        Tiles are tried in the order of their patterns' distance from the point's own pattern, so a
-        point on a border goes to the first; a tile is tested against the points in its box alone.
+        Tiles are tried in the order of their patterns' distance from the point's own pattern. The tile whose
+        edges a ray from the point crosses an odd number of times holds it; points that are in none so are on a border, within
+        EPS, and go to the first tile there. A tile is tested against the points in its box alone.
         """
         px, py = np.asarray(px, float), np.asarray(py, float)
         at = np.floor(np.linalg.solve(self.lattice, np.array([px, py])) + 0.5)
         x, y, open_ = np.zeros(len(px), np.int64), np.zeros(len(px), np.int64), np.isfinite(px) & np.isfinite(py)
         at[:, ~open_] = 0
         found = np.zeros(len(px), bool)
-        for i, j in AROUND:
-            shift = self.lattice @ (at + np.array([[i], [j]]))
-            qx, qy = px - shift[0], py - shift[1]
-            for v, tile in enumerate(self.tiles):
-                lo, hi = tile.min(0) - EPS, tile.max(0) + EPS
-                near = np.flatnonzero(open_ & (qx >= lo[0]) & (qx <= hi[0]) & (qy >= lo[1]) & (qy <= hi[1]))
-                hit = near[inside_many(tile, qx[near], qy[near])]
-                x[hit], y[hit] = (at[0, hit] + i) * self.pc + v, at[1, hit] + j
-                found[hit], open_[hit] = True, False
+        for holds in (crossed_oddly, inside_many):
+            for i, j in AROUND:
+                if not open_.any():
+                    return x, y, found
+                p, q = at[0] + i, at[1] + j
+                qx, qy = px - p * self.right[0] - q * self.up[0], py - p * self.right[1] - q * self.up[1]
+                for v, tile in enumerate(self.tiles):
+                    lo, hi = tile.min(0) - EPS, tile.max(0) + EPS
+                    near = np.flatnonzero(open_ & (qx >= lo[0]) & (qx <= hi[0]) & (qy >= lo[1]) & (qy <= hi[1]))
+                    hit = near[holds(tile, qx[near], qy[near])]
+                    x[hit], y[hit] = p[hit] * self.pc + v, q[hit]
+                    found[hit], open_[hit] = True, False
         return x, y, found
 
     def norm(self, ax: int, ay: int, bx: int, by: int) -> int:
@@ -246,6 +250,16 @@ def nearest_hexagon(px: float, py: float) -> tuple[int, int]:
     return (-c, -a - c) if db > da else (-c, b)
 
 
+def crossed_oddly(ring: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """Which points have an odd number of a ring's edges to their right: of tiles that share a border, one holds a point on it."""
+    x1, y1 = ring.T
+    x2, y2 = np.roll(ring, -1, 0).T
+    x, y = px[:, None], py[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+    return (((y1 > y) != (y2 > y)) & right).sum(1) % 2 == 1
+
+
 def inside_many(ring: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
     """Which points a ring holds, its boundary included (within EPS)."""
     if not len(px):
