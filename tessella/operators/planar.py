@@ -7,6 +7,7 @@ graph, which holds that graph: its vertices and the order of their neighbours, o
 from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
+from .groups import each_group
 
 Vertex = Hashable
 Rotation = dict[Vertex, list[Vertex]]  # each vertex's neighbours, counter-clockwise
@@ -393,38 +395,40 @@ def embedding(partitions: DataFrame, comps: DataFrame) -> DataFrame:
     return p.groupBy("map_id", "comp_id").applyInPandas(run, f"map_id string, comp_id {comp}, outline_id int, partition_id int, x int, y int")
 
 
+@lru_cache(4096)
+def _wood(halves: tuple[tuple[Vertex, Vertex, Vertex], ...], outer: int | None) -> tuple:
+    """The walks of a graph of half-edges u → v before v → w, or, given the number of its outer walk, its wood's rows; graphs of one shape share them."""
+    after = {(v, w): u for u, v, w in halves}  # around v, u comes after w counter-clockwise
+    rotation: Rotation = {}
+    for c, first in after:
+        if c not in rotation:
+            ring = [first]
+            while (nxt := after[c, ring[-1]]) != first:
+                ring.append(nxt)
+            rotation[c] = ring
+    if outer is None:
+        return tuple(tuple(walk) for walk in walks(rotation)) if len(rotation) > 2 else ()
+    wood = Wood(*triangulated(rotation, outer))
+    k, where = wood.number, wood.coordinates()
+    return tuple((k[c], c if c in rotation else None, *where[c], *(k[tree[c]] if c in tree else None for tree in wood.parent)) for c in wood.order)
+
+
 def schnyder(edges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, v, number, three coordinates a, b, c and the three parents of each vertex of the triangulated graphs; one kernel per graph.
+    """``key``, v, number, three coordinates a, b, c and the three parents of each vertex of the triangulated graphs; one call of the kernel per graph.
 
     Faces that aren't triangles get new vertices (see ``triangulated``), whose v is null; ``number`` tells a graph's vertices apart and the
     parents are numbers, null for the three outer vertices. Graphs must be connected; those of under three vertices are left out.
+    Places only tell which walk is the outer one: a wood depends on the rest of the graph alone, so a task
+    remembers those of the small graphs that it has met last.
     """
     kind = points.schema["v"].dataType.simpleString()
-    types = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in key)
     rows = half_edges(edges, points, key).join(points.select(*key, "v", "x", "y"), [*key, "v"])
 
-    def run(t: pa.Table) -> pa.Table:
-        u, v, w, x, y = (t.column(c).to_pylist() for c in ("u", "v", "w", "x", "y"))
-        after = dict(zip(zip(v, w, strict=True), u, strict=True))  # around v, u comes after w counter-clockwise
+    def run(u: list, v: list, w: list, x: list[float], y: list[float]) -> list[tuple]:
+        halves = tuple(sorted(zip(u, v, w, strict=True)))
         at = dict(zip(v, zip(x, y, strict=True), strict=True))
-        rotation: Rotation = {}
-        for c, first in after:
-            if c not in rotation:
-                ring = [first]
-                while (nxt := after[c, ring[-1]]) != first:
-                    ring.append(nxt)
-                rotation[c] = ring
-        if len(rotation) < 3:
-            rows = []
-        else:
-            sizes = [sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in walk) for walk in walks(rotation)]
-            wood = Wood(*triangulated(rotation, int(np.argmin(sizes))))
-            k, where = wood.number, wood.coordinates()
-            rows = [(k[c], c if c in rotation else None, *where[c], *(k[tree[c]] if c in tree else None for tree in wood.parent)) for c in wood.order]
-        names = ["number", "v", "a", "b", "c", "left", "right", "top"]
-        kinds = [pa.int32(), t.schema.field("v").type, *[pa.int32()] * 6]
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        own = {c: t.column(c).combine_chunks().take(pa.array([0] * len(rows), pa.int32())) for c in key}
-        return pa.table(own | {n: pa.array(values, k) for n, values, k in zip(names, columns, kinds, strict=True)})
-
-    return rows.groupBy(*key).applyInArrow(run, f"{types}, number int, v {kind}, a int, b int, c int, `left` int, `right` int, `top` int")
+        wood = _wood if len(halves) <= 100 else _wood.__wrapped__
+        sizes = [sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in walk) for walk in wood(halves, None)]
+        return list(wood(halves, int(np.argmin(sizes)))) if sizes else []
+
+    return each_group(rows, key, ["u", "v", "w", "x", "y"], run, f"number int, v {kind}, a int, b int, c int, `left` int, `right` int, `top` int")
