@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .groups import each_group
+
 
 class Flow:
     """A digraph with capacities, costs (negative ones allowed without negative cycles) and supplies."""
@@ -139,30 +140,25 @@ def bridges(n: int, edges: list[tuple[int, int]]) -> list[tuple[int, int, set[in
     return found
 
 
-def _types(df: DataFrame, key: list[str]) -> str:
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in key)
-
-
 def bridge_table(edges: DataFrame, key: list[str]) -> DataFrame:
     """``key``, a, b and side of the bridges of connected graphs with edges u, v (long): ``side`` is the number of vertices on the smaller side, b's."""
 
-    def run(t: pa.Table) -> pa.Table:
-        ends = [(u, v) for u, v in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True) if u != v]
-        names = sorted({v for e in ends for v in e})
-        number = {v: k for k, v in enumerate(names)}
-        found = bridges(len(names), sorted({(number[min(e)], number[max(e)]) for e in ends})) if ends else []
-        return _rows(t, key, {"a": [names[a] for a, _, _ in found], "b": [names[b] for _, b, _ in found], "side": [len(s) for _, _, s in found]})
+    def run(u: list[int], v: list[int]) -> list[tuple]:
+        ends = {(a, b) if a < b else (b, a) for a, b in zip(u, v, strict=True) if a != b}
+        names = sorted({a for e in ends for a in e})
+        number = {a: k for k, a in enumerate(names)}
+        found = bridges(len(names), sorted((number[a], number[b]) for a, b in ends)) if ends else []
+        return [(names[a], names[b], len(side)) for a, b, side in found]
 
-    return edges.select(*key, "u", "v").groupBy(*key).applyInArrow(run, f"{_types(edges, key)}, a long, b long, side long")
+    return each_group(edges, key, ["u", "v"], run, "a long, b long, side long")
 
 
 def cheapest_flow(arcs: DataFrame, supplies: DataFrame, key: list[str]) -> DataFrame:
     """``key``, a, b and flow of each arc (a, b, capacity, cost) of many graphs at the least cost; ``supplies`` has v and supply, negative where flow ends."""
-    kind = _types(arcs, key)
     both = arcs.select(*key, "a", "b", "capacity", "cost").unionByName(supplies.selectExpr(*(f"`{c}`" for c in key), "v AS a", "CAST(NULL AS LONG) AS b", "supply AS capacity", "0D AS cost"))
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("a", "b", "capacity", "cost")), strict=True))
+    def run(*columns: list) -> list[tuple]:
+        rows = list(zip(*columns, strict=True))
         names = sorted({v for a, b, _, _ in rows for v in (a, b) if v is not None})
         number = {v: k for k, v in enumerate(names)}
         f, own = Flow(len(names)), []
@@ -172,13 +168,6 @@ def cheapest_flow(arcs: DataFrame, supplies: DataFrame, key: list[str]) -> DataF
             else:
                 own.append((a, b, f.add(number[a], number[b], capacity, cost)))
         f.solve()
-        return _rows(t, key, {"a": [a for a, _, _ in own], "b": [b for _, b, _ in own], "flow": [f.flow(k) for _, _, k in own]})
-
-    return both.groupBy(*key).applyInArrow(run, f"{kind}, a long, b long, flow long")
-
+        return [(a, b, f.flow(k)) for a, b, k in own]
 
-def _rows(t: pa.Table, key: list[str], columns: dict[str, list[int]]) -> pa.Table:
-    """A graph's rows with its key."""
-    n = len(next(iter(columns.values())))
-    same = pa.array([0] * n, pa.int32())
-    return pa.table({c: t.column(c).combine_chunks().take(same) for c in key} | {c: pa.array(v, pa.int64()) for c, v in columns.items()})
+    return each_group(both, key, ["a", "b", "capacity", "cost"], run, "a long, b long, flow long")
