@@ -12,16 +12,19 @@ from ..functions import geometry as G
 def locate(points: DataFrame, rings: DataFrame, point_keys: list[str], ring_key: str, by: list[str], order: str | None = None, tiles: int = 64) -> DataFrame:
     """Each point with the first ring (by ``order``) that holds it: columns of ``points`` and ``ring_key``, null where none does.
 
-    The extent of each map is cut into ``tiles`` x ``tiles`` squares; a ring is sent to the
-    squares its box meets, so points and rings meet in an equi-join, and the exact test
-    runs on those pairs alone. Null coordinates are in no ring.
+    The extent of each map is cut into at most ``tiles`` x ``tiles`` squares, about one for each ring or
+    for each thousand points, whichever are more; a ring is sent to the squares its box meets, so points and rings meet in an equi-join, and
+    the exact test runs on those pairs alone. Null coordinates are in no ring.
     """
     order = order or ring_key
     shapes = rings.select(*by, F.col(ring_key).alias("_id"), F.col(order).alias("_ord"), "ring").withColumn("_b", G.box(F.col("ring")))
-    extent = shapes.groupBy(*by).agg(F.min("_b.left").alias("_l"), F.min("_b.bottom").alias("_o"), ((F.max("_b.right") - F.min("_b.left")) / tiles).alias("_w"), ((F.max("_b.top") - F.min("_b.bottom")) / tiles).alias("_h"))
+    box = shapes.groupBy(*by).agg(F.min("_b.left").alias("_l"), F.min("_b.bottom").alias("_o"), F.max("_b.right").alias("_r"), F.max("_b.top").alias("_t"), F.count("*").alias("_n"))
+    held = points.groupBy(*by).agg((F.count("*") / 1000).alias("_m"))
+    side = F.least(F.lit(tiles), F.ceil(F.sqrt(F.greatest("_n", "_m")))).cast("int")
+    extent = box.join(held, by).withColumn("_k", side).select(*by, "_l", "_o", "_k", ((F.col("_r") - F.col("_l")) / F.col("_k")).alias("_w"), ((F.col("_t") - F.col("_o")) / F.col("_k")).alias("_h"))
 
     def square(v: Column, low: str, size: str) -> Column:
-        return F.greatest(F.lit(-1), F.least(F.lit(tiles), F.coalesce(F.floor(F.try_divide(v - F.col(low), F.col(size))), F.lit(0)))).cast("int")
+        return F.greatest(F.lit(-1), F.least(F.col("_k"), F.coalesce(F.floor(F.try_divide(v - F.col(low), F.col(size))), F.lit(0)))).cast("int")
 
     placed = shapes.join(extent, by)
     cover = placed.withColumn("_x", F.explode(F.sequence(square(F.col("_b.left") - 1e-6, "_l", "_w"), square(F.col("_b.right") + 1e-6, "_l", "_w")))).withColumn("_y", F.explode(F.sequence(square(F.col("_b.bottom") - 1e-6, "_o", "_h"), square(F.col("_b.top") + 1e-6, "_o", "_h"))))

@@ -143,6 +143,7 @@ def _input(spark: SparkSession, items: DataFrame) -> TileMap:
     loose = locate(texts.where("grp is null").select("map_id", "ord", "x", "y", "label"), outs.select("map_id", "outline_id", "ring"), ["map_id", "ord"], "outline_id", ["map_id"]).where("outline_id is not null").groupBy("map_id", "outline_id").agg(F.min_by("label", "ord").alias("_m"), F.min_by(F.struct("x", "y"), "ord").alias("_u"))
     named = outs.join(grouped, ["map_id", "grp"], "left").join(loose, ["map_id", "outline_id"], "left")
     outlines = named.select("map_id", "outline_id", F.coalesce("_l", "_m", F.concat(F.lit("o"), "outline_id")).alias("label"), F.coalesce("_t", "_u").alias("label_pt"), _color_of().alias("color"), "ring", F.lit(-1).alias("custom_weight"))
+    outlines = durable(outlines)  # each later step reads outlines, partitions and sites several times
     centre = G.ring_centroid(F.col("ring"))
     marks = items.where("layer like 'sites%'").withColumn("_c", centre).select("map_id", "ord", F.coalesce("_c.x", "x").alias("x"), F.coalesce("_c.y", "y").alias("y"), F.when(F.col("kind") == "text", F.col("label")).alias("label"), _color_of().alias("color"), "layer").where("x is not null")
     put = locate(marks, outlines, ["map_id", "ord"], "outline_id", ["map_id"]).where("outline_id is not null")
@@ -150,7 +151,7 @@ def _input(spark: SparkSession, items: DataFrame) -> TileMap:
     sites = put.withColumn("site_id", (F.row_number().over(w) - 1).cast("int")).withColumn("_n", F.row_number().over(by_ord) - 1)
     sites = sites.select("map_id", "outline_id", "site_id", F.coalesce("label", F.concat(F.lit("s"), F.col("_n").cast("string"))).alias("label"), "x", "y", "color", "layer", F.lit(None).cast("int").alias("partition_id"), F.lit(None).cast(CELL).alias("cell"))
     maps = outlines.select("map_id").distinct().select("map_id", F.lit(INPUT).alias("stage"), F.lit(None).cast("string").alias("grid"))
-    return TileMap.of(spark, maps=maps, outlines=outlines, sites=sites)
+    return TileMap.of(spark, maps=maps, outlines=outlines, sites=durable(sites))
 
 
 def _raise(m: TileMap, reached: DataFrame, stage: int, grid_of: DataFrame | None = None) -> TileMap:
@@ -171,8 +172,9 @@ def _partitions(m: TileMap, items: DataFrame) -> TileMap:
     held = locate(texts, rings, ["map_id", "ord"], "partition_id", ["map_id", "layer"]).where("partition_id is not null").groupBy("map_id", "layer", "partition_id").agg(F.min_by("label", "ord").alias("_l"), F.min_by(F.struct("x", "y"), "ord").alias("_t"))
     p = p.join(held, ["map_id", "layer", "partition_id"], "left")
     partitions = p.select("map_id", "outline_id", "partition_id", F.coalesce("_l", F.concat_ws(":", "_o", "partition_id")).alias("label"), F.col("_t").alias("label_pt"), _color_of().alias("color"), G.counter_clockwise(F.col("ring")).alias("ring"), F.lit(-1).alias("custom_weight"))
+    partitions = durable(partitions)
     sites = locate(m.sites.drop("partition_id"), partitions, ["map_id", "outline_id", "site_id"], "partition_id", ["map_id", "outline_id"]).select(*m.sites.columns)
-    return _raise(m.with_(partitions=partitions, sites=sites), partitions, PARTITIONED)
+    return _raise(m.with_(partitions=partitions, sites=durable(sites)), partitions, PARTITIONED)
 
 
 def _cells(m: TileMap, items: DataFrame) -> TileMap:
