@@ -319,6 +319,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, words: int) ->
 
 #: rounds in which components grow by their best candidates before all others are verified
 ROUNDS = 2
+#: tries whose candidates are verified first; what they join needs no candidates of the other tries
+EARLY = 4
 
 
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
@@ -329,7 +331,9 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     """node and component of the sids of ``own`` that are linked to another by exact Jaccard similarity, of the pairs that any trie finds.
 
     Every fingerprint word is cut into two tries of 32 bits. Fingerprints within ``budget``
-    bits in a trie are candidates, by a spanning forest of each subtrie's links. In each of ROUNDS rounds every
+    bits in a trie are candidates, by a spanning forest of each subtrie's links. The first EARLY tries go ahead, and of the
+    others only candidates in different components of what these have joined are looked at, so a large group gives few
+    times its members and not that for every trie. In each of ROUNDS rounds every
     component's best candidate out of it is verified (at first every set is its own), which joins most members of a
     large group with one comparison each; then all candidates that still lie in different components are. Candidates whose whole fingerprints differ in more bits
     than sets of similarity ``margin`` do on average can't be as similar as asked for (five
@@ -341,10 +345,6 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     sets = stored(own.where("n > 0").select("sid", "n", *marks).distinct(), "sets")
     upper = F.lit(_signed(ALL ^ 0xFFFFFFFF))
     tries = F.array(*(x for m in marks for x in (F.col(m).bitwiseAND(upper), F.shiftleft(F.col(m), 32))))
-    nodes = sets.select("sid", F.posexplode(tries).alias("trie", "fp"))
-    heads = stored(nodes.groupBy("trie", "fp").agg(F.min("sid").alias("head"), F.count("*").alias("m")), "heads")
-    near = stored(links(heads.select("trie", "fp"), budget, 4_000, 32, "trie").distinct(), "near")
-
     def verified(pairs: DataFrame) -> DataFrame:
         need = stored(pairs.select(F.explode(F.array("src", "dst")).alias("sid")).distinct(), "need")
         toks = found_in(own.select("sid", "toks"), need, ["sid"]).groupBy("sid").agg(F.first("toks").alias("toks"))
@@ -362,33 +362,64 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
         joined = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_n", "dst_n", apart.alias("apart"))
         return joined.where((F.col("apart") <= far) & (F.least("src_n", "dst_n") >= similarity * F.greatest("src_n", "dst_n") - 1e-9)).select("src", "dst", "apart")
 
-    several = stored(heads.where("m > 1"), "several")
-    stars = found_in(nodes, several.select("trie", "fp"), ["trie", "fp"]).join(several, ["trie", "fp"]).where("sid <> head").select(*_ordered("sid", "head"))
-    ends = stored(near.select("trie", F.explode(F.array("src", "dst")).alias("fp")).distinct(), "ends")
-    ended = stored(found_in(heads, ends, ["trie", "fp"]), "ended")
-    a, b = (ended.select("trie", F.col("fp").alias(k), F.col("head").alias(f"{k}_head"), F.col("m").alias(f"{k}_m")) for k in ("src", "dst"))
-    met = stored(near.join(a, ["trie", "src"]).join(b, ["trie", "dst"]), "met")
-    first = stored(alike(stars.unionByName(met.where("src_head <> dst_head").select(*_ordered("src_head", "dst_head"))).distinct()), "candidates")
     def joined(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """``pairs`` in different components, with these."""
         for k in ("src", "dst"):
             pairs = pairs.join(known.select(F.col("node").alias(k), F.col("component").alias(f"{k}_c")), k, "left").withColumn(f"{k}_c", F.coalesce(f"{k}_c", k))
         return pairs.where("src_c <> dst_c")
 
-    open_, tried, edges = first.withColumn("src_c", F.col("src")).withColumn("dst_c", F.col("dst")), None, None
-    for _ in range(ROUNDS):
-        x = F.struct("apart", "src", "dst").alias("x")
-        ways = open_.select(F.col("src_c").alias("c"), x).unionByName(open_.select(F.col("dst_c").alias("c"), x))
-        best = stored(ways.groupBy("c").agg(F.min("x").alias("x")).select("x.src", "x.dst").distinct(), "best")
-        if best.isEmpty():
-            break
-        new = verified(best)
-        edges = new if edges is None else stored(edges.unionByName(new), "edges")
-        tried = best if tried is None else stored(tried.unionByName(best), "tried")
-        known = connected_components(edges)
-        open_ = stored(joined(first.join(tried, ["src", "dst"], "left_anti"), known), "open")
+    def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Shared nodes, linked nodes and the candidates of heads, of nodes (trie, fp, sid and its component c): those that don't lie in one component.
+
+        A node is mixed if its members are in several components.
+        """
+        heads = nodes.groupBy("trie", "fp").agg(F.min("sid").alias("head"), F.min_by("c", "sid").alias("c"), F.count("*").alias("m"), (F.min("c") < F.max("c")).alias("mixed"))
+        heads = stored(heads, "heads")
+        near = stored(links(heads.select("trie", "fp"), budget, 4_000, 32, "trie").distinct(), "near")
+        several = stored(heads.where("mixed").withColumnRenamed("c", "head_c"), "several")
+        own = found_in(nodes, several.select("trie", "fp"), ["trie", "fp"])
+        stars = own.join(several, ["trie", "fp"]).where("c <> head_c").select(*_ordered("sid", "head"))
+        ends = stored(near.select("trie", F.explode(F.array("src", "dst")).alias("fp")).distinct(), "ends")
+        ended = stored(found_in(heads, ends, ["trie", "fp"]), "ended")
+        a, b = (ended.select("trie", F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("head", "c", "m", "mixed"))) for k in ("src", "dst"))
+        met = stored(near.join(a, ["trie", "src"]).join(b, ["trie", "dst"]).where("src_c <> dst_c or src_mixed or dst_mixed"), "met")
+        pairs = stars.unionByName(met.where("src_c <> dst_c").select(*_ordered("src_head", "dst_head")))
+        first = stored(alike(pairs.distinct()), "candidates")
+        discard(heads, near, ends, ended)
+        return several, met, first
+
+    def grown(open_: DataFrame, edges: DataFrame | None, tried: DataFrame | None, rounds: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+        """Candidates left, edges and pairs verified after rounds of best candidates."""
+        for _ in range(rounds):
+            x = F.struct("apart", "src", "dst").alias("x")
+            ways = open_.select(F.col("src_c").alias("c"), x).unionByName(open_.select(F.col("dst_c").alias("c"), x))
+            best = stored(ways.groupBy("c").agg(F.min("x").alias("x")).select("x.src", "x.dst").distinct(), "best")
+            if best.isEmpty():
+                break
+            new = verified(best)
+            edges = new if edges is None else stored(edges.unionByName(new), "edges")
+            tried = best if tried is None else stored(tried.unionByName(best), "tried")
+            rest = open_.select("src", "dst", "apart").join(tried, ["src", "dst"], "left_anti")
+            open_ = stored(joined(rest, connected_components(edges)), "open")
+        return open_, edges, tried
+
+    at = F.posexplode(tries).alias("trie", "fp")
+    nodes = sets.select("sid", F.col("sid").alias("c"), at)
+    early, met_early, first_early = candidates(nodes.where(F.col("trie") < EARLY))
+    open_, edges, tried = grown(first_early.withColumn("src_c", F.col("src")).withColumn("dst_c", F.col("dst")), None, None, ROUNDS)
     if edges is None:
-        return connected_components(first.select("src", "dst"))
+        edges = tried = stored(first_early.select("src", "dst"), "edges")
+    else:
+        left_ = stored(open_.select("src", "dst"), "rest")
+        edges, tried = stored(edges.unionByName(verified(left_)), "edges"), stored(tried.unionByName(left_), "tried")
+    known = connected_components(edges)
+    placed = sets.join(known.withColumnRenamed("node", "sid"), "sid", "left")
+    nodes_late = stored(placed.select("sid", F.coalesce("component", "sid").alias("c"), at).where(F.col("trie") >= EARLY), "nodes")
+    late, met_late, first_late = candidates(nodes_late)
+    open_, edges, tried = grown(joined(first_late.join(tried, ["src", "dst"], "left_anti"), known), edges, tried, 1)
+    known = connected_components(edges)
+    several, met = early.unionByName(late), met_early.unionByName(met_late)
+    nodes = nodes.drop("c")
     known = known.withColumnRenamed("node", "sid")
 
     # members of shared nodes: those that differ from their node's head, and all where the heads differ
@@ -406,7 +437,7 @@ def near_sets(own: DataFrame, words: int, budget: int, similarity: float, margin
     rest = alike(across.select(*_ordered("a", "b")).distinct()).select("src", "dst").unionByName(open_.select("src", "dst")).distinct()
     rest = rest.join(tried, ["src", "dst"], "left_anti")
     edges = stored(edges.unionByName(verified(stored(rest, "rest"))), "edges")
-    discard(sets, heads, near, several, ends, ended, met, first, wide, held, members)
+    discard(sets, early, late, met_early, met_late, first_early, first_late, nodes_late, wide, held, members)
     return connected_components(edges)
 
 
