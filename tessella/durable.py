@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, each: int = 500_000) -> DataFrame:
+    """``df`` hashed by ``keys`` into tasks of about ``each`` of its ``rows`` rows, no fewer than the session's shuffle partitions.
+
+    Adaptive execution merges partitions by their compressed bytes. Small keys in order compress to a
+    few bytes a row, so a merged task may have to sort many times what its bytes tell.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-rows // each)), *keys)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` kept in the folder named by spark.checkpoint.dir, which the cluster shares.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import dealt, durable
 from .groups import each_group
 
 Vertex = Hashable
@@ -30,10 +30,13 @@ def half_edges(edges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame
     ``edges`` has ``key``, u and v in any direction (loops and repeats don't count), ``points`` has ``key``, v, x
     and y. At v the next half-edge is the one before v → u in counter-clockwise order, a window over v's edges.
     """
-    both = edges.select(*key, "u", "v").unionByName(edges.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
+    n = 2 * edges.count()
+    both = edges.select(*key, "u", "v").unionByName(edges.select(*key, F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v")
+    both = dealt(both, [*key, "u"], n).distinct()
     at = points.select(*key, F.col("v").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     to = points.select(*key, "v", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    turned = both.join(at, [*key, "u"]).join(to, [*key, "v"]).withColumn("turn", F.atan2(F.col("vy") - F.col("uy"), F.col("vx") - F.col("ux")))
+    placed = dealt(both.join(dealt(at, [*key, "u"], n), [*key, "u"]), [*key, "v"], n).join(dealt(to, [*key, "v"], n), [*key, "v"])
+    turned = dealt(placed.select(*key, "u", "v", F.atan2(F.col("vy") - F.col("uy"), F.col("vx") - F.col("ux")).alias("turn")), [*key, "u"], n)
     around = Window.partitionBy(*key, "u").orderBy("turn", "v")
     before = F.coalesce(F.lag("v").over(around), F.last("v").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return turned.select(*key, F.col("v").alias("u"), F.col("u").alias("v"), before.alias("w"))
@@ -46,22 +49,29 @@ def faces(halves: DataFrame, key: list[str]) -> DataFrame:
     to where that one points; rounds grow with the logarithm of the longest face. No label changes in a round only
     if every stretch that has been seen holds its face's smallest half-edge.
     """
-    h = durable(halves.select(*key, F.struct("u", "v").alias("h"), F.struct(F.col("v").alias("u"), F.col("w").alias("v")).alias("to"), F.struct("u", "v").alias("face")))
+    h = durable(halves.select(*key, "u", "v", F.col("v").alias("tu"), F.col("w").alias("tv"), F.col("u").alias("fu"), F.col("v").alias("fv")))
+    n = h.count()
     while True:
-        there = h.select(*key, F.col("h").alias("to"), F.col("to").alias("further"), F.col("face").alias("other"))
-        new = h.join(there, [*key, "to"]).select(*key, "h", F.col("further").alias("to"), F.least("face", "other").alias("face"), (F.col("other") < F.col("face")).alias("changed"))
+        there = h.select(*key, F.col("u").alias("tu"), F.col("v").alias("tv"), F.col("tu").alias("nu"), F.col("tv").alias("nv"), F.col("fu").alias("ou"), F.col("fv").alias("ov"))
+        to = [*key, "tu", "tv"]
+        less = F.expr("ou < fu or (ou = fu and ov < fv)")
+        new = dealt(h, to, n).join(dealt(there, to, n), to)
+        new = new.select(*key, "u", "v", F.col("nu").alias("tu"), F.col("nv").alias("tv"), F.when(less, F.col("ou")).otherwise(F.col("fu")).alias("fu"), F.when(less, F.col("ov")).otherwise(F.col("fv")).alias("fv"), less.alias("changed"))
         new = durable(new)
         h = new.drop("changed")
         if not new.where("changed").limit(1).count():
-            return h.select(*key, "h.u", "h.v", "face")
+            return h.select(*key, "u", "v", F.struct(F.col("fu").alias("u"), F.col("fv").alias("v")).alias("face"))
 
 
 def face_table(labelled: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
     """``key``, face, n_edges, area and outer of every face; a component's outer face is the one whose area isn't above zero."""
     at = points.select(*key, F.col("v").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     to = points.select(*key, "v", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    n = labelled.count()
     area = F.sum(F.col("ux") * F.col("vy") - F.col("vx") * F.col("uy")) / 2
-    out = labelled.join(at, [*key, "u"]).join(to, [*key, "v"]).groupBy(*key, "face").agg(F.count("*").alias("n_edges"), area.alias("area"))
+    placed = dealt(labelled, [*key, "u"], n).join(dealt(at, [*key, "u"], n), [*key, "u"])
+    placed = dealt(placed, [*key, "v"], n).join(dealt(to, [*key, "v"], n), [*key, "v"])
+    out = dealt(placed, [*key, "face"], n).groupBy(*key, "face").agg(F.count("*").alias("n_edges"), area.alias("area"))
     return out.withColumn("outer", F.col("area") <= 1e-9)
 
 

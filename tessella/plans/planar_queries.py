@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import dealt, durable
 from ..functions import geometry as G
 from ..functions.grids import grid
 from ..operators import dual, partition, planar
@@ -20,8 +20,10 @@ LINES = "l AS (SELECT l_orderkey AS o, l_linenumber, CAST(sum(l_quantity) AS BIG
 
 def _fans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("o").orderBy("l_linenumber")
-    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("q"))
+    items = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_quantity")
+    lines = dealt(items, ["o"], items.count()).groupBy("o", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("q"))
     v = lines.select("o", F.row_number().over(w).alias("v"), F.sum("q").over(w).cast("double").alias("x")).withColumn("y", F.col("x") * F.col("x"))
+    v = durable(v)
     ends = F.array_distinct(F.array(F.col("v") - 1, F.lit(1)))
     return v.select("o", "v", F.explode(ends).alias("u")).where("u >= 1 AND u < v"), v
 
@@ -40,7 +42,8 @@ def planar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices, edges and faces of every order's fan, as Euler's formula has them."""
     edges, v = _fans(spark, sf_dir)
     labelled = planar.faces(planar.half_edges(edges, v, ["o"]), ["o"])
-    return labelled.groupBy("o").agg(F.countDistinct("u").alias("vertices"), F.floor(F.count("*") / 2).alias("edges"), F.countDistinct("face").alias("faces"))
+    first = F.col("face") == F.struct("u", "v")  # one half-edge of each face
+    return dealt(labelled, ["o"], labelled.count()).groupBy("o").agg(F.countDistinct("u").alias("vertices"), F.floor(F.count("*") / 2).alias("edges"), F.count_if(first).alias("faces"))
 
 
 # every customer as a star: its orders at even angles, as far out as they cost
