@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import dealt, durable
 from ..functions import geometry as G
 
 
@@ -53,6 +53,9 @@ def nearest_sites(sites: DataFrame, k: int, by: list[str], key: str = "site_id",
         return own.join(other, by).where("false").withColumn("d2", d2).withColumn("rank", F.lit(0))
     if k == 0:
         return own.join(other, by).where(F.col(key) != F.col("nbr")).withColumn("d2", d2).withColumn("rank", F.row_number().over(w))
+    own = durable(own)  # read several times
+    n = own.count()
+    other = own.select(*by, F.col(key).alias("nbr"), F.col("x").alias("nbr_x"), F.col("y").alias("nbr_y"), *(F.col(c).alias(f"nbr_{c}") for c in keep))
     stats = own.groupBy(*by).agg(F.count("*").alias("_n"), F.min("x").alias("_l"), F.min("y").alias("_o"), F.max("x").alias("_r"), F.max("y").alias("_t"))
     side = F.sqrt(F.greatest((F.col("_r") - F.col("_l")) * (F.col("_t") - F.col("_o")), F.lit(1e-12)) * float(k) / F.col("_n"))
     span = F.greatest(F.col("_r") - F.col("_l"), F.col("_t") - F.col("_o"), F.lit(1e-9))
@@ -61,26 +64,43 @@ def nearest_sites(sites: DataFrame, k: int, by: list[str], key: str = "site_id",
     def put(df: DataFrame, x: str, y: str) -> DataFrame:
         return df.join(stats, by).withColumn("_bx", F.floor((F.col(x) - F.col("_l")) / F.col("_s")).cast("int")).withColumn("_by", F.floor((F.col(y) - F.col("_o")) / F.col("_s")).cast("int"))
 
-    def ring(asked: DataFrame, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The k nearest within ``reach`` squares of each asked site; those that no site further off can change; the sites still open."""
-        mine = put(asked, "x", "y")
+    def ring(asked: DataFrame, reach: int) -> DataFrame:
+        """``asked`` and the k nearest within ``reach`` squares (near), or null where a site further off can change them.
+
+        At first the others go to the squares around them, so an asked site finds all in its own square and their pairs
+        stay in its task. Later few sites are asked, and these go around instead.
+        """
         low, high = (lambda c, b, o: F.col(c) - F.col(o) - (F.col(b) - reach) * F.col("_s")), (lambda c, b, o: F.col(o) + (F.col(b) + reach + 1) * F.col("_s") - F.col(c))
         gap = F.least(low("x", "_bx", "_l"), high("x", "_bx", "_l"), low("y", "_by", "_o"), high("y", "_by", "_o"))
+        mine = put(asked, "x", "y").withColumn("_gap", gap).drop("_l", "_o", "_s")
         step = F.sequence(F.lit(-reach), F.lit(reach))
-        wide = mine.withColumn("_gap", gap).withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumn("_bx", F.col("_bx") + F.col("_i")).withColumn("_by", F.col("_by") + F.col("_j")).drop("_i", "_j", "_l", "_o", "_s")
-        near = wide.join(put(other, "nbr_x", "nbr_y").drop("_n", "_l", "_o", "_s"), [*by, "_bx", "_by"]).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
-        near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        enough = near.groupBy(*by, key).agg(F.count("*").alias("_c"), F.max("d2").alias("_far"), F.first("_gap").alias("_gap"), F.first("_n").alias("_n"))
-        settled = enough.where("_c = least(%d, _n - 1) and sqrt(_far) <= _gap" % k).select(*by, key)
-        return near.join(settled, [*by, key], "left_semi").drop("_gap", "_bx", "_by", "_n"), settled, asked.join(settled, [*by, key], "left_anti")
-
-    done, _, rest = ring(own, 1)
-    rest = durable(rest)
+        square, first = [*by, "_bx", "_by"], reach == 1
+
+        def around(df: DataFrame) -> DataFrame:
+            return df.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumn("_bx", F.col("_bx") + F.col("_i")).withColumn("_by", F.col("_by") + F.col("_j")).drop("_i", "_j")
+
+        theirs = put(other, "nbr_x", "nbr_y").drop("_n", "_l", "_o", "_s")
+        a, b = (mine, around(theirs)) if first else (around(mine), theirs)
+        sent = 9 * n if first else n + asked.count() * (2 * reach + 1) ** 2
+        pairs = dealt(a, square, sent, 50_000).hint("shuffle_merge").join(dealt(b, square, sent, 50_000), square).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
+        place = [*square, key] if first else [*by, key]
+        ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "nbr"))).where(F.col("rank") <= k)
+        found = ranked.groupBy(*place).agg(F.collect_list(F.struct("nbr", "rank", "d2", "nbr_x", "nbr_y", *(f"nbr_{c}" for c in keep))).alias("_near"), F.max("d2").alias("_far"), F.first("_gap").alias("_gap"), F.first("_n").alias("_n"), *(F.first(c).alias(c) for c in ("x", "y", *keep)))
+        enough = (F.size("_near") == F.least(F.lit(k), F.col("_n") - 1)) & (F.sqrt("_far") <= F.col("_gap"))
+        return found.select(*by, key, "x", "y", *keep, F.when(enough, F.col("_near")).alias("_near"))
+
+    def rows(found: DataFrame) -> DataFrame:
+        return found.where("_near is not null").withColumn("_e", F.explode("_near")).select(*by, key, "x", "y", *keep, *(F.col(f"_e.{c}").alias(c) for c in ("nbr", "nbr_x", "nbr_y", *(f"nbr_{c}" for c in keep), "d2", "rank")))
+
+    found = durable(ring(own, 1))
+    done = rows(found)
+    rest = durable(own.join(found.where("_near is not null").select(*by, key), [*by, key], "left_anti"))
     for reach in (3, 9):  # each ring of squares is three times as wide
         if rest.isEmpty():
             return done
-        more, _, rest = ring(rest, reach)
-        done, rest = done.unionByName(more.select(*done.columns)), durable(rest)
+        found = durable(ring(rest, reach))
+        done = done.unionByName(rows(found))
+        rest = durable(rest.join(found.where("_near is not null").select(*by, key), [*by, key], "left_anti"))
     if rest.isEmpty():
         return done
     far = rest.join(other, by).where(F.col(key) != F.col("nbr")).withColumn("d2", d2)
