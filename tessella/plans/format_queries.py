@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import dealt, durable
 from ..functions import colors as C
 from ..functions import geometry as G
 from ..functions.grids import grid
@@ -43,8 +43,14 @@ def atlas(spark: SparkSession, sf_dir: str, apart: int = 0) -> TileMap:
     return TileMap.of(spark, maps=maps, outlines=o.select("map_id", "outline_id", *shown), sites=put, partitions=o.select("map_id", "outline_id", F.lit(0).alias("partition_id"), *shown), cells=taken)
 
 
+def _by_map(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of maps dealt by map, a task for about 50,000 sites: lines compress so well that merged tasks would hold far more."""
+    return dealt(lines, ["map_id"], _table(spark, sf_dir, "embeddings").count(), 50_000)
+
+
 def _read_back(spark: SparkSession, sf_dir: str) -> TileMap:
-    text = wkt.lines(atlas(spark, sf_dir))
+    m = atlas(spark, sf_dir)
+    text = _by_map(wkt.lines(m), spark, sf_dir)
     return wkt.parse(text.withColumn("ln", F.row_number().over(Window.partitionBy("map_id").orderBy("key"))).select("map_id", "ln", "line"))
 
 
@@ -81,7 +87,7 @@ def wkt_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = k.select(*key, (F.col("cell.x") - F.col("_o") * 10 + F.col("ord")).cast("int").alias("x"), F.col("cell.y").alias("y"), "ord")
     guides = first.select(*key, (F.col("site_id") % 3 + 0.5).cast("double").alias("factor"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.lit(0.0).alias("quality"))
     shares = near.select(*key, "x", "y", (0.25 * (1 + F.col("ord"))).cast("double").alias("area"))
-    text = wkt.lines(m.with_(guides=guides, guide_cells=near, cell_quality=shares))
+    text = _by_map(wkt.lines(m.with_(guides=guides, guide_cells=near, cell_quality=shares)), spark, sf_dir)
     back = wkt.parse(text.withColumn("ln", F.row_number().over(Window.partitionBy("map_id").orderBy("key"))).select("map_id", "ln", "line"))
     cells = back.guide_cells.groupBy("map_id", "outline_id").agg(F.count("*").alias("cells"), F.sum("x").alias("xs"))
     best = back.cell_quality.groupBy("map_id", "outline_id").agg(F.max("area").alias("best"))

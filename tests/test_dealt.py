@@ -19,3 +19,13 @@ def test_steps_of_faces_are_dealt_by_rows(spark, monkeypatch):
     table = planar.face_table(found, v, ["o"])
     assert table.groupBy("outer").agg(F.count("*").alias("n")).orderBy("outer").collect() == [(False, 6), (True, 3)]
     assert seen and set(seen) == {30}
+
+
+def test_lines_of_maps_are_dealt_by_sites(spark, monkeypatch):
+    from tessella.plans import format_queries
+
+    monkeypatch.setattr(format_queries, "dealt", lambda df, keys, rows, each: dealt(df, keys, rows, each // 5000))
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    lines = spark.range(40).selectExpr("cast(id as string) as map_id", "'x' as line")
+    assert format_queries._by_map(lines, spark, sf).rdd.getNumPartitions() == -(-n // 10)
