@@ -49,7 +49,7 @@ class Pieces:
         if not all(self.byte) or sp.decode(sp.encode(probe)) != probe or sp.encode("")[:1] or any(SPACE in n.lstrip(SPACE) or "\0" in n for n in self.rank):
             raise ValueError("this model normalises texts or has no byte fallback")
         self.pairs = {(n[i], n[i + 1]) for n in self.rank for i in range(len(n) - 1)}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, bytes] = {}  # ids joined by commas of chunks that decode to themselves
         apart = not any((a.isalpha() and b < "\x80" and not b.isalpha()) or (b.isalpha() and a < "\x80" and not a.isalpha()) for a, b in self.pairs)
         self.seam = re.compile(SEAM if apart else r"(?!)")
 
@@ -86,8 +86,8 @@ class Pieces:
                     out += [self.byte[b] for b in s.encode()]
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Encode new chunks, compare ids and text with the library, and return (number of ids, ids joined by commas, text) of each.
+    def learn(self, chunks: set[str]) -> dict[str, tuple[bytes, str | None]]:
+        """Encode new chunks, compare ids and text with the library, and return (ids joined by commas, text) of each; the text is None if it is the chunk's own.
 
         Where they differ the library's hold, and the difference is counted.
         """
@@ -102,7 +102,7 @@ class Pieces:
             text = " " + text if w else text[1:]
             if ids != lib or self.decode(ids, False) != text:
                 self.differences += 1
-            out[c] = (len(lib), ",".join(map(str, lib)), text)
+            out[c] = (",".join(map(str, lib)).encode(), None if text == c.replace(SPACE, " ") else text)
         return out
 
     def cut(self, text: str) -> list[str]:
@@ -147,12 +147,14 @@ class Pieces:
         extra = self.learn({c for cut in cuts for c in cut if c not in known})
         room = self.limit - len(known)
         if room > 0:
-            known.update((c, extra[c]) for _, c in zip(range(room), extra, strict=False) if len(c) <= 64)
+            known.update((c, extra[c][0]) for _, c in zip(range(room), extra, strict=False) if len(c) <= 64 and extra[c][1] is None)
+        odd = {c: text for c, (_, text) in extra.items() if text is not None}
         out = []
         for cut in cuts:
-            got = [known.get(c) or extra[c] for c in cut]
-            decoded = "".join([g[2] for g in got])[1:]  # the dummy prefix
-            out.append((sum([g[0] for g in got]), hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            ids = b",".join([known.get(c) or extra[c][0] for c in cut])
+            decoded = "".join([odd[c] if c in odd else c.replace(SPACE, " ") for c in cut] if odd else cut)[1:]  # the dummy prefix
+            decoded = decoded if odd else decoded.replace(SPACE, " ")
+            out.append((ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         return out
 
 
@@ -195,7 +197,7 @@ def piece_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for batch in slices(batches, 500, "text", 2 << 20):
+        for batch in slices(batches, 250, "text", 512 << 10):
             got = own.digests([t.decode("utf-8", "replace") for t in utf8(batch.column(1))])
             cols = [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

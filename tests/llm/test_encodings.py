@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -63,6 +64,21 @@ def test_many_at_once(word_encoder):
     assert word_encoder.encode([], 1) == []
 
 
+def test_remembered_chunks_are_small():
+    m = pieces.Pieces(PIECES)
+    letters = str.maketrans("0123456789", "etaoinshrd")
+    texts = [" ".join(f"{i * 7919:08d}".translate(letters) for i in range(k, k + 2000)) for k in range(0, 20_000, 2000)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            check_pieces(m, t)
+        size = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(m.known) >= 20_000 and size < 250 * len(m.known)
+    assert m.digests(texts) == pieces.Pieces(PIECES, limit=0).digests(texts)
+
+
 def test_blocks():
     rng = np.random.default_rng(0)
     for high in (3, 200, 70_000):

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 from tessella.llm import decontam, pieces
 from tests.llm.test_near_groups import brute
 
@@ -41,3 +42,15 @@ def test_nulls_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF).checkpoint()
         assert now.count() <= table.count()
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    docs = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('a b', id), 1000) AS text", "'en' AS lang", "'s' AS source", "5000L AS n_chars")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    corpus_pipeline.encoding(spark, docs, SF)
+    got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) < 5 << 20
