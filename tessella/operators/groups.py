@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..durable import dealt
 
-def each_group(df: DataFrame, key: list[str], columns: list[str], run: Callable[..., list[tuple]], out: str) -> DataFrame:
+
+def each_group(df: DataFrame, key: list[str], columns: list[str], run: Callable[..., list[tuple]], out: str, n: int = 0) -> DataFrame:
     """``key`` and the columns ``out`` (a schema) of the rows that ``run`` makes of each group's ``columns``, given as lists in one order.
 
     A call of a group costs little beside the call's work, where a batch for each group costs
     more than most small graphs do. One group is held whole, as in any grouped kernel. Groups are dealt to
-    all shuffle partitions, as a kernel's work is far more than its rows' size would tell.
+    all shuffle partitions, as a kernel's work is far more than its rows' size would tell, and to more
+    where the number ``n`` of rows is given and calls for it (see ``dealt``).
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(*key, *columns).repartition(tasks, *key).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    rows = dealt(df.select(*key, *columns), key, n).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias("_rows"))
     rows = rows.select(*key, *(F.col("_rows")[c].alias(f"_{i}") for i, c in enumerate(columns)))
     made = StructType.fromDDL(out)
     kinds = [to_arrow_type(f.dataType) for f in made]

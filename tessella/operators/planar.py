@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Iterable, Iterator
 from functools import lru_cache
+from math import atan2
 
 import numpy as np
 import pandas as pd
@@ -407,7 +408,7 @@ def embedding(partitions: DataFrame, comps: DataFrame) -> DataFrame:
 
 @lru_cache(4096)
 def _wood(halves: tuple[tuple[Vertex, Vertex, Vertex], ...], outer: int | None) -> tuple:
-    """The walks of a graph of half-edges u → v before v → w, or, given the number of its outer walk, its wood's rows; graphs of one shape share them."""
+    """The walks of a graph of half-edges u → v before v → w, or, given the number of its outer walk, its wood's columns; graphs of one shape share them."""
     after = {(v, w): u for u, v, w in halves}  # around v, u comes after w counter-clockwise
     rotation: Rotation = {}
     for c, first in after:
@@ -420,25 +421,51 @@ def _wood(halves: tuple[tuple[Vertex, Vertex, Vertex], ...], outer: int | None)
         return tuple(tuple(walk) for walk in walks(rotation)) if len(rotation) > 2 else ()
     wood = Wood(*triangulated(rotation, outer))
     k, where = wood.number, wood.coordinates()
-    return tuple((k[c], c if c in rotation else None, *where[c], *(k[tree[c]] if c in tree else None for tree in wood.parent)) for c in wood.order)
+    return tuple(zip(*((c if c in rotation else None, *where[c], *(k[tree[c]] if c in tree else None for tree in wood.parent)) for c in wood.order), strict=True))
 
 
-def schnyder(edges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
-    """``key``, v, number, three coordinates a, b, c and the three parents of each vertex of the triangulated graphs; one call of the kernel per graph.
+def _halves(u: list, v: list, at: dict[Vertex, tuple[float, float]]) -> tuple[tuple[Vertex, Vertex, Vertex], ...]:
+    """u, v and w of every half-edge u → v of one graph, sorted, as ``half_edges`` has them."""
+    near: dict[Vertex, set[Vertex]] = {}
+    for p, q in zip(u, v, strict=True):
+        if p in at and q in at:
+            near.setdefault(p, set()).add(q)
+            near.setdefault(q, set()).add(p)
+    out = []
+    for c, others in near.items():
+        x, y = at[c]
+        ring = [q for _, q in sorted((atan2(at[q][1] - y, at[q][0] - x), q) for q in others)]
+        out += [(q, c, ring[i - 1]) for i, q in enumerate(ring)]
+    return tuple(sorted(out))
+
+
+def woods(edges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """``key`` and lists of the vertices of each triangulated graph: v, three coordinates a, b, c and the three parents, which are places in these lists.
 
-    Faces that aren't triangles get new vertices (see ``triangulated``), whose v is null; ``number`` tells a graph's vertices apart and the
-    parents are numbers, null for the three outer vertices. Graphs must be connected; those of under three vertices are left out.
-    Places only tell which walk is the outer one: a wood depends on the rest of the graph alone, so a task
+    Faces that aren't triangles get new vertices (see ``triangulated``), whose v is null; parents are null for the three outer
+    vertices, the first two and the last. Graphs must be connected; those of under three vertices are left out.
+    A graph's edges and points are sent once, to the task that holds the graph, and its wood is one row: no step sends
+    half-edges or their ends. Places only tell which walk is the outer one: a wood depends on the rest of the graph alone, so a task
     remembers those of the small graphs that it has met last.
     """
     kind = points.schema["v"].dataType.simpleString()
-    rows = half_edges(edges, points, key).join(points.select(*key, "v", "x", "y"), [*key, "v"])
+    none = F.lit(None)
+    rows = edges.where("u <> v").select(*key, "u", "v", none.cast("double").alias("x"), none.cast("double").alias("y"))
+    rows = rows.unionByName(points.where("v IS NOT NULL").select(*key, none.cast(edges.schema["u"].dataType).alias("u"), "v", "x", "y"))
 
-    def run(u: list, v: list, w: list, x: list[float], y: list[float]) -> list[tuple]:
-        halves = tuple(sorted(zip(u, v, w, strict=True)))
-        at = dict(zip(v, zip(x, y, strict=True), strict=True))
+    def run(u: list, v: list, x: list[float], y: list[float]) -> list[tuple]:
+        at = {q: p for s, q, *p in zip(u, v, x, y, strict=True) if s is None}
+        halves = _halves([s for s in u if s is not None], [q for s, q in zip(u, v, strict=True) if s is not None], at)
         wood = _wood if len(halves) <= 100 else _wood.__wrapped__
         sizes = [sum(at[p][0] * at[q][1] - at[q][0] * at[p][1] for p, q in walk) for walk in wood(halves, None)]
-        return list(wood(halves, int(np.argmin(sizes)))) if sizes else []
+        return [wood(halves, int(np.argmin(sizes)))] if sizes else []
 
-    return each_group(rows, key, ["u", "v", "w", "x", "y"], run, f"number int, v {kind}, a int, b int, c int, `left` int, `right` int, `top` int")
+    numbers = ", ".join(f"`{c}` array<int>" for c in ("a", "b", "c", "left", "right", "top"))
+    return each_group(rows, key, ["u", "v", "x", "y"], run, f"v array<{kind}>, {numbers}", rows.count())
+
+
+def schnyder(edges: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """The vertices of ``woods`` one by one: ``key``, number (from 0), v, a, b, c, left, right and top; parents are numbers."""
+    columns = ["v", "a", "b", "c", "left", "right", "top"]
+    one = woods(edges, points, key).select(*key, F.posexplode(F.arrays_zip(*columns)).alias("number", "_vertex"))
+    return one.select(*key, "number", *(F.col("_vertex")[c].alias(c) for c in columns))

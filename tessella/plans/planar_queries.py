@@ -73,21 +73,26 @@ def _turn(a, b, c):
 def schnyder_wood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wood of every order's fan made a triangulation: each inner vertex has one parent of each colour, and in its coordinates no two edges cross."""
     edges, v = _fans(spark, sf_dir)
-    w = durable(planar.schnyder(edges, v, ["o"]))
-    n = w.groupBy("o").agg(F.count("*").alias("vertices"), F.count(F.when(F.size(F.array_distinct(F.array("left", "right", "top"))) == 3, F.when(F.col("left").isNotNull(), 1))).alias("coloured"), F.count("v").alias("own"), F.bool_and((F.col("a") + F.col("b") + F.col("c") > 0) & (F.least("a", "b", "c") >= 0)).alias("on_grid"), F.countDistinct("a", "b").alias("places"), F.max("number").alias("last"))
-    tree = w.select("o", F.col("number").alias("s"), F.explode(F.array("left", "right", "top")).alias("t")).where("t IS NOT NULL")
-    rim = n.select("o", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), t.alias("t")) for s, t in ((0, F.lit(1)), (0, F.col("last")), (1, F.col("last")))))).alias("e")).select("o", "e.s", "e.t")
-    at = w.select("o", "number", "a", "b")
-    e = tree.unionByName(rim)
-    e = e.join(at.toDF("o", "s", "sa", "sb"), ["o", "s"]).join(at.toDF("o", "t", "ta", "tb"), ["o", "t"])
-    f = e.toDF("o", "t2", "s2", "sa2", "sb2", "ta2", "tb2")
-    side = lambda p, q, r: F.signum((F.col(q[0]) - F.col(p[0])) * (F.col(r[1]) - F.col(p[1])) - (F.col(q[1]) - F.col(p[1])) * (F.col(r[0]) - F.col(p[0])))
-    s, t, s2, t2 = ("sa", "sb"), ("ta", "tb"), ("sa2", "sb2"), ("ta2", "tb2")
+    w = planar.woods(edges, v, ["o"])
+    last, at = F.size("a") - 1, F.sequence(F.lit(0), F.size("a") - 1)
+    parents = lambda i: F.array(*(F.get(c, i) for c in ("left", "right", "top")))
+    coloured = F.size(F.filter(at, lambda i: F.get("left", i).isNotNull() & (F.size(F.array_distinct(parents(i))) == 3)))
+    inside = F.forall(at, lambda i: (F.get("a", i) + F.get("b", i) + F.get("c", i) > 0) & (F.least(F.get("a", i), F.get("b", i), F.get("c", i)) >= 0))
+    places = F.size(F.array_distinct(F.transform(at, lambda i: F.get("a", i) * F.lit(1 << 32) + F.get("b", i))))
+    tree = F.flatten(F.transform(at, lambda i: F.transform(F.filter(parents(i), lambda t: t.isNotNull()), lambda t: F.struct(i.alias("s"), t.alias("t")))))
+    rim = F.array(*(F.struct(F.lit(s).alias("s"), t.alias("t")) for s, t in ((0, F.lit(1)), (0, last), (1, last))))
+    ends = lambda e: F.struct(e["s"].alias("s"), e["t"].alias("t"), *(F.get(c, e[k]).cast("long").alias(k + c) for k in ("s", "t") for c in ("a", "b")))
+    n = w.select("o", F.size("a").cast("long").alias("vertices"), coloured.cast("long").alias("coloured"), (inside & (places == F.size("a"))).alias("on_grid"), F.size(F.filter("v", lambda v: v.isNotNull())).cast("long").alias("own"), F.transform(F.concat(tree, rim), ends).alias("e"))
+    # pairs of a graph's edges, made and judged where its wood is: only those that cross go on, and one row of each graph
+    # (outer, as the optimizer would else find the edges twice more, to drop graphs that have none)
+    pairs = n.select("*", F.posexplode_outer("e").alias("i", "p")).select("*", F.posexplode_outer("e").alias("j", "q"))
+    side = lambda p, q, r: F.signum((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
+    s, t, s2, t2 = ((F.col(f"{e}.{k}a"), F.col(f"{e}.{k}b")) for e in ("p", "q") for k in ("s", "t"))
     one, two, three, four = side(s, t, s2), side(s, t, t2), side(s2, t2, s), side(s2, t2, t)
-    apart = F.expr("s <> s2 AND s <> t2 AND t <> s2 AND t <> t2 AND (s, t) < (s2, t2)")
-    meet = e.join(f, "o").where(apart & (one * two <= 0) & (three * four <= 0) & ((F.abs(one) + F.abs(two) + F.abs(three) + F.abs(four)) > 0))
-    got = n.join(e.groupBy("o").agg(F.count("*").alias("edges")), "o").join(meet.groupBy("o").agg(F.count("*").alias("crossings")), "o", "left")
-    return got.select("o", "vertices", "edges", "coloured", F.coalesce("crossings", F.lit(0)).alias("crossings"), (F.col("on_grid") & (F.col("places") == F.col("vertices"))).alias("on_grid"), "own")
+    apart = F.expr("i < j AND p.s <> q.s AND p.s <> q.t AND p.t <> q.s AND p.t <> q.t")
+    crossing = apart & (one * two <= 0) & (three * four <= 0) & ((F.abs(one) + F.abs(two) + F.abs(three) + F.abs(four)) > 0)
+    kept = pairs.where(F.expr("i = 0 AND j = 0") | crossing).withColumn("edges", F.size("e").cast("long"))
+    return kept.groupBy("o", "vertices", "edges", "coloured", "on_grid", "own").agg(F.count_if(F.col("j") > 0).alias("crossings")).select("o", "vertices", "edges", "coloured", "crossings", "on_grid", "own")
 
 
 # the unit squares that hold a label's sites, a map of each label
