@@ -57,6 +57,13 @@ def test_half_edges_of_a_graph_as_by_joins(spark):
     assert {r.o: sum(v is not None for v in r.v) for r in woods} == {1: 3, 2: 7, 3: 20, 4: 60}
 
 
+def test_a_graph_without_a_key_has_its_wood(spark):
+    """Joins on the key left it out, where the SQL groups it as any other."""
+    edges, points = (df.withColumn("o", F.when(F.col("o") > 0, F.col("o"))) for df in graphs(spark, [7, 9]))
+    got = planar.schnyder(edges, points, ["o"]).where("v IS NOT NULL").groupBy("o").count().collect()
+    assert {r.o: r["count"] for r in got} == {None: 7, 1: 9}
+
+
 def test_crossings_and_places_are_judged(spark, monkeypatch):
     """A wood's coordinates put at random: the query finds the pairs of edges that meet, as counted one by one."""
     rng = random.Random(11)
